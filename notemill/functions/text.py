@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Whitespace as Python's str.split / str.strip / unicode \s see it.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-NON_WS = WS.replace("[", "[^", 1) + "+"
 # Word characters as Python's unicode \w sees them.
 WORD = r"\p{L}\p{N}_"
 
@@ -28,13 +27,12 @@ def squeeze_ws(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Whitespace tokens in one pass; blank text gives an empty array."""
-    return F.regexp_extract_all(c, F.lit(NON_WS), F.lit(0))
+    """Whitespace tokens; blank text gives an empty array."""
+    return F.array_remove(F.split(squeeze_ws(c), " "), "")
 
 
 def word_count(c: Column) -> Column:
-    """Number of whitespace tokens, without building them."""
-    return F.regexp_count(c, F.lit(NON_WS))
+    return F.size(words(c))
 
 
 def normalize_text(c: Column) -> Column:

@@ -17,13 +17,32 @@ from notemill.functions import vectors as vx
 Encoder = Callable[[list[str]], np.ndarray]
 
 
+def bucket_histogram(dim: int):
+    """Arrow function: arrays of bucket numbers to L2-normalised bucket counts, one bincount per batch."""
+
+    @F.arrow_udf("array<double>")
+    def histogram(batch: pa.Array) -> pa.Array:
+        sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        cells = batch.flatten().to_numpy(zero_copy_only=False).astype("int64")
+        cells += np.repeat(np.arange(len(sizes)), sizes) * dim
+        counts = np.bincount(cells, minlength=dim * len(sizes)).astype("float64").reshape(-1, dim)
+        norms = np.linalg.norm(counts, axis=1, keepdims=True)
+        units = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
+        offsets = pa.array(np.arange(len(sizes) + 1, dtype="int32") * dim)
+        return pa.ListArray.from_arrays(offsets, pa.array(units.ravel()), mask=batch.is_null())
+
+    return histogram
+
+
 def embed_hashed(df: DataFrame, text: str = "text", out: str = "vector", dim: int = 64) -> DataFrame:
-    """Default embedder: L2-normalised token counts over hash buckets, computed inside the row.
+    """Default embedder: L2-normalised token counts over hash buckets, without a shuffle.
 
+    Tokens are cut and hashed on the JVM; only small bucket numbers travel to
+    the Arrow histogram, which runs in the same Python stage as the routing.
     It measures shared words, not meaning; plug a model in with ``embed_with_model``.
     """
-    counts = vx.hashed_counts(tx.words(F.lower(F.col(text))), dim)
-    return df.withColumn("_counts", counts).withColumn(out, vx.unit(F.col("_counts"))).drop("_counts")
+    buckets = vx.token_buckets(tx.words(F.lower(F.col(text))), dim)
+    return df.withColumn(out, bucket_histogram(dim)(buckets))
 
 
 def embed_with_model(df: DataFrame, load: Callable[[], Encoder], text: str = "text",

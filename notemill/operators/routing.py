@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,7 +69,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     if not np.all((sizes == dim) | (sizes == 0)):
         raise ValueError("vectors of one column must have one length")
     matrix = np.zeros((len(sizes), dim))
-    matrix[sizes > 0] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    if dim:
+        matrix[sizes > 0] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     return matrix
 
 
@@ -96,21 +96,19 @@ def top_candidates(vector: Column, index: TagIndex, top_k: int) -> Column:
     k = min(top_k, len(rows))
 
     @F.arrow_udf(_CANDIDATES)
-    def candidates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tag_matrix = shared.value
-        for batch in batches:
-            notes = _unit_rows(_matrix(batch))
-            scores = notes @ tag_matrix.T if notes.shape[1] else np.zeros((len(notes), len(names)))
-            best = _best(scores, k)
-            flat = best.ravel()
-            items = pa.StructArray.from_arrays(
-                [pa.array(names[flat], pa.string()),
-                 pa.array(np.take_along_axis(scores, best, 1).ravel()),
-                 pa.array(thresholds[flat])],
-                names=["tag", "similarity", "threshold"],
-            )
-            offsets = pa.array(np.arange(len(notes) + 1, dtype="int32") * k)
-            yield pa.ListArray.from_arrays(offsets, items, mask=batch.is_null())
+    def candidates(batch: pa.Array) -> pa.Array:
+        notes = _unit_rows(_matrix(batch))
+        scores = notes @ shared.value.T if notes.shape[1] else np.zeros((len(notes), len(names)))
+        best = _best(scores, k)
+        flat = best.ravel()
+        items = pa.StructArray.from_arrays(
+            [pa.array(names[flat], pa.string()),
+             pa.array(np.take_along_axis(scores, best, 1).ravel()),
+             pa.array(thresholds[flat])],
+            names=["tag", "similarity", "threshold"],
+        )
+        offsets = pa.array(np.arange(len(notes) + 1, dtype="int32") * k)
+        return pa.ListArray.from_arrays(offsets, items, mask=batch.is_null())
 
     return candidates(vector)
 
