@@ -112,7 +112,8 @@ def collect_metrics(events: DataFrame, value: str, ts: str, order_by: list[str],
     """Mean of the newest times, throughput over the observed span and error rate, in one row."""
     recent = events.filter(~is_error).orderBy(*[F.desc(c) for c in order_by]).limit(last).agg(
         F.coalesce(F.avg(value), F.lit(0.0)))
-    seconds = (F.max(F.unix_micros(ts)) - F.min(F.unix_micros(ts))) / F.lit(1e6)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    seconds = (F.max(micros) - F.min(micros)) / F.lit(1e6)
     done, failed = F.count_if(~is_error), F.count_if(is_error)
     return events.agg(
         F.coalesce(F.try_divide(done, seconds), F.lit(0.0)).alias("throughput_notes_per_second"),

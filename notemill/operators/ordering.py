@@ -48,10 +48,10 @@ def hashed_row_number(df: DataFrame, partition: str, order_key: str, id_col: str
     offsets = sizes.select(partition, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = W.partitionBy(partition, "_piece").orderBy(order_key, id_col)
     return (
-        pieces.withColumn("_rn", F.row_number().over(inside))
+        pieces.withColumn("_inside", F.row_number().over(inside))
         .join(offsets, [partition, "_piece"])
-        .withColumn(name, F.col("_offset") + F.col("_rn"))
-        .drop("_piece", "_rn", "_offset")
+        .withColumn(name, F.col("_offset") + F.col("_inside"))
+        .drop("_piece", "_inside", "_offset")
     )
 
 
@@ -96,7 +96,7 @@ def trailing_time_count(df: DataFrame, key: str, ts: str, window_seconds: int, n
     """
     width = window_seconds * 1_000_000 // slices
     span = width * slices
-    rows = df.withColumn("_us", F.unix_micros(ts)).withColumn("_slice", F.floor(F.col("_us") / width))
+    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_slice", F.floor(F.col("_us") / width))
     counts = rows.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     # whole slices between: s-slices+1 .. s-1
     between = W.partitionBy(key).orderBy("_slice").rangeBetween(-(slices - 1), -1)

@@ -39,7 +39,11 @@ def sql_words(x: str) -> str:
 # --- capture lines ----------------------------------------------------------
 
 def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents dressed as capture lines: some tagged, commented, stamped, some wrongly."""
+    return dress_as_lines(table(spark, sf_dir, "documents"))
+
+
+def dress_as_lines(documents: DataFrame) -> DataFrame:
+    """Whole documents as capture lines: some tagged, commented, stamped, some wrongly."""
     tags = F.when(F.col("doc_id") % 5 == 4, F.lit("")).otherwise(
         F.concat(F.lit("#"), "lang", F.lit(" #"), "source", F.lit(" #"), "lang", F.lit(" ")))
     tail = (
@@ -49,7 +53,7 @@ def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit(""))
     )
     body = F.when(F.col("doc_id") % 13 == 5, F.lit("")).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("note_id"), F.concat(tags, body, tail).alias("raw_text"))
 
 
