@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as Python's str.split / str.strip / unicode \s see it.
-WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Whitespace as Python's str.split / str.strip / unicode \s see it, that is the
+# Unicode White_Space property and the four separators 1c-1f. As a property test it is several
+# times faster in the regex engine than a list of ranges. WS may stand anywhere in a pattern.
+WS = r"(?U:[\s\x1c-\x1f])"
+_WS_RUN = r"(?U)[\s\x1c-\x1f]+"
+_WS_CHARS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000,
+]))
 # Word characters as Python's unicode \w sees them.
 WORD = r"\p{L}\p{N}_"
 
@@ -18,12 +25,12 @@ TIMESTAMP_PATTERN = r"(?U)@(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?)"
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def squeeze_ws(c: Column) -> Column:
     """Every whitespace run becomes one space, ends trimmed."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, _WS_RUN, " "))
 
 
 def words(c: Column) -> Column:
@@ -37,8 +44,10 @@ def word_count(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Collapse whitespace, lower-case, delete quotes, ``!`` to ``.``, strip."""
-    lowered = F.lower(squeeze_ws(c))
-    return F.trim(F.translate(lowered, "!\"'", "."))
+    c = F.lower(squeeze_ws(c))
+    for char, other in (('"', ""), ("'", ""), ("!", ".")):
+        c = F.replace(c, F.lit(char), F.lit(other))
+    return F.trim(c)
 
 
 # --- capture grammar -------------------------------------------------------
@@ -129,7 +138,10 @@ PII_PATTERNS = (
 
 
 def redact_pii(c: Column) -> Column:
-    for pattern, mark in PII_PATTERNS:
+    (mail, mail_mark), *rest = PII_PATTERNS
+    # the mail pattern is the slow one; texts without its sign skip it
+    c = F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, mail, mail_mark)).otherwise(c)
+    for pattern, mark in rest:
         c = F.regexp_replace(c, pattern, mark)
     return c
 

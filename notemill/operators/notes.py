@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions import text as tx
 from notemill.functions.scoring import quality_score
+from notemill.functions.vectors import let
 
 # Limits of the capture grammar.
 MAX_TAGS = 10
@@ -136,15 +137,17 @@ def tag_correlation(routed: DataFrame, tags: str = "tags", routed_tag: str = "ro
 
 def language_scores(text: Column, stop_words: dict[str, list[str]]) -> Column:
     """Array of (hits, lang): stop-word occurrences per language, counted inside the row."""
-    return F.array(*[
-        F.struct(_hits(text, stop_words[lang]).alias("hits"), F.lit(lang).alias("lang"))
+    tokens = F.split(F.lower(text), rf"[^{tx.WORD}]+")
+    every = sorted({w for words in stop_words.values() for w in words})
+    # most tokens are no stop word, so one pass keeps the few that are
+    return let(F.filter(tokens, lambda t: t.isin(every)), lambda hits: F.array(*[
+        F.struct(_count_of(hits, stop_words[lang]).alias("hits"), F.lit(lang).alias("lang"))
         for lang in sorted(stop_words)
-    ])
+    ]))
 
 
-def _hits(text: Column, words: list[str]) -> Column:
-    pattern = r"(?<![\p{L}\p{N}_])(?:" + "|".join(words) + r")(?![\p{L}\p{N}_])"
-    return F.regexp_count(F.lower(text), F.lit(pattern))
+def _count_of(tokens: Column, wanted: list[str]) -> Column:
+    return F.size(F.filter(tokens, lambda t: t.isin(wanted)))
 
 
 def detect_language(notes: DataFrame, stop_words: dict[str, list[str]], text: str = "text",
