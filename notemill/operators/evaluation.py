@@ -97,27 +97,53 @@ def weighted_metrics(counts: DataFrame, by: list[str] | None = None) -> DataFram
     return scores.withColumn("accuracy", F.col("recall"))
 
 
-def correlation(confidence: Column, correct: Column) -> Column:
-    """Pearson correlation aggregate, 0 where undefined."""
-    return F.coalesce(F.nanvl(F.corr(confidence, correct.cast("double")), F.lit(0.0)), F.lit(0.0))
+def outcome_table(results: DataFrame, confidence: str = "confidence", time_ms: str | None = None,
+                  by: list[str] | None = None, extra: list[Column] | None = None) -> DataFrame:
+    """Everything the scores need, in one pass: per (group, true, predicted) counts and sums.
 
+    Correctness is constant within a pair of tags, so these sums also give the
+    correlation. The table has at most tags x tags rows per group; it is
+    written once, so routing is not repeated for each measure.
+    """
+    c, t = F.col(confidence), F.col(time_ms) if time_ms else F.lit(0.0)
+    return cut_lineage(results.groupBy(
+        *(by or []), F.col("true_tag"), F.col("routed_tag").alias("pred_tag")
+    ).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(c).alias("c"), F.sum(c * c).alias("cc"), F.sum(t).alias("t"),
+        F.count(t).alias("timed"), *(extra or [])))
 
-def evaluate(results: DataFrame, tags: DataFrame, confidence: str = "confidence",
-             time_ms: str | None = None, by: list[str] | None = None) -> DataFrame:
+
+def known_outcomes(outcomes: DataFrame, tags: DataFrame) -> DataFrame:
+    """Outcome rows whose tags are both in the ontology."""
+    return keep_known_tags(outcomes, tags, predicted="pred_tag")
+
+
+def correlation_from_sums(n: Column, c: Column, cc: Column, y: Column, cy: Column) -> Column:
+    """Pearson correlation of a score with a 0/1 outcome from their sums; 0 where undefined."""
+    spread = (n * cc - c * c) * (n * y - y * y)
+    return F.when(spread > 0, (n * cy - c * y) / F.sqrt(spread)).otherwise(F.lit(0.0))
+
+
+def metrics_from_outcomes(outcomes: DataFrame, tags: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row per group: weighted scores, accuracy, confidence correlation, mean time.
 
     Time is averaged over all rows, the scores over rows with known tags only.
     """
     by = by or []
-    known = keep_known_tags(results, tags)
-    correct = F.col("true_tag") == F.col("routed_tag")
-    scores = weighted_metrics(confusion_counts(known, by=by), by)
-    corr = known.groupBy(*by).agg(correlation(F.col(confidence), correct).alias("confidence_correlation"))
-    time = F.avg(time_ms) if time_ms else F.lit(0.0)
-    times = results.groupBy(*by).agg(F.coalesce(time, F.lit(0.0)).alias("processing_time_ms"))
+    known = known_outcomes(outcomes, tags)
+    scores = weighted_metrics(known.select(*by, "true_tag", "pred_tag", "n"), by)
+    right = F.col("true_tag") == F.col("pred_tag")
+    sums = known.groupBy(*by).agg(
+        F.sum("n").cast("double").alias("n"), F.sum("c").alias("c"), F.sum("cc").alias("cc"),
+        F.sum(F.when(right, F.col("n")).otherwise(0)).cast("double").alias("y"),
+        F.sum(F.when(right, F.col("c")).otherwise(0.0)).alias("cy"))
+    corr = sums.select(*by, correlation_from_sums(
+        *[F.col(x) for x in ("n", "c", "cc", "y", "cy")]).alias("confidence_correlation"))
+    times = outcomes.groupBy(*by).agg(
+        F.coalesce(F.try_divide(F.sum("t"), F.sum("timed")), F.lit(0.0)).alias("processing_time_ms"))
     if by:
         return scores.join(corr, by).join(times, by)
-    # three one-row aggregates side by side
+    # three one-row aggregates of the small table side by side
     row = lambda df: F.struct(*df.columns)
     return (
         scores.withColumn("_c", corr.select(row(corr)).scalar())
@@ -126,6 +152,12 @@ def evaluate(results: DataFrame, tags: DataFrame, confidence: str = "confidence"
     )
 
 
+def evaluate(results: DataFrame, tags: DataFrame, confidence: str = "confidence",
+             time_ms: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Scores of routed, labelled results; reads them once."""
+    return metrics_from_outcomes(outcome_table(results, confidence, time_ms, by), tags, by)
+
+
 def worst_tags(per_tag: DataFrame, n: int = 3) -> DataFrame:
     return per_tag.orderBy("f1_score", "tag").limit(n)
 
@@ -146,10 +178,9 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, n_splits: int = 5,
 def stratified_split(df: DataFrame, label: str, id_col: str, validation: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``is_train``: the first rows of a label in hash order, up to its training share."""
     keyed = df.withColumn("_digest", _digest(id_col, seed))
-    numbered = hashed_row_number(keyed, label, "_digest", id_col, "_rn")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = hashed_row_number(keyed, label, "_digest", id_col, "_rn", total="_n")
     train = F.col("_rn") <= F.col("_n") - F.ceil(F.col("_n") * validation)
-    return numbered.join(broadcast_if_small(sizes), label).withColumn("is_train", train).drop("_digest", "_rn", "_n")
+    return numbered.withColumn("is_train", train).drop("_digest", "_rn", "_n")
 
 
 def cross_validate(notes: DataFrame, tags: DataFrame, router: Callable[[DataFrame], DataFrame],
@@ -196,10 +227,12 @@ def union_models(results: dict[str, DataFrame]) -> DataFrame:
 
 def compare_models(results: DataFrame, tags: DataFrame, time_ms: str | None = None) -> DataFrame:
     """One row per model: scores, time, memory, dimension and size. Needs ``embedding_dimension``."""
-    scores = evaluate(results, tags, time_ms=time_ms, by=["model_name"])
-    dims = results.groupBy("model_name").agg(F.max("embedding_dimension").alias("embedding_dimension"))
+    by = ["model_name"]
+    outcomes = outcome_table(results, time_ms=time_ms, by=by,
+                             extra=[F.max("embedding_dimension").alias("embedding_dimension")])
+    dims = outcomes.groupBy("model_name").agg(F.max("embedding_dimension").alias("embedding_dimension"))
     return (
-        scores.join(dims, "model_name")
+        metrics_from_outcomes(outcomes, tags, by).join(dims, "model_name")
         .withColumn("memory_usage_mb", memory_estimate_mb(F.col("embedding_dimension")))
         .withColumn("model_size_mb", model_size_mb(F.col("model_name")))
     )

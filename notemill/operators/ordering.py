@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from notemill.runtime import cut_lineage
+from notemill.runtime import broadcast_if_small, cut_lineage
 
 # monotonically_increasing_id keeps the partition in the upper 31 bits
 _ROW_BITS = 33
@@ -36,16 +36,19 @@ def distributed_index(df: DataFrame, order_by: list[str], pos: str = "pos") -> D
 
 
 def hashed_row_number(df: DataFrame, partition: str, order_key: str, id_col: str,
-                      name: str = "rn", prefix_chars: int = 3) -> DataFrame:
+                      name: str = "rn", total: str | None = None, prefix_chars: int = 3) -> DataFrame:
     """1-based row number inside ``partition`` in the order of a hex digest ``order_key``.
 
     The digest is uniform, so its first characters cut even a hot partition
-    into ``16 ** prefix_chars`` equal pieces; the pieces' counts give offsets.
+    into ``16 ** prefix_chars`` equal pieces; the pieces' counts give offsets
+    and, under ``total``, the size of the partition.
     """
     pieces = df.withColumn("_piece", F.substring(order_key, 1, prefix_chars))
     sizes = pieces.groupBy(partition, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(partition).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(partition, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = sizes.select(
+        partition, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        *([F.sum("_n").over(W.partitionBy(partition)).alias(total)] if total else []))
     inside = W.partitionBy(partition, "_piece").orderBy(order_key, id_col)
     return (
         pieces.withColumn("_inside", F.row_number().over(inside))
@@ -134,7 +137,7 @@ def exact_ranks(df: DataFrame, key: str, value: str, ranks: dict[str, Column]) -
     """
     slim = df.select(key, value).filter(F.col(value).isNotNull())
     indexed = distributed_index(slim, [key, value], "_pos")
-    spans = indexed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("_start"))
+    spans = cut_lineage(indexed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("_start")))
     wanted = spans.select(
         key, "n",
         F.explode(F.array(*[
@@ -142,7 +145,7 @@ def exact_ranks(df: DataFrame, key: str, value: str, ranks: dict[str, Column]) -
             for name, rank in ranks.items()
         ])).alias("w"),
     ).select(key, "n", "w.name", "w._pos")
-    picked = wanted.join(indexed.drop(key), "_pos")
+    picked = broadcast_if_small(wanted).join(indexed.drop(key), "_pos")
     return picked.groupBy(key).agg(
         F.first("n").alias("n"),
         *[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks],

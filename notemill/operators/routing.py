@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -240,9 +241,45 @@ def similarities_to(df: DataFrame, query: DataFrame, vector: str = "vector", out
 
 
 def similarity_search(notes: DataFrame, queries: DataFrame, k: int, min_similarity: float,
-                      note_id: str = "note_id", query_id: str = "query_id") -> DataFrame:
-    """The k most similar notes of every query vector at or above ``min_similarity``."""
-    return blocked_candidates(queries, notes, query_id, note_id, k, min_similarity)
+                      note_id: str = "note_id", query_id: str = "query_id",
+                      max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """The k most similar notes of every query vector at or above ``min_similarity``.
+
+    Query vectors under the bound travel to the notes, which stay where they
+    are: each batch gives at most k notes per query, ranked again per query. More queries
+    than that are matched block by block.
+    """
+    queries = cut_lineage(queries.select(query_id, vx.as_double(F.col("vector")).alias("vector")))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
+    if size["n"] * (size["d"] or 0) * 8 > max_broadcast_bytes:
+        return blocked_candidates(queries, notes, query_id, note_id, k, min_similarity)
+    rows = queries.collect()  # bounded above
+    if not rows:
+        return blocked_candidates(queries, notes, query_id, note_id, k, min_similarity)
+    q_type = queries.schema[query_id].dataType.simpleString()
+    n_type = notes.schema[note_id].dataType.simpleString()
+    ids = pa.array([r[query_id] for r in rows])
+    shared = notes.sparkSession.sparkContext.broadcast(np.array([r["vector"] for r in rows], dtype="float64"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit_queries = _unit_rows(shared.value)
+        for batch in batches:
+            batch = batch.sort_by(batch.schema.names[0])  # ties: smaller note id first
+            scores = unit_queries @ _unit_rows(_matrix(batch.column(1))).T
+            best = _best(scores, k)
+            sims = np.take_along_axis(scores, best, 1).ravel()
+            keep = sims >= min_similarity
+            which = np.repeat(np.arange(len(ids)), best.shape[1])[keep]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(which)), batch.column(0).take(pa.array(best.ravel()[keep])), pa.array(sims[keep])],
+                names=["q", "n", "similarity"])
+
+    slim = notes.select(note_id, "vector").filter(F.col("vector").isNotNull())
+    found = slim.mapInArrow(search, f"q {q_type}, n {n_type}, similarity double")
+    # the rank limit is applied before the shuffle too, so a query moves k rows per partition
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("similarity"), "n"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(
+        F.col("q").alias(query_id), F.col("n").alias(f"match_{note_id}"), "similarity", "rank")
 
 
 def nearest_notes(notes: DataFrame, k: int = 1, min_similarity: float = 0.8,

@@ -16,6 +16,7 @@ from notemill.operators import recommendations as rec
 from notemill.operators import routing as rt
 from notemill.operators import validation as va
 from notemill.operators.embedding import embed_hashed, tag_definition_vectors
+from notemill.runtime import cut_lineage
 from notemill.sources import writers as wr
 
 Embed = Callable[[DataFrame], DataFrame]
@@ -51,11 +52,46 @@ def integrated_rows(routed: DataFrame, tags: DataFrame, model: str = "hashed-tok
     )
 
 
+def integration_outcomes(routed: DataFrame) -> DataFrame:
+    """All sums behind the insights, per user tag, from one pass over the routed notes.
+
+    Every note gives one row per distinct tag (one row with a NULL tag if it has
+    none); its first row also carries the note's own counts. Written once.
+    """
+    ok = F.col("routed_tag") != "error"
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    rows = routed.select(
+        F.posexplode_outer(F.array_distinct("tags")).alias("pos", "tag"), "routed_tag", "confidence",
+        "similarity_score", ok.alias("ok"), F.col("valid"), F.size("tags").alias("n_tags"),
+        (F.col("comment") != "").alias("commented"))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    own = lambda c: F.sum(F.when(first, c).otherwise(0))
+    return cut_lineage(rows.groupBy("tag").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.count_if(F.col("tag") == F.col("routed_tag")).alias("snr_matches"),
+        own(F.lit(1)).alias("notes"), own(flag(F.col("valid"))).alias("valid"),
+        own((F.col("n_tags") > 0).cast("long")).alias("tagged"), own(flag(F.col("commented"))).alias("commented"),
+        own(F.col("n_tags")).alias("n_tags"), own(flag(F.col("ok"))).alias("ok"),
+        F.sum(F.when(first & F.col("ok"), F.col("confidence")).otherwise(0.0)).alias("confidence"),
+        F.sum(F.when(first & F.col("ok"), F.col("similarity_score")).otherwise(0.0)).alias("similarity")))
+
+
 def integration_insights(routed: DataFrame) -> DataFrame:
     """One row: capture stats, routing stats, tag correlations, recommendations."""
-    capture, routes, corr = nt.capture_stats(routed), ob.routing_stats(routed), nt.tag_correlation(routed)
-    spark = routed.sparkSession
-    return spark.range(1).select(
+    sums = integration_outcomes(routed)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.0)).cast("double")
+    capture = sums.agg(
+        total("notes").alias("total_notes"), total("valid").alias("valid_notes"),
+        (total("notes") - total("valid")).alias("invalid_notes"), total("tagged").alias("notes_with_tags"),
+        total("commented").alias("notes_with_comments"), ratio("n_tags", "notes").alias("avg_tags_per_note"))
+    routes = sums.agg(
+        total("notes").alias("total_routes"), total("ok").alias("successful_routes"),
+        (total("notes") - total("ok")).alias("failed_routes"), ratio("ok", "notes").alias("success_rate"),
+        ratio("confidence", "ok").alias("avg_confidence"), ratio("similarity", "ok").alias("avg_similarity"))
+    corr = sums.filter(F.col("tag").isNotNull()).select(
+        "tag", "count", "snr_matches", (F.col("snr_matches") / F.col("count")).alias("correlation_rate"))
+    return routed.sparkSession.range(1).select(
         wr.pack_row(capture).alias("quickcapture_stats"),
         wr.pack_row(routes).alias("snr_stats"),
         wr.pack(corr).alias("tag_correlations"),
@@ -103,8 +139,26 @@ def library_batch(notes: DataFrame, tags: DataFrame, embed: Embed = embed_hashed
 # --- full evaluation -------------------------------------------------------
 
 def validation_report(checked: DataFrame) -> DataFrame:
-    """One row: summary, error counts by type, recommendations. Details stay a table (``issue_rows``)."""
-    summary, types = va.validation_summary(checked), va.error_type_counts(checked)
+    """One row: summary, error counts by type, recommendations. Details stay a table (``issue_rows``).
+
+    One pass over the notes; the written table has one row per error type.
+    """
+    rows = checked.select(F.posexplode_outer("errors.error_type").alias("pos", "error_type"), "is_valid", "quality",
+                          F.size("errors").alias("errors"), F.size("warnings").alias("warnings"))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    own = lambda c: F.sum(F.when(first, c).otherwise(0))
+    sums = cut_lineage(rows.groupBy("error_type").agg(
+        F.count(F.lit(1)).alias("count"), own(F.lit(1)).alias("items"), own(F.col("is_valid").cast("long")).alias("valid"),
+        own(F.col("quality")).alias("quality"), own(F.col("errors")).alias("errors"),
+        own(F.col("warnings")).alias("warnings")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    summary = sums.agg(
+        total("items").alias("total_items"), total("valid").alias("valid_items"),
+        (total("items") - total("valid")).alias("invalid_items"),
+        F.coalesce(F.try_divide(F.sum("valid"), F.sum("items")), F.lit(0.0)).alias("validation_rate"),
+        F.bround(F.coalesce(F.try_divide(F.sum("quality"), F.sum("items")), F.lit(0.0)), 3).alias("average_quality_score"),
+        total("errors").alias("total_errors"), total("warnings").alias("total_warnings"))
+    types = sums.filter(F.col("error_type").isNotNull()).select("error_type", "count")
     return checked.sparkSession.range(1).select(
         wr.pack_row(summary).alias("summary"), wr.pack(types).alias("error_types"),
         wr.messages(rec.validation_recommendations(summary, types)).alias("recommendations"))
@@ -112,9 +166,9 @@ def validation_report(checked: DataFrame) -> DataFrame:
 
 def evaluation_report(results: DataFrame, tags: DataFrame, time_ms: str | None = None) -> DataFrame:
     """One row: overall scores, per-tag scores, recommendations."""
-    metrics = ev.evaluate(results, tags, time_ms=time_ms)
-    per_tag = ev.with_all_tags(
-        ev.per_tag_metrics(ev.confusion_counts(ev.keep_known_tags(results, tags))), tags)
+    outcomes = ev.outcome_table(results, time_ms=time_ms)
+    metrics = ev.metrics_from_outcomes(outcomes, tags)
+    per_tag = ev.with_all_tags(ev.per_tag_metrics(ev.known_outcomes(outcomes, tags)), tags)
     return results.sparkSession.range(1).select(
         wr.pack_row(metrics).alias("summary"), wr.pack(per_tag).alias("per_tag_performance"),
         wr.messages(rec.evaluation_recommendations(metrics, per_tag)).alias("recommendations"))
@@ -141,17 +195,18 @@ def full_evaluation(notes: DataFrame, tags: DataFrame, results: DataFrame,
     """
     spark = notes.sparkSession
     checked = va.validate_notes(notes)
-    quality = va.input_summary(checked, va.detect_outliers(notes), "notes")
+    quality = cut_lineage(va.input_summary(checked, va.detect_outliers(notes), "notes"))
     tag_quality = va.input_summary(va.validate_tags(tags), None, "tags")
-    comparison = ev.compare_models(results, tags, time_ms)
-    best = ev.best_model(comparison)
-    chosen = results.join(F.broadcast(best.select("model_name")), "model_name", "left_semi")  # one row
-    data = cal.calibration_dataset(chosen)
+    comparison = cut_lineage(ev.compare_models(results, tags, time_ms))  # one row per model
+    best = ev.best_model(comparison).select("model_name")
+    # three slim columns of the best model, written once for the fit and both reports
+    data = cut_lineage(cal.calibration_dataset(results.filter(F.col("model_name") == best.scalar())).select(
+        "note_id", "score", "correct"))
     calibrator = cal.fit_platt(data)
     scored = data.withColumn("calibrated", calibrator.predict(F.col("score")))
     gain = cal.calibration_report(data, calibrator)
     ece = cal.calibration_error(scored, "calibrated", "correct")
-    mean_time = results.agg(F.coalesce(F.avg(time_ms) if time_ms else F.lit(0.0), F.lit(0.0)))
+    mean_time = comparison.agg(F.coalesce(F.avg("processing_time_ms"), F.lit(0.0)))
     row = spark.range(1).select(
         wr.pack_row(quality).alias("note_quality"), wr.pack_row(tag_quality).alias("tag_quality"),
         wr.pack_row(comparison_report(comparison)).alias("model_performance"),

@@ -12,7 +12,7 @@ from notemill.operators import routing as rt
 from notemill.operators import rules as ru
 from notemill.plans import flows as fl
 from notemill.plans import inputs as inp
-from notemill.runtime import scratch_path
+from notemill.runtime import cut_lineage, scratch_path
 from notemill.sources import writers as wr
 
 QUERIES = {}
@@ -179,7 +179,7 @@ _MODELS = {"full-64": (1, 64), "head-32": (1, 32), "tail-16": (49, 64)}
 
 def _model_results(spark, sf):
     notes = inp.labelled_vectors(spark, sf)
-    tags = inp.centroid_tags(notes)
+    tags = cut_lineage(inp.centroid_tags(notes))
     results = {}
     for i, (name, (low, high)) in enumerate(_MODELS.items()):
         part = F.slice("vector", low, high - low + 1)
@@ -232,8 +232,6 @@ UNION ALL (SELECT 'precision', model_name FROM cmp ORDER BY precision DESC, mode
 UNION ALL (SELECT 'recall', model_name FROM cmp ORDER BY recall DESC, model_name LIMIT 1)
 UNION ALL (SELECT 'speed', model_name FROM cmp ORDER BY processing_time_ms, model_name LIMIT 1)""")
 def best_model(spark, sf):
-    from notemill.runtime import cut_lineage
-
     comparison = cut_lineage(_comparison(spark, sf))  # one row per model, read four times
     out = None
     for criteria in ("f1_score", "precision", "recall", "speed"):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from notemill.functions import text as tx
 from notemill.operators import notes as nt
-from notemill.operators import recommendations as rec
 from notemill.operators import rules as ru
 from notemill.operators import validation as va
 from notemill.operators.ordering import round_robin
@@ -313,9 +312,8 @@ SELECT 'More than 10% of items failed validation. Review data quality.' AS recom
 UNION ALL SELECT 'High number of errors compared to warnings. Check data format.' FROM s WHERE e > 2 * w
 UNION ALL SELECT 'High frequency of ' || error_type || ' errors. Review validation rules.' FROM t, s WHERE c > n * 0.05""")
 def validation_recommendations(spark, sf):
-    checked = _checked(spark, sf)
-    return rec.validation_recommendations(va.validation_summary(checked), va.error_type_counts(checked)).select(
-        "recommendation")
+    report = fl.validation_report(_checked(spark, sf))
+    return report.select(F.explode("recommendations").alias("recommendation"))
 
 
 @_query("length_outliers", f"""WITH {inp.SQL_NOTES},

@@ -13,6 +13,7 @@ from notemill.operators import routing as rt
 from notemill.plans import flows as fl
 from notemill.plans import inputs as inp
 from notemill.plans.inputs import table
+from notemill.runtime import cut_lineage
 from notemill.sources import ontology as on
 from notemill.sources import writers as wr
 
@@ -81,7 +82,9 @@ SELECT note_id, routed_tag, 'notes labelled ' || routed_tag AS tag_description,
   (SELECT string_agg(tag, ',' ORDER BY rank) FROM ranked r WHERE r.note_id = routed.note_id AND rank <= 3) AS candidates
 FROM routed JOIN n ON n.tag = routed_tag""")
 def routing_results(spark, sf):
-    full = rt.with_result_columns(_routed(spark, sf), _tags(spark, sf), "centroid")
+    notes = _vectors(spark, sf)
+    tags = cut_lineage(inp.centroid_tags(notes))  # one row per tag, used by the index and the join
+    full = rt.with_result_columns(rt.route(notes, rt.build_index(tags)), tags, "centroid")
     return full.select(
         "note_id", "routed_tag", "tag_description", F.array_join("tag_examples", ",").alias("tag_examples"),
         "routed_by", "version", F.col("metadata.embedding_model").alias("model"), "metadata.disambiguation_used",
@@ -105,9 +108,10 @@ SELECT CASE WHEN routed_tag::INT = 9 THEN routed_tag ELSE 'group_' || (routed_ta
 FROM routed GROUP BY 1""")
 def parent_rollup(spark, sf):
     n = F.col("tag").cast("int")
-    tags = _tags(spark, sf).withColumn(
-        "parent_tag", F.when(n != 9, F.concat(F.lit("group_"), (n % 3).cast("string"))))
-    return on.roll_up_to_parent(_routed(spark, sf), tags)
+    notes = _vectors(spark, sf)
+    tags = cut_lineage(inp.centroid_tags(notes).withColumn(
+        "parent_tag", F.when(n != 9, F.concat(F.lit("group_"), (n % 3).cast("string")))))
+    return on.roll_up_to_parent(rt.route(notes, rt.build_index(tags)), tags)
 
 
 @_query("routing_stats", f"""WITH {inp.SQL_ROUTED}
@@ -137,7 +141,7 @@ SELECT note_id, routed_tag, votes, round(s, 4) AS mean_similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY votes DESC, s DESC, routed_tag) AS rn FROM v) WHERE rn = 1""")
 def ensemble_vote(spark, sf):
     notes = _vectors(spark, sf)
-    tags = inp.centroid_tags(notes)
+    tags = cut_lineage(inp.centroid_tags(notes))
     results = []
     for part in (F.col("vector"), F.slice("vector", 1, 32), F.slice("vector", 33, 32)):
         index = rt.build_index(tags.withColumn("vector", part))
@@ -174,6 +178,14 @@ def similarity_search(spark, sf):
     return rt.similarity_search(notes, queries, 5, 0.2, "vec_id").withColumn("similarity", F.round("similarity", 4))
 
 
+@_query("similarity_search_blocked", ORACLE["similarity_search"])
+def similarity_search_blocked(spark, sf):
+    notes = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    queries = _tags(spark, sf).select(F.col("tag").alias("query_id"), "vector")
+    out = rt.similarity_search(notes, queries, 5, 0.2, "vec_id", max_broadcast_bytes=0)
+    return out.withColumn("similarity", F.round("similarity", 4))
+
+
 @_query("nearest_notes", """
 WITH d AS (SELECT embedding, min(vec_id) AS vec_id, count(*) AS copies FROM embeddings GROUP BY embedding),
 u AS (SELECT vec_id, copies, embedding::DOUBLE[] AS v FROM d),
