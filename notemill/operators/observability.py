@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notemill.operators.ordering import exact_ranks, trailing_rows_average, trailing_time_count
@@ -243,8 +244,8 @@ def destination_metrics(decisions: DataFrame, destination: str, duration: str, c
     per = decisions.groupBy(destination).agg(
         F.count(F.lit(1)).alias("decisions"), F.avg(duration).alias("average_decision_time"),
         F.avg(correct.cast("double")).alias("routing_accuracy"), F.avg(error.cast("double")).alias("error_rate"))
-    total = decisions.agg(F.count(F.lit(1)))
-    return per.withColumn("utilization", F.col("decisions") / total.scalar())
+    total = F.sum("decisions").over(W.partitionBy())  # over one row per destination
+    return per.withColumn("utilization", F.col("decisions") / total)
 
 
 def note_status(events: DataFrame, note_id: str = "note_id", event_type: str = "event_type",

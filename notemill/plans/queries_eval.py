@@ -43,7 +43,7 @@ def _known_tags(spark):
 
 
 def _counts(spark, sf):
-    return ev.confusion_counts(ev.keep_known_tags(_routed(spark, sf), _known_tags(spark)))
+    return ev.known_outcomes(ev.confusion_counts(_routed(spark, sf)), _known_tags(spark))
 
 
 def _round(df, *columns, digits=4):

@@ -20,10 +20,10 @@ CALIBRATOR_SCHEMA = (
 def write_by_tag(parsed: DataFrame, path: str, max_records_per_file: int = 1_000_000) -> None:
     """Append one JSON row per (note, tag) under ``tag_dir=<tag>``; the row keeps its tag.
 
-    Each task writes the tags it holds; no tag is gathered in one task, and big
-    tags are split over files.
+    Rows are rebalanced by tag so that a tag gets few files; adaptive execution
+    splits a tag that is too big for one task.
     """
-    rows = fan_out(parsed).withColumn("tag_dir", F.col("tag"))
+    rows = fan_out(parsed).withColumn("tag_dir", F.col("tag")).hint("rebalance", F.col("tag_dir"))
     rows.write.mode("append").option("maxRecordsPerFile", max_records_per_file).partitionBy("tag_dir").json(path)
 
 
