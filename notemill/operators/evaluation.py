@@ -208,7 +208,7 @@ def cross_validate_trained(notes: DataFrame, tags: DataFrame,
 # --- model comparison ------------------------------------------------------
 
 def memory_estimate_mb(dimension: Column) -> Column:
-    return F.least(dimension * 4 * 1000 / F.lit(1024.0 * 1024.0), F.lit(1000.0))
+    return F.least(dimension.cast("double") * 4 * 1000 / F.lit(1024.0 * 1024.0), F.lit(1000.0))
 
 
 def model_size_mb(model: Column) -> Column:
