@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notemill.runtime import spread
+
 RUN_TS = "2025-01-31T00:00:00"
 RUN_NOW = "2024-01-31 00:00:00"
 VECTOR_THRESHOLD = 0.3
 HASH_DIM = 64
 
 
+# tables whose rows carry long texts, so that the work per row is high
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 # --- SQL twins of the text helpers (RE2 escapes) ----------------------------
