@@ -43,7 +43,13 @@ def deduplicate_notes(notes: DataFrame, order_by: str = "note_id", text: str = "
 
 
 def filter_by_length(notes: DataFrame, min_words: int = 3, max_words: int = 500, text: str = "text") -> DataFrame:
-    return notes.filter(tx.word_count(F.col(text)).between(min_words, max_words))
+    """Rows with ``min_words`` to ``max_words`` words, both included.
+
+    Written as one comparison, since the two of a ``between`` would each count
+    the words (and repeat whatever made the text column).
+    """
+    twice = tx.word_count(F.col(text)) * 2
+    return notes.filter(F.abs(twice - (min_words + max_words)) <= max_words - min_words)
 
 
 def is_iso_timestamp(c: Column) -> Column:
