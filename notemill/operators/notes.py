@@ -137,8 +137,8 @@ def tag_correlation(routed: DataFrame, tags: str = "tags", routed_tag: str = "ro
     pairs = routed.select(F.explode(F.array_distinct(tags)).alias("tag"), F.col(routed_tag).alias("_routed"))
     return pairs.groupBy("tag").agg(
         F.count(F.lit(1)).alias("count"),
-        F.count_if(F.col("tag") == F.col("_routed")).alias("snr_matches"),
-    ).withColumn("correlation_rate", F.col("snr_matches") / F.col("count"))
+        F.count_if(F.col("tag") == F.col("_routed")).alias("route_matches"),
+    ).withColumn("correlation_rate", F.col("route_matches") / F.col("count"))
 
 
 def language_scores(text: Column, stop_words: dict[str, list[str]]) -> Column:

@@ -81,15 +81,15 @@ def integration_recommendations(capture: DataFrame, routing: DataFrame, correlat
         "_low", low_tags.scalar())
     listed = F.transform("_low", lambda t: F.concat(F.lit("'"), t, F.lit("'")))
     rules = [
-        F.when(F.col("invalid_notes") > 0, "Some QuickCapture notes failed validation. Review grammar rules."),
+        F.when(F.col("invalid_notes") > 0, "Some captured notes failed validation. Review grammar rules."),
         F.when(F.col("avg_tags_per_note") < 1,
-               "Low tag usage in QuickCapture. Consider encouraging tag usage."),
+               "Low tag usage in captured notes. Consider encouraging tag usage."),
         F.when(F.col("_r.success_rate") < 0.9,
-               "SNR routing success rate below 90%. Review model and tag definitions."),
+               "Routing success rate below 90%. Review model and tag definitions."),
         F.when(F.col("_r.avg_confidence") < 0.7,
-               "Low average confidence in SNR routing. Consider confidence calibration."),
+               "Low average confidence in routing. Consider confidence calibration."),
         F.when(F.size("_low") > 0, F.concat(
-            F.lit("Low correlation between QuickCapture and SNR tags: ["), F.array_join(listed, ", "), F.lit("]"))),
+            F.lit("Low correlation between user tags and routed tags: ["), F.array_join(listed, ", "), F.lit("]"))),
     ]
     return _messages(row, rules)
 

@@ -42,11 +42,11 @@ def integrated_rows(routed: DataFrame, tags: DataFrame, model: str = "hashed-tok
     failed = F.col("routed_tag") == "error"
     return full.select(
         "note_id",
-        F.struct("tags", "body", "comment", "timestamp", "valid", "issues").alias("quickcapture_data"),
+        F.struct("tags", "body", "comment", "timestamp", "valid", "issues").alias("capture_data"),
         F.struct("routed_tag", "similarity_score", "confidence",
                  F.when(failed, "Routing failed").otherwise(F.col("tag_description")).alias("tag_description"),
                  F.coalesce("tag_examples", F.array().cast("array<string>")).alias("tag_examples"),
-                 ).alias("snr_routing"),
+                 ).alias("routing"),
         F.struct(F.when(failed, "unknown").otherwise(F.lit(model)).alias("model_name"),
                  F.when(failed, "no vector").alias("error")).alias("integration_metadata"),
     )
@@ -68,7 +68,7 @@ def integration_outcomes(routed: DataFrame) -> DataFrame:
     own = lambda c: F.sum(F.when(first, c).otherwise(0))
     return cut_lineage(rows.groupBy("tag").agg(
         F.count(F.lit(1)).alias("count"),
-        F.count_if(F.col("tag") == F.col("routed_tag")).alias("snr_matches"),
+        F.count_if(F.col("tag") == F.col("routed_tag")).alias("route_matches"),
         own(F.lit(1)).alias("notes"), own(flag(F.col("valid"))).alias("valid"),
         own((F.col("n_tags") > 0).cast("long")).alias("tagged"), own(flag(F.col("commented"))).alias("commented"),
         own(F.col("n_tags")).alias("n_tags"), own(flag(F.col("ok"))).alias("ok"),
@@ -90,10 +90,10 @@ def integration_insights(routed: DataFrame) -> DataFrame:
         (total("notes") - total("ok")).alias("failed_routes"), ratio("ok", "notes").alias("success_rate"),
         ratio("confidence", "ok").alias("avg_confidence"), ratio("similarity", "ok").alias("avg_similarity"))
     corr = sums.filter(F.col("tag").isNotNull()).select(
-        "tag", "count", "snr_matches", (F.col("snr_matches") / F.col("count")).alias("correlation_rate"))
+        "tag", "count", "route_matches", (F.col("route_matches") / F.col("count")).alias("correlation_rate"))
     return routed.sparkSession.range(1).select(
-        wr.pack_row(capture).alias("quickcapture_stats"),
-        wr.pack_row(routes).alias("snr_stats"),
+        wr.pack_row(capture).alias("capture_stats"),
+        wr.pack_row(routes).alias("routing_stats"),
         wr.pack(corr).alias("tag_correlations"),
         wr.messages(rec.integration_recommendations(capture, routes, corr)).alias("recommendations"),
     )
@@ -101,7 +101,7 @@ def integration_insights(routed: DataFrame) -> DataFrame:
 
 def integration_summary(insights: DataFrame) -> DataFrame:
     """The insights as text lines."""
-    q, s = F.col("quickcapture_stats"), F.col("snr_stats")
+    q, s = F.col("capture_stats"), F.col("routing_stats")
     lines = F.concat(
         F.array(
             F.lit("INTEGRATION SUMMARY"),
@@ -254,6 +254,39 @@ def evaluation_summary(report: DataFrame) -> DataFrame:
     return report.select(F.array_join(lines, "\n").alias("value"))
 
 
+def save_comparison(comparison: DataFrame, path: str) -> None:
+    """Comparison report and best model as JSON."""
+    comparison = cut_lineage(comparison)  # one row per model, read by both
+    wr.write_report(comparison_report(comparison), f"{path}/model_comparison")
+    wr.write_report(ev.best_model(comparison), f"{path}/best_model")
+
+
+def save_full_evaluation(report: DataFrame, path: str) -> None:
+    """The report row as JSON and as readable text."""
+    report = cut_lineage(report)
+    wr.write_report(report, f"{path}/comprehensive_evaluation_report")
+    wr.write_lines(evaluation_summary(report), f"{path}/evaluation_summary")
+
+
+# --- telemetry exports -----------------------------------------------------
+
+def export_metrics(samples: DataFrame, path: str, order_by: list[str]) -> None:
+    """Summary of the newest samples and the whole history, one dataset each."""
+    wr.write_sections({"summary": ob.recent_metrics_summary(samples, order_by), "history": samples}, path)
+
+
+def export_errors(errors: DataFrame, now: Column, path: str, order_by: list[str]) -> None:
+    """Counts, health, most common, newest and all errors, one dataset each."""
+    wr.write_sections({
+        "summary": ob.error_summary(errors),
+        "error_rate": ob.error_rate(errors, now),
+        "component_health": ob.component_health(errors, now),
+        "most_common_errors": ob.most_common_errors(errors),
+        "recent_errors": ob.latest(errors, order_by),
+        "all_errors": errors,
+    }, path)
+
+
 # --- chains ----------------------------------------------------------------
 
 def plugin_chain(df: DataFrame, plugins: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:

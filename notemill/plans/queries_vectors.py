@@ -323,7 +323,7 @@ def capture_and_route(spark, sf):
 
 @_query("tag_correlation", f"""WITH {_SQL_CAPTURE_ROUTED},
 u AS (SELECT unnest(tags) AS tag, CASE WHEN routed_tag = 'research_question' THEN 'en' ELSE 'src1' END AS r FROM best JOIN checked USING (note_id))
-SELECT tag, count(*) AS count, count(*) FILTER (tag = r) AS snr_matches, round(count(*) FILTER (tag = r) / count(*)::DOUBLE, 6) AS correlation_rate
+SELECT tag, count(*) AS count, count(*) FILTER (tag = r) AS route_matches, round(count(*) FILTER (tag = r) / count(*)::DOUBLE, 6) AS correlation_rate
 FROM u GROUP BY tag""")
 def tag_correlation(spark, sf):
     from notemill.operators.notes import tag_correlation as correlate
@@ -339,9 +339,9 @@ SELECT note_id, array_to_string(tags, ',') AS tags, md5(body) AS body_hash, rout
 def integrated_rows(spark, sf):
     rows = fl.integrated_rows(_captured(spark, sf), on.default_tags(spark))
     return rows.select(
-        "note_id", F.array_join("quickcapture_data.tags", ",").alias("tags"),
-        F.md5("quickcapture_data.body").alias("body_hash"), "snr_routing.routed_tag",
-        F.round("snr_routing.confidence", 4).alias("confidence"), F.size("snr_routing.tag_examples").alias("n_examples"),
+        "note_id", F.array_join("capture_data.tags", ",").alias("tags"),
+        F.md5("capture_data.body").alias("body_hash"), "routing.routed_tag",
+        F.round("routing.confidence", 4).alias("confidence"), F.size("routing.tag_examples").alias("n_examples"),
         F.col("integration_metadata.model_name").alias("model"))
 
 
@@ -349,10 +349,10 @@ def integrated_rows(spark, sf):
 c AS (SELECT count(*) FILTER (NOT valid) AS bad, avg(len(tags)) AS avg_tags FROM checked),
 r AS (SELECT avg(conf) AS conf FROM best),
 u AS (SELECT tag FROM (SELECT unnest(tags) AS tag FROM checked) GROUP BY tag HAVING count(*) > 2)
-SELECT 'Some QuickCapture notes failed validation. Review grammar rules.' AS recommendation FROM c WHERE bad > 0
-UNION ALL SELECT 'Low tag usage in QuickCapture. Consider encouraging tag usage.' FROM c WHERE avg_tags < 1
-UNION ALL SELECT 'Low average confidence in SNR routing. Consider confidence calibration.' FROM r WHERE conf < 0.7
-UNION ALL SELECT 'Low correlation between QuickCapture and SNR tags: [' || string_agg('''' || tag || '''', ', ' ORDER BY tag) || ']' FROM u HAVING count(*) > 0""")
+SELECT 'Some captured notes failed validation. Review grammar rules.' AS recommendation FROM c WHERE bad > 0
+UNION ALL SELECT 'Low tag usage in captured notes. Consider encouraging tag usage.' FROM c WHERE avg_tags < 1
+UNION ALL SELECT 'Low average confidence in routing. Consider confidence calibration.' FROM r WHERE conf < 0.7
+UNION ALL SELECT 'Low correlation between user tags and routed tags: [' || string_agg('''' || tag || '''', ', ' ORDER BY tag) || ']' FROM u HAVING count(*) > 0""")
 def integration_recommendations(spark, sf):
     insights = fl.integration_insights(_captured(spark, sf))
     return insights.select(F.explode("recommendations").alias("recommendation"))

@@ -70,6 +70,12 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+def write_sections(sections: dict[str, DataFrame], path: str) -> None:
+    """Several result tables as one JSON dataset each below a folder."""
+    for name, df in sections.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 

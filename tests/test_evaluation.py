@@ -123,9 +123,9 @@ def test_flows(spark, tmp_path):
     row = {r["note_id"]: r for r in routed.collect()}
     assert row[1]["routed_tag"] == "todo_item" and not row[2]["valid"]
     insights = fl.integration_insights(routed).first()
-    assert insights["quickcapture_stats"]["total_notes"] == 3 and insights["quickcapture_stats"]["notes_with_tags"] == 2
-    assert insights["snr_stats"]["success_rate"] == 1.0 and len(insights["tag_correlations"]) == 2
-    assert insights["recommendations"][0].startswith("Some QuickCapture notes failed")
+    assert insights["capture_stats"]["total_notes"] == 3 and insights["capture_stats"]["notes_with_tags"] == 2
+    assert insights["routing_stats"]["success_rate"] == 1.0 and len(insights["tag_correlations"]) == 2
+    assert insights["recommendations"][0].startswith("Some captured notes failed")
     fl.save_integration(routed, tags, f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out/integration_results").count() == 3
     assert spark.read.text(f"{tmp_path}/out/integration_summary").first()[0] == "INTEGRATION SUMMARY"
