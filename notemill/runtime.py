@@ -32,7 +32,7 @@ def build_session(app: str = "notemill", master: str | None = None, **conf: str)
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="notemill-ckpt-"))
