@@ -360,16 +360,18 @@ def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
     return digests(decode(encode(docs, path, public_tokenizers.PATTERN, drop_text=True), path))
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, number of ids, sha256 of the ids as decimal text and of the decoded bytes."""
+def digests(coded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, number of ids, sha256 of the ids as decimal text and of the decoded bytes."""
     def run(batch: pa.RecordBatch):
         lists = batch.column("ids")
         numbers = _byte_pool([b"%d " % i for i in range(EDGE)])
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pc.list_value_length(lists).cast(pa.int64()),
+            *[batch.column(c) for c in ("doc_id", *keep)], pc.list_value_length(lists).cast(pa.int64()),
             pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in row_bytes(lists, *numbers)]),
             pa.array([hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]),
-        ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        ], ["doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(coded.select("doc_id", "ids", "decoded"), run, T.StructType.fromDDL(
-        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
+    made = T.StructType.fromDDL("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = T.StructType([*[coded.schema[c] for c in ("doc_id", *keep)], *made.fields])
+    source = coded if "ids" in keep else coded.select("doc_id", *keep, "ids", "decoded")
+    return map_batches(source, run, schema)
