@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from notemill.operators.ordering import exact_ranks, trailing_rows_average, trailing_time_count
+from notemill.operators.ordering import exact_ranks, null_safe_join, trailing_rows_average, trailing_time_count
 
 METRICS = ("cpu_percent", "memory_mb", "processing_time_ms", "throughput_notes_per_second", "error_rate")
 _ERROR = "struct<error_type:string,stack_trace:string>"
@@ -189,7 +189,7 @@ def latency_summary(events: DataFrame, operation: str, value: str) -> DataFrame:
     })
     basic = events.groupBy(operation).agg(
         F.avg(value).alias("average_time"), F.min(value).alias("min_time"), F.max(value).alias("max_time"))
-    return ranks.withColumnRenamed("n", "total_processed").join(basic, operation)
+    return null_safe_join(ranks.withColumnRenamed("n", "total_processed"), basic, [operation])
 
 
 def latency_summary_approx(events: DataFrame, operation: str, value: str, accuracy: int = 10_000) -> DataFrame:

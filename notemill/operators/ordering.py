@@ -12,6 +12,13 @@ from notemill.runtime import broadcast_if_small, cut_lineage
 _ROW_BITS = 33
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join on ``keys`` in which NULL meets NULL; the keys stand once in the result."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, on).drop(*[f"_r_{k}" for k in keys])
+
+
 def distributed_index(df: DataFrame, order_by: list[str], pos: str = "pos") -> DataFrame:
     """Global 0-based position in ``order_by`` order.
 
@@ -51,8 +58,7 @@ def hashed_row_number(df: DataFrame, partition: str, order_key: str, id_col: str
         *([F.sum("_n").over(W.partitionBy(partition)).alias(total)] if total else []))
     inside = W.partitionBy(partition, "_piece").orderBy(order_key, id_col)
     return (
-        pieces.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [partition, "_piece"])
+        null_safe_join(pieces.withColumn("_inside", F.row_number().over(inside)), offsets, [partition, "_piece"])
         .withColumn(name, F.col("_offset") + F.col("_inside"))
         .drop("_piece", "_inside", "_offset")
     )
@@ -97,8 +103,9 @@ def trailing_time_count(df: DataFrame, key: str, ts: str, window_seconds: int, n
     counts) and the part of the oldest slice still inside the window. Rows meet
     only the rows of their own slice and of the slice one window earlier.
     """
-    width = window_seconds * 1_000_000 // slices
-    span = width * slices
+    span = window_seconds * 1_000_000
+    slices = next(n for n in range(slices, 0, -1) if span % n == 0)  # slices fill the window exactly
+    width = span // slices
     rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_slice", F.floor(F.col("_us") / width))
     counts = rows.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     # whole slices between: s-slices+1 .. s-1
@@ -123,7 +130,7 @@ def trailing_time_count(df: DataFrame, key: str, ts: str, window_seconds: int, n
         .filter(F.col("_now") == 1)
     )
     return (
-        counted.join(middle, [key, "_slice"])
+        null_safe_join(counted, middle, [key, "_slice"])
         .withColumn(name, F.col("_own") + F.col("_still") + F.col("_middle"))
         .drop("_us", "_slice", "_at", "_now", "_old", "_own", "_still", "_middle")
     )

@@ -18,6 +18,7 @@ from notemill.runtime import BROADCAST_MAX_BYTES, broadcast_if_small, cut_lineag
 ROUTED_BY = "exact-topk-v1"
 ROUTE_VERSION = 1
 DEFAULT_TOP_K = 3
+MAX_SCORES = 4_000_000  # similarities that a task holds at once
 _CANDIDATES = "array<struct<tag:string,similarity:double,threshold:double>>"
 
 
@@ -80,6 +81,11 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def _cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Products of unit rows, rounded so that equal similarities are equal numbers and ties go by position."""
+    return np.round(left @ right.T, 12)
+
+
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k largest scores of each row, ties in column order."""
     return np.argsort(-scores, axis=1, kind="stable")[:, :k]
@@ -99,12 +105,17 @@ def top_candidates(vector: Column, index: TagIndex, top_k: int) -> Column:
     @F.arrow_udf(_CANDIDATES)
     def candidates(batch: pa.Array) -> pa.Array:
         notes = _unit_rows(_matrix(batch))
-        scores = notes @ shared.value.T if notes.shape[1] else np.zeros((len(notes), len(names)))
-        best = _best(scores, k)
+        step = max(1, MAX_SCORES // len(names))  # rows whose scores are held at once
+        best, sims = np.zeros((len(notes), k), np.int64), np.zeros((len(notes), k))
+        for a in range(0, len(notes), step):
+            part = notes[a:a + step]
+            scores = _cosines(part, shared.value) if notes.shape[1] else np.zeros((len(part), len(names)))
+            best[a:a + step] = _best(scores, k)
+            sims[a:a + step] = np.take_along_axis(scores, best[a:a + step], 1)
         flat = best.ravel()
         items = pa.StructArray.from_arrays(
             [pa.array(names[flat], pa.string()),
-             pa.array(np.take_along_axis(scores, best, 1).ravel()),
+             pa.array(sims.ravel()),
              pa.array(thresholds[flat])],
             names=["tag", "similarity", "threshold"],
         )
@@ -145,8 +156,8 @@ def blocked_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id
         lid, rid = ls.column("lid").combine_chunks(), rs.column("rid").combine_chunks()
         if not len(lid) or not len(rid):
             return pa.table({"lid": lid.slice(0, 0), "rid": rid.slice(0, 0), "similarity": pa.array([], pa.float64())})
-        scores = (_unit_rows(_matrix(ls.column("lv").combine_chunks()))
-                  @ _unit_rows(_matrix(rs.column("rv").combine_chunks())).T)
+        scores = _cosines(_unit_rows(_matrix(ls.column("lv").combine_chunks())),
+                          _unit_rows(_matrix(rs.column("rv").combine_chunks())))
         if skip_same_id:
             same = np.asarray(lid)[:, None] == np.asarray(rid)[None, :]
             scores[same] = -np.inf
@@ -199,17 +210,19 @@ def route(notes: DataFrame, index: TagIndex, vector: str = "vector", note_id: st
 
 
 def _route_blocked(notes: DataFrame, index: TagIndex, vector: str, note_id: str, top_k: int) -> DataFrame:
-    lefts = notes.select(note_id, F.col(vector).alias("vector")).filter(F.col("vector").isNotNull())
-    matched = blocked_candidates(lefts, index.table, note_id, "tag_pos", top_k)
+    # a key of its own for each row, fixed by the checkpoint: note ids may repeat
+    notes = cut_lineage(notes.withColumn("_row", F.monotonically_increasing_id()))
+    lefts = notes.select("_row", F.col(vector).alias("vector")).filter(F.col("vector").isNotNull())
+    matched = blocked_candidates(lefts, index.table, "_row", "tag_pos", top_k)
     named = matched.join(index.table.select(F.col("tag_pos").alias("match_tag_pos"), "tag", "threshold"),
                          "match_tag_pos")
     # at most top_k entries per note
-    packed = named.groupBy(note_id).agg(F.array_sort(F.collect_list(
+    packed = named.groupBy("_row").agg(F.array_sort(F.collect_list(
         F.struct("rank", "tag", "similarity", "threshold"))).alias("_c"))
-    picked = packed.select(note_id, F.transform("_c", lambda c: F.struct(
+    picked = packed.select("_row", F.transform("_c", lambda c: F.struct(
         c["tag"].alias("tag"), c["similarity"].alias("similarity"), c["threshold"].alias("threshold")
     )).alias("candidates"))
-    return notes.join(picked, note_id, "left")
+    return notes.join(picked, "_row", "left").drop("_row")
 
 
 def with_result_columns(routed: DataFrame, tags: DataFrame, model: str = "hashed-tokens") -> DataFrame:
@@ -249,6 +262,7 @@ def similarity_search(notes: DataFrame, queries: DataFrame, k: int, min_similari
     are: each batch gives at most k notes per query, ranked again per query. More queries
     than that are matched block by block.
     """
+    notes = notes.filter(F.col("vector").isNotNull())
     queries = cut_lineage(queries.select(query_id, vx.as_double(F.col("vector")).alias("vector")))
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     if size["n"] * (size["d"] or 0) * 8 > max_broadcast_bytes:
@@ -265,7 +279,7 @@ def similarity_search(notes: DataFrame, queries: DataFrame, k: int, min_similari
         unit_queries = _unit_rows(shared.value)
         for batch in batches:
             batch = batch.sort_by(batch.schema.names[0])  # ties: smaller note id first
-            scores = unit_queries @ _unit_rows(_matrix(batch.column(1))).T
+            scores = _cosines(unit_queries, _unit_rows(_matrix(batch.column(1))))
             best = _best(scores, k)
             sims = np.take_along_axis(scores, best, 1).ravel()
             keep = sims >= min_similarity
@@ -274,7 +288,7 @@ def similarity_search(notes: DataFrame, queries: DataFrame, k: int, min_similari
                 [ids.take(pa.array(which)), batch.column(0).take(pa.array(best.ravel()[keep])), pa.array(sims[keep])],
                 names=["q", "n", "similarity"])
 
-    slim = notes.select(note_id, "vector").filter(F.col("vector").isNotNull())
+    slim = notes.select(note_id, "vector")
     found = slim.mapInArrow(search, f"q {q_type}, n {n_type}, similarity double")
     # the rank limit is applied before the shuffle too, so a query moves k rows per partition
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("similarity"), "n"))

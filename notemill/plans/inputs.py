@@ -5,21 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notemill.runtime import spread
-
 RUN_TS = "2025-01-31T00:00:00"
 RUN_NOW = "2024-01-31 00:00:00"
 VECTOR_THRESHOLD = 0.3
 HASH_DIM = 64
 
 
-# tables whose rows carry long texts, so that the work per row is high
-TEXT_TABLES = ("documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- SQL twins of the text helpers (RE2 escapes) ----------------------------
@@ -146,7 +139,7 @@ def sql_ranked(notes: str = "SELECT vec_id AS note_id, embedding::DOUBLE[] AS v,
     """CTEs ranked{name} and routed{name}: cosine of every note with every tag, best first."""
     return f"""
 ranked{name} AS (
-  SELECT note_id, true_tag, tag, sim, row_number() OVER (PARTITION BY note_id ORDER BY sim DESC, tag) AS rank
+  SELECT note_id, true_tag, tag, sim, row_number() OVER (PARTITION BY note_id ORDER BY round(sim, 12) DESC, tag) AS rank
   FROM (SELECT n.note_id, n.true_tag, t.tag,
           CASE WHEN list_inner_product(n.v, n.v) = 0 OR list_inner_product(t.tv, t.tv) = 0 THEN 0.0::DOUBLE
           ELSE list_inner_product(n.v, t.tv) / sqrt(list_inner_product(n.v, n.v)) / sqrt(list_inner_product(t.tv, t.tv)) END AS sim

@@ -30,7 +30,10 @@ def _query(name: str, sql: str | None = None):
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     schema = inp.table(spark, sf, name).schema
-    return rd.stream_parquet(spark, sf, schema, f"{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    # a table may be one file or a folder of part files; a stream reads folders
+    return (rd.stream_parquet(spark, path, schema) if rd.is_folder(spark, path)
+            else rd.stream_parquet(spark, sf, schema, f"{name}.parquet"))
 
 
 def _telemetry(spark, sf):

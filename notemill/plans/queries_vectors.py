@@ -169,7 +169,7 @@ s AS (SELECT tag AS query_id, vec_id, list_inner_product(embedding::DOUBLE[], ve
   / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_inner_product(vector, vector)) AS sim
   FROM embeddings, centroids)
 SELECT query_id, vec_id AS match_vec_id, round(sim, 4) AS similarity, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id)::INT AS rank FROM s WHERE sim >= 0.2)
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id)::INT AS rank FROM s WHERE sim >= 0.2)
 WHERE rank <= 5""")
 def similarity_search(spark, sf):
     """The five notes most similar to each tag vector, at cosine 0.2 or more."""
@@ -192,7 +192,7 @@ u AS (SELECT vec_id, copies, embedding::DOUBLE[] AS v FROM d),
 s AS (SELECT a.vec_id, a.copies, b.vec_id AS m, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) AS sim
   FROM u a, u b WHERE a.vec_id <> b.vec_id)
 SELECT vec_id, copies, m AS match_vec_id, round(sim, 4) AS similarity, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, m)::INT AS rank FROM s WHERE sim >= 0.4) WHERE rank <= 2""")
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 12) DESC, m)::INT AS rank FROM s WHERE sim >= 0.4) WHERE rank <= 2""")
 def nearest_notes(spark, sf):
     notes = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return rt.nearest_notes(notes, 2, 0.4, "vec_id").withColumn("similarity", F.round("similarity", 4))

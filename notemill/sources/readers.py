@@ -117,6 +117,12 @@ def stream_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder, asked of the store that holds it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
 def stream_parquet(spark: SparkSession, path: str, schema: str, glob: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if glob:

@@ -5,25 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A small vocabulary of our own; pass other tables for other data.
+# Notes from a garden, a kitchen and a workshop; pass other tables for other data.
 TEMPLATES = {
-    "reuse_candidate": ["reuse the {tool} as base for the {project}", "this {tool} fits other projects too"],
-    "learning_insight": ["learned that {concept} beats {alternative}", "realized that the {component} is slow"],
-    "todo_item": ["need to fix the {issue} in the {component}", "todo: add {concept} to the {project}"],
-    "research_question": ["how does {concept} work in the {project}?", "compare {concept} with {alternative}"],
-    "code_snippet": ["import {module}; {module}.run()", "SELECT * FROM {module} WHERE id = 1"],
-    "resource_link": ["https://example.org/{module} - {concept}", "useful guide on {concept}"],
-    "meeting_note": ["team decided to use the {tool} for the {project}", "discussed the {issue} in the {component}"],
-    "idea_brainstorm": ["idea: a {tool} for the {project}", "what if the {component} used {concept}?"],
+    "garden": ["the {plant} by the fence wants water", "moved one {plant} into the {place}"],
+    "kitchen": ["soup with {food}, less salt next time", "we are out of {food}, buy two bags"],
+    "workshop": ["the {part} squeaks again", "sanded the {part} and left it in the {place}"],
+    "weather": ["frost on the {plant} this morning", "wind all day, closed the {place}"],
+    "errand": ["call about the {part} before noon", "bring {food} to the neighbours"],
 }
 SLOTS = {
-    "tool": ["script", "library", "parser"],
-    "project": ["dashboard", "classifier", "service"],
-    "concept": ["caching", "vector search", "batching"],
-    "alternative": ["full scans", "polling"],
-    "component": ["login flow", "cache", "queue"],
-    "issue": ["bug", "timeout", "data loss"],
-    "module": ["orders", "users", "logs"],
+    "plant": ["rosemary", "young plum", "bean row"],
+    "place": ["shed", "cellar", "glasshouse"],
+    "food": ["lentils", "rye flour", "walnuts"],
+    "part": ["door hinge", "bench leg", "pump wheel"],
 }
 
 
