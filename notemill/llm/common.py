@@ -20,11 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; an error where none is named."""
+    """The folder that the session names in ``spark.checkpoint.dir``; where it is unset, one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named.rstrip("/")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_notemill").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -24,11 +24,14 @@ from pyspark.sql import types as T
 from notemill.llm.common import map_batches, table
 
 WS_BYTES = b" \t\n\r\x0b\x0c"
-_LINES = T.StructType.fromDDL("doc_id bigint, row_hash bigint, pos int, h1 bigint, h2 bigint")
+_LINES = "doc_id bigint, row_hash bigint, pos int, h1 bigint, h2 bigint"
 
 
 def exploded_lines(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
     """A row for each line whose key has ``min_chars`` code points: its row, position and key hash."""
+    schema = T.StructType.fromDDL(_LINES)
+    names = schema.names
+
     def run(batch: pa.RecordBatch):
         rows, places, digests = [], [], []
         for k, value in enumerate(batch.column(2).cast(pa.large_binary()).to_pylist()):
@@ -42,10 +45,10 @@ def exploded_lines(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> D
         at = pa.array(rows, pa.int32())
         yield pa.RecordBatch.from_arrays([
             batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()),
-            pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))], _LINES.names)
+            pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))], names)
 
     return map_batches(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"),
-                                   F.xxhash64(text).alias("row_hash"), text), run, _LINES)
+                                   F.xxhash64(text).alias("row_hash"), text), run, schema)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 20,
