@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notemill.llm.common import map_batches, table
+from notemill.llm.common import map_batches, spare, table
 from notemill.llm.pretokenize import PACK_BYTES, cuts, offsets_of, packs
 
 FOLD_BYTES = 256         # longer words are merged with a heap: a fold step copies the whole word
@@ -255,7 +255,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     pieces = load_ranks(ranks_path)
     vocabulary = docs.sparkSession.sparkContext.broadcast(pieces)  # bounded by the 16-bit ids
     keep = [c for c in docs.columns if not (drop_text and c == text)]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
+    copy = spare(docs, "_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(copy))
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def cut(batch: pa.RecordBatch):
@@ -263,7 +264,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         ranks = _ranks_of(vocabulary.value)
         byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         rest = batch.select(keep)
-        for a, b, flat, offsets in packs(batch.column("_text"), pattern, pack_bytes):
+        for a, b, flat, offsets in packs(batch.column(copy), pattern, pack_bytes):
             coded = flat.dictionary_encode()
             words = coded.dictionary
             values, length = words.to_pylist(), pc.binary_length(words).to_numpy()

@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_notemill").rstrip("/")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with further underscores before it as long as a column has it already."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to a fresh table of the shared folder and read it from there.
 
