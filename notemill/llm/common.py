@@ -26,8 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def spare(df: DataFrame, name: str) -> str:
-    """``name``, with further underscores before it as long as a column has it already."""
-    while name in df.columns:
+    """``name``, with further underscores before it as long as a column has it already, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
         name = "_" + name
     return name
 

@@ -7,7 +7,8 @@ aggregate of them, and the verdicts come back over the slim table.
 
 Defined results: a null text has no words, symbols or lines and fails; a null
 host is a host of its own; repeated rows count as often as they stand there;
-without hosts the prior is flat. Windows are compared by a 64-bit hash within
+without hosts the prior is flat; a column with the name of a result is replaced
+by it. Windows are compared by a 64-bit hash within
 one document.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notemill.llm.common import ASCII_WS, fits, stored, table
+from notemill.llm.common import ASCII_WS, fits, spare, stored, table
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -27,30 +28,32 @@ BROADCAST_HOSTS = 100_000
 
 def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    words, lines, windows, ordered = (spare(docs, n) for n in ("_words", "_lines", "_windows", "_sorted"))
     body = F.coalesce(F.col(text), F.lit(""))
     blank = "".join(map(chr, (32, *range(9, 14))))
     # each step is a projection of its own, so that no later expression repeats an earlier one
-    step = docs.withColumn("_words", F.array_remove(F.split(body, f"[{ASCII_WS}]+"), ""))
-    step = step.withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(blank)) != ""))
-    step = step.withColumn("_windows", F.when(F.size("_words") >= 3, F.transform(
-        F.sequence(F.lit(0), F.size("_words") - 3),
-        lambda i: F.xxhash64(F.get(F.col("_words"), i), F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2)))))
-    step = step.withColumn("_sorted", F.when(
-        F.size(F.array_distinct("_windows")) < F.size("_windows"),
-        F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    step = docs.withColumn(words, F.array_remove(F.split(body, f"[{ASCII_WS}]+"), ""))
+    step = step.withColumn(lines, F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(blank)) != ""))
+    step = step.withColumn(windows, F.when(F.size(words) >= 3, F.transform(
+        F.sequence(F.lit(0), F.size(words) - 3),
+        lambda i: F.xxhash64(F.get(F.col(words), i), F.get(F.col(words), i + 1), F.get(F.col(words), i + 2)))))
+    step = step.withColumn(ordered, F.when(
+        F.size(F.array_distinct(windows)) < F.size(windows),
+        F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
 
     def place(x, j):
-        same = (F.get(F.col("_sorted"), j - 1)["h"] == x["h"]) | (F.get(F.col("_sorted"), j + 1)["h"] == x["h"])
+        same = (F.get(F.col(ordered), j - 1)["h"] == x["h"]) | (F.get(F.col(ordered), j + 1)["h"] == x["h"])
         return F.when(same, F.array(x["i"], x["i"] + 1, x["i"] + 2)).otherwise(F.array().cast("array<int>"))
 
-    count = lambda c: c.cast("bigint")
-    return step.select(
-        *[F.col(f"`{c}`") for c in docs.columns], count(F.size("_words")).alias("n_words"),
-        count(F.char_length(F.array_join("_words", ""))).alias("word_chars"),
-        count(F.regexp_count(body, F.lit(f"[{SYMBOLS}]"))).alias("n_symbols"),
-        count(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
-        count(F.when(F.col("_sorted").isNull(), 0).otherwise(
-            F.size(F.array_distinct(F.flatten(F.transform("_sorted", place)))))).alias("n_repeat_words"))
+    counts = {
+        "n_words": F.size(words),
+        "word_chars": F.char_length(F.array_join(words, "")),
+        "n_symbols": F.regexp_count(body, F.lit(f"[{SYMBOLS}]")),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": F.when(F.col(ordered).isNull(), 0).otherwise(
+            F.size(F.array_distinct(F.flatten(F.transform(ordered, place)))))}
+    return step.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in counts],
+                       *[c.cast("bigint").alias(name) for name, c in counts.items()])
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -68,14 +71,15 @@ def host_rules(docs: DataFrame, text: str = "text", host: str = "source", max_ra
     """Document counts, base_failed, the host's shrunk rate (``host_rate``) and kept."""
     counted = document_counts(docs, text).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    base = stored(counted if keep_text else counted.drop(text), "base")
-    hosts = base.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("int")).alias("failed"))
+    base = stored((counted if keep_text else counted.drop(text)).drop("host_rate"), "base")
+    key = spare(base, "_host")
+    hosts = (base.groupBy(F.col(host).alias(key))
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("int")).alias("failed")))
     alpha, beta = beta_prior(hosts)
-    rates = hosts.select(F.col(host).alias("_host"),
-                         ((F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))).alias("host_rate"))
+    rates = hosts.select(key, ((F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))).alias("host_rate"))
     if fits(rates, BROADCAST_HOSTS):
         rates = F.broadcast(rates)
-    return (base.join(rates, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    return (base.join(rates, F.col(host).eqNullSafe(F.col(key)), "left").drop(key)
             .withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") < max_rate)))
 
 

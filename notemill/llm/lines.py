@@ -9,7 +9,8 @@ go back to the documents as lists of positions.
 Defined results: a null or empty text is one empty line and drops nothing (the
 text stays null). Rows with the same doc_id count as one document; rows with a
 null doc_id count as one document, which is never the keeper while another
-holds the line. Other columns stay as they are.
+holds the line. Other columns stay as they are; one with the name of a result
+is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notemill.llm.common import map_batches, table
+from notemill.llm.common import map_batches, spare, table
 
 WS_BYTES = b" \t\n\r\x0b\x0c"
 _LINES = "doc_id bigint, row_hash bigint, pos int, h1 bigint, h2 bigint"
@@ -58,25 +59,24 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     A key of at least ``min_chars`` code points in at least ``min_docs``
     documents keeps its lines only in the largest doc_id that holds it.
     """
+    drop_id, drop_hash, drop, row_hash, split = (spare(docs, n) for n in ("_drop_id", "_drop_hash", "_drop", "_hash", "_lines"))
     lines = exploded_lines(docs, text, doc_id, min_chars)
     repeated = (lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
                 .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
                 .select("h1", "h2", "keeper"))
     drops = (lines.join(repeated, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-             .groupBy(F.col("doc_id").alias("_drop_id"), F.col("row_hash").alias("_drop_hash"))
-             .agg(F.collect_set("pos").alias("_drop")))
-    joined = docs.withColumn("_hash", F.xxhash64(text)).join(
-        drops, F.col("_hash").eqNullSafe(F.col("_drop_hash")) & F.col(doc_id).eqNullSafe(F.col("_drop_id")), "left")
-    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    parts = joined.withColumn("_lines", split)
+             .groupBy(F.col("doc_id").alias(drop_id), F.col("row_hash").alias(drop_hash))
+             .agg(F.collect_set("pos").alias(drop)))
+    joined = docs.withColumn(row_hash, F.xxhash64(text)).join(
+        drops, F.col(row_hash).eqNullSafe(F.col(drop_hash)) & F.col(doc_id).eqNullSafe(F.col(drop_id)), "left")
+    parts = joined.withColumn(split, F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
     # the positions that stay: a set difference, linear in the number of lines
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
-    text_left = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return (parts.withColumn(kept, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(text_left))
-            .withColumn("n_lines", F.size("_lines").cast("bigint"))
-            .withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint"))
-            .withColumn("n_dropped", F.greatest(F.col("n_dropped"), F.lit(0).cast("bigint")))
-            .drop("_lines", "_drop", "_hash", "_drop_hash", "_drop_id"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(drop))
+    text_left = F.array_join(F.transform(stay, lambda i: F.get(F.col(split), i)), "\n")
+    return (parts.withColumn(kept, F.when(F.col(drop).isNull(), F.col(text)).otherwise(text_left))
+            .withColumn("n_lines", F.size(split).cast("bigint"))
+            .withColumn("n_dropped", F.greatest(F.coalesce(F.size(drop), F.lit(0)), F.lit(0)).cast("bigint"))
+            .drop(split, drop, row_hash, drop_hash, drop_id))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

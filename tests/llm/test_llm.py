@@ -63,6 +63,19 @@ def test_lines_of_three_documents_stay_in_the_last(documents):
     assert got[1]["kept_text"] is None and got[1]["n_lines"] == 1 and got[2]["kept_text"] == ""
 
 
+def test_columns_with_the_names_of_helpers_and_results(documents):
+    own = ["_lines", "_words", "_windows", "_sorted", "_host", "_drop", "_drop_id", "_drop_hash", "_hash", "_LINES_"]
+    clash = documents
+    for name in own + ["n_words", "n_lines", "n_dropped", "host_rate", "kept"]:
+        clash = clash.withColumn(name, F.lit(-7))
+    ids = lambda rows, *cs: sorted(((r["doc_id"] is not None, r["doc_id"] or 0), *[r[c] for c in cs]) for r in rows.collect())
+    for run, results in ((lambda d: lines.dedup_lines(d), ("n_lines", "n_dropped")),
+                         (lambda d: hosts.host_rules(d), ("n_words", "n_repeat_words", "host_rate", "kept"))):
+        done = run(clash)
+        assert ids(done, *results) == ids(run(documents), *results) and set(own) <= set(done.columns)
+        assert done.select(*own).distinct().count() == 1
+
+
 def test_document_counts(documents):
     got = {r["doc_id"]: r for r in hosts.host_rules(documents).collect()}
     assert (got[8]["n_words"], got[8]["n_repeat_words"], got[8]["base_failed"], got[8]["kept"]) == (4000, 4000, True, False)
