@@ -189,7 +189,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id:
 def write_files(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0,
                 file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Files (part, number, doc_ids, n_docs, n_tokens, payload) in ascending doc_id order, as a stored table."""
-    sorted_ids = (tokenized(docs, tokenizer_path, text, doc_id, end_id).repartitionByRange("doc_id", "tie")
+    # written first: the range partitioning reads its input twice, for bounds and for rows
+    ids = stored(tokenized(docs, tokenizer_path, text, doc_id, end_id), "ids")
+    sorted_ids = (ids.repartitionByRange("doc_id", "tie")
                   .sortWithinPartitions("doc_id", "tie").withColumn("part", F.spark_partition_id()))
 
     def run(batches):
@@ -222,8 +224,12 @@ def write_files(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id
 def read_documents(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): each document read from its file."""
     sizes = files.select("part", "number", "n_tokens")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)   # a row for each file
-    firsts = sizes.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("bigint")).drop("n_tokens")
+    inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)   # a row for each partition, not each file
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.sum("n").over(before)).drop("n")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    firsts = sizes.withColumn("inside", F.sum("n_tokens").over(inside)).join(parts, "part").select(
+        "part", "number", (count(F.col("base")) + count(F.col("inside"))).cast("bigint").alias("first"))
     placed = files.select("part", "number", "doc_ids", "payload").join(firsts, ["part", "number"])
 
     def run(batch: pa.RecordBatch):
