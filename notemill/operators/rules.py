@@ -178,18 +178,23 @@ def rule_predicate(rule: Rule) -> Column:
 def apply_rules(df: DataFrame, rules: list[Rule], default: str = "default") -> DataFrame:
     """Destination of the highest-priority enabled rule that matches (ties: rule id).
 
-    Rules are compiled into one when-chain, so each row is read once and no join is made.
+    Rules are compiled into one array of hits, so each row is read once and no join is made.
     """
     active = sorted((r for r in rules if r.enabled), key=lambda r: (-r.priority, r.rule_id))
-    rule_id, destination, matched = F.lit(None).cast("string"), F.lit(default), F.array().cast("array<string>")
-    for rule in reversed(active):
-        hit = rule_predicate(rule)
-        rule_id = F.when(hit, F.lit(rule.rule_id)).otherwise(rule_id)
-        destination = F.when(hit, F.lit(rule.destination)).otherwise(destination)
-    if active:
-        matched = F.array_compact(F.array(*[F.when(rule_predicate(r), F.lit(r.rule_id)) for r in active]))
-    return df.withColumn("rule_id", rule_id).withColumn("destination", destination).withColumn(
-        "matched_rules", matched)
+    if not active:
+        return df.withColumns({"rule_id": F.lit(None).cast("string"), "destination": F.lit(default),
+                               "matched_rules": F.array().cast("array<string>")})
+    # every rule is tried once a row; the first hit decides
+    hits = F.array_compact(F.array(*[
+        F.when(rule_predicate(r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.destination).alias("destination")))
+        for r in active]))
+    name = "_hits"
+    while name in df.columns:
+        name = "_" + name
+    first = F.get(F.col(name), F.lit(0))
+    return df.withColumn(name, hits).withColumns({
+        "rule_id": first["rule_id"], "destination": F.coalesce(first["destination"], F.lit(default)),
+        "matched_rules": F.transform(name, lambda h: h["rule_id"])}).drop(name)
 
 
 # --- weighted and round-robin choice ---------------------------------------

@@ -70,10 +70,11 @@ def read_markdown_notes(spark: SparkSession, path: str, run_ts: str | None = Non
     return _as_notes(body, F.col("value"), None, _run_time(run_ts))
 
 
-def read_json_notes(spark: SparkSession, path: str, text_key: str = "text", run_ts: str | None = None) -> DataFrame:
-    """Notes of a JSON array of objects."""
+def read_json_notes(spark: SparkSession, path: str, text_key: str = "text", run_ts: str | None = None,
+                    lines: bool = False) -> DataFrame:
+    """Notes of a JSON array of objects, one task a file; with ``lines`` of one object a line, which Spark can split."""
     try:
-        raw = spark.read.schema(f"`{text_key}` string").json(path, multiLine=True)
+        raw = spark.read.schema(f"`{text_key}` string").json(path, multiLine=not lines)
     except AnalysisException:
         return _empty(spark)
     return _as_notes(raw, F.col(text_key), None, _run_time(run_ts))
