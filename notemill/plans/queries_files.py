@@ -122,9 +122,9 @@ def tag_names(spark, sf):
     return on.tag_names(_source_tags(spark, sf))
 
 
-@_query("tag_by_name", f"WITH {SQL_TAGS} SELECT tag, description, parent_tag FROM tags WHERE tag = 'web'")
+@_query("tag_by_name", f"WITH {SQL_TAGS} SELECT tag, description, parent_tag FROM tags WHERE tag = 'src0'")
 def tag_by_name(spark, sf):
-    return on.tag_by_name(_source_tags(spark, sf), "web").select("tag", "description", "parent_tag")
+    return on.tag_by_name(_source_tags(spark, sf), "src0").select("tag", "description", "parent_tag")
 
 
 @_query("first_notes", "SELECT doc_id, md5(text) AS digest FROM documents ORDER BY doc_id LIMIT 10")
