@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # the ASCII white space of all contracts: space and \t \n \v \f \r; bytes.split() cuts at the same six
 ASCII_WS = r"\x20\x09-\x0D"
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,22 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of bounded rows and bytes for jobs started inside, so that long texts do not fill a worker."""
+    before = {key: spark.conf.get(key, None) for key in ARROW_LIMITS}
+    try:
+        for key, value in ARROW_LIMITS.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to a fresh table of the shared folder and read it from there.
 
@@ -40,7 +58,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     of all that made them.
     """
     path = f"{shared_folder(df.sparkSession)}/notemill-llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
