@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,28 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def join_unique(rows: DataFrame, facts: DataFrame, keys: list[str], hot: Column, spread_by: list[str]) -> DataFrame:
+    """``rows`` left-joined with ``facts``, which are unique by ``keys``, without a hot task.
+
+    Facts of which ``hot`` holds are broadcast; the caller's condition bounds their number
+    (at most k groups can hold more than a k-th of all rows each). Rows that found one are
+    spread by the columns ``spread_by`` in the join with the other facts, whose keys they
+    cannot match. Keys must not be null.
+    """
+    values = [c for c in facts.columns if c not in keys]
+    seen, cold_part, part = (spare(rows, n) for n in ("_seen", "_cold_part", "_part"))
+    names = {side: {c: spare(rows, f"_{side}_{c}") for c in facts.columns} for side in ("hot", "cold")}
+    same = lambda side: reduce(lambda a, b: a & b, [F.col(k) == F.col(names[side][k]) for k in keys])
+    few = facts.filter(hot).select(*[F.col(c).alias(n) for c, n in names["hot"].items()], F.lit(True).alias(seen))
+    many = facts.filter(~hot).select(*[F.col(c).alias(n) for c, n in names["cold"].items()],
+                                     F.xxhash64(*keys).alias(cold_part))
+    step = rows.join(F.broadcast(few), same("hot"), "left").withColumn(
+        part, F.when(F.col(seen), F.xxhash64(*spread_by)).otherwise(F.xxhash64(*keys)))
+    step = step.join(many, (F.col(part) == F.col(cold_part)) & same("cold"), "left")
+    return step.select(*[F.col(f"`{c}`") for c in rows.columns],
+                       *[F.coalesce(names["hot"][c], names["cold"][c]).alias(c) for c in values])
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values of a string column as UTF-8 bytes, null as empty."""
     return [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
