@@ -5,14 +5,15 @@ truncated after MAX_WORDS words or at the end of its piece. The suffix tree of a
 built as one. Vertical partitioning, one scan of the texts a prefix length:
 
 1. words are counted; one that starts more than a quarter of ``budget`` suffixes is heavy;
-2. pairs that start with a heavy word are counted, and may be heavy again;
+2. pairs that start with a heavy word are estimated from SAMPLE_WORDS words, and may be heavy again;
 3. every suffix goes to the group of its shortest prefix that is not heavy. Prefixes share
    groups, so that a group has about half the memory budget of suffixes.
 
 A task sends a group's suffixes of a run of texts as one packed block of distinct suffixes
 with counts. Each group's subtrees are built by a task of their own: the sorted distinct
 suffixes are the leaves, a node is a range of leaves, and its count is a difference of running
-leaf totals. Heavy prefixes have the counts of steps 1 and 2.
+leaf totals. The counts of a heavy pair's groups are added up. So the estimate of step 2 only says which
+task counts what: every count is over all texts, and the same for any estimate.
 
 Words stand as 64-bit hashes in blocks and nodes; the hash's seed is verified against all
 words of the corpus (no two share a hash), else the next seed is taken. The budget grows once
@@ -20,7 +21,7 @@ the corpus would have over MAX_HEAVY heavy prefixes, so that their broadcast sta
 
 Counts of the parts are joined to the candidates; parts that stand in over a HOT-th of all
 words are broadcast, the others joined by key. The first ``top`` of each language are cut
-in two steps, over salted languages and then over what is left.
+in steps, over salted languages and then over what is left.
 
 Defined results: a null text has no words; a null language is ``und``; texts of one language
 count together, rows as often as they are repeated; phrases do not cross pieces. Very long texts
@@ -50,8 +51,9 @@ MIN_COUNT, COVER_PERCENT, TOP = 10, 50, 2_000
 MAX_WORDS = 3
 BUDGET = 1 << 21         # suffixes of a group, about
 MAX_HEAVY = 1_000_000    # heavy prefixes of a length at most
-PACK = 6 << 20           # text bytes that are counted before rows leave a task
-HOT, SALTS = 1_000, 64
+SAMPLE_WORDS = 1 << 24   # words of the texts that heavy pairs are estimated from, about
+PACK = 4 << 20           # text bytes that are counted before rows leave a task
+HOT, SALTS = 1_000, (64, 4)
 NO_LANG = "und"
 
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -83,30 +85,31 @@ class Pack:
         data = b"\n".join(p for p, _ in parts) + b"\n"
         chars = np.frombuffer(data, np.uint8)
         inside = (chars != 32) & (chars != 10)
-        edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0))).astype(np.int32)
         starts, ends = edge[::2], edge[1::2]
         packed = chars[inside].tobytes()
-        words = pa.Array.from_buffers(pa.large_binary(), len(starts),
-                                      [None, pa.py_buffer(offsets_of(ends - starts)), pa.py_buffer(packed)])
-        coded = words.dictionary_encode()
-        self.words: list[bytes] = coded.dictionary.to_pylist()
-        self.text = coded.dictionary
-        # 0 stands for no word
-        self.base = len(self.words) + 1
-        first = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        piece = np.cumsum(chars == 10)[starts] if len(starts) else starts
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+        piece = np.searchsorted(np.flatnonzero(chars == 10), starts).astype(np.int32)
         own = np.ones(len(starts), bool)
         at = 0
         for part, size in parts:
             if size < len(part):
-                own[(starts >= at + size) & (starts < at + len(part))] = False
+                own[np.searchsorted(starts, at + size):np.searchsorted(starts, at + len(part))] = False
             at += len(part) + 1
+        del data, chars, inside, packed, edge
+        coded = words.dictionary_encode()
+        self.text = coded.dictionary
+        self.words: list[bytes] = coded.dictionary.to_pylist()
+        # 0 stands for no word
+        self.base = len(self.words) + 1
+        first = coded.indices.to_numpy(zero_copy_only=False) + np.int32(1)
         follow = [first]
         for k in range(1, MAX_WORDS):
-            code = np.zeros(len(first), np.int64)
+            code = np.zeros(len(first), np.int32)
             code[:-k or None][piece[k:] == piece[:-k]] = first[k:][piece[k:] == piece[:-k]]
             follow.append(code)
-        self.codes = [c[own] for c in follow]
+        self.codes = [c if own.all() else c[own] for c in follow]
 
     def hashes(self, seed: int) -> np.ndarray:
         """Of each distinct word, in order."""
@@ -117,16 +120,20 @@ class Pack:
 
     def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct truncated suffixes, sorted, as three codes, and their counts."""
-        pair = self.codes[0] * self.base + self.codes[1]
+        pair = self.codes[0].astype(np.int64)
+        pair *= self.base
+        pair += self.codes[1]
         if self.base ** 3 < 1 << 63:
-            key, n = self.counted(pair * self.base + self.codes[2])
+            pair *= self.base
+            pair += self.codes[2]
+            key, n = self.counted(pair)
             pair, last = np.divmod(key, self.base)
         else:
             pairs, place = np.unique(pair, return_inverse=True)
             key, n = self.counted(place * self.base + self.codes[2])
             place, last = np.divmod(key, self.base)
             pair = pairs[place]
-        return *np.divmod(pair, self.base), last, n
+        return *(x.astype(np.int32) for x in (*np.divmod(pair, self.base), last)), n
 
 
 def scan(docs: DataFrame, each, schema: str) -> DataFrame:
@@ -193,28 +200,26 @@ def _places(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.where(values[order[at]] == of, order[at], -1)
 
 
-def _mixed(*parts: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(parts[0]), np.uint64)
-    for p in parts:
-        out = (out ^ p.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
+def _mixed(seed, values: np.ndarray) -> np.ndarray:
+    out = (values.view(np.uint64) ^ seed) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(29))
 
 
-def heavy_pairs(docs: DataFrame, seed: int, heavy: dict, least: int) -> DataFrame:
-    """(lang, h1, h2, f) of the pairs that start with a heavy word and have more than ``least`` places."""
+def heavy_pairs(docs: DataFrame, seed: int, heavy: dict, least: float, fraction: float) -> DataFrame:
+    """(lang, h1, h2) of the pairs that start with a heavy word and have more than about ``least`` places."""
     def each(lang, pack):
         if lang not in heavy:
             return
         h = pack.hashes(seed)
         on = np.concatenate([[False], np.isin(h, heavy[lang][0])])
         rows = on[pack.codes[0]] & (pack.codes[1] > 0)
-        key, n = pack.counted(pack.codes[0][rows] * pack.base + pack.codes[1][rows])
+        key, n = pack.counted(pack.codes[0][rows].astype(np.int64) * pack.base + pack.codes[1][rows])
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(h[key // pack.base - 1]),
                                           pa.array(h[key % pack.base - 1]), pa.array(n)], ["lang", "h1", "h2", "f"])
 
-    rows = scan(docs, each, "lang string, h1 bigint, h2 bigint, f bigint")
-    return rows.groupBy("lang", "h1", "h2").agg(F.sum("f").alias("f")).filter(F.col("f") > least)
+    some = docs.sample(fraction, 7) if fraction < 1 else docs
+    rows = scan(some, each, "lang string, h1 bigint, h2 bigint, f bigint")
+    return rows.groupBy("lang", "h1", "h2").agg(F.sum("f").alias("f")).filter(F.col("f") > least * fraction).drop("f")
 
 
 def blocks(docs: DataFrame, seed: int, words: dict, pairs: dict, groups: int) -> DataFrame:
@@ -224,17 +229,19 @@ def blocks(docs: DataFrame, seed: int, words: dict, pairs: dict, groups: int) ->
         if not len(a):
             return
         h = np.concatenate([[0], pack.hashes(seed)])
-        level = np.ones(len(a), np.int64)
+        level = np.ones(len(a), np.int8)
         if lang in words:
             level[np.isin(h[a], words[lang][0])] = 2
             if lang in pairs:
                 first, second = (_places(h[1:], x) + 1 for x in pairs[lang])
                 here = (first > 0) & (second > 0)
-                level[np.isin(a * pack.base + b, first[here] * pack.base + second[here])] = 3
-        tag = np.full(len(a), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64).view(np.int64)
-        zero = np.zeros(len(a), np.int64)
-        place = _mixed(tag, h[a], np.where(level > 1, h[b], zero), np.where(level > 2, h[c], zero))
-        bins = (place % np.uint64(groups)).astype(np.int64) * 3 + level - 1
+                level[np.isin(a.astype(np.int64) * pack.base + b, first[here] * pack.base + second[here])] = 3
+        place = _mixed(np.uint64(xxhash.xxh3_64_intdigest(lang.encode())), h[a])
+        for least, code in ((2, b), (3, c)):
+            deep = np.flatnonzero(level >= least)
+            place[deep] = _mixed(place[deep], h[code[deep]])
+        bins = (place % np.uint64(groups)).astype(np.int64) * 3 + (level - 1)
+        del place, level
         order = np.argsort(bins, kind="stable")
         cuts = np.flatnonzero(np.diff(bins[order], prepend=-1, append=-1))
         bodies = []
@@ -251,9 +258,10 @@ def blocks(docs: DataFrame, seed: int, words: dict, pairs: dict, groups: int) ->
 
 
 def subtree_nodes(bodies: list[bytes], level: int, least: int) -> tuple[np.ndarray, ...]:
-    """The nodes of a group's subtrees with ``least`` places or more: three hashes, words, count.
+    """The nodes of two and three words of a group's subtrees: three hashes, words, count, and whether it is a part.
 
-    Nodes of fewer words than the group's prefixes (``level``), and single words, are left out.
+    Whole nodes have ``least`` places or more. Where prefixes have three words (``level``), a pair's
+    other suffixes are in other groups, and its node here is a part.
     """
     pools, rows, counts = [], [], []
     for body in bodies:
@@ -276,15 +284,14 @@ def subtree_nodes(bodies: list[bytes], level: int, least: int) -> tuple[np.ndarr
     pool = np.concatenate([[0], words])
     out = []
     for depth, key in ((2, place), (3, np.arange(len(leaf)))):
-        if depth < max(level, 2):
-            continue
+        part = depth < level
         cuts = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
         starts = cuts[:-1]
         f = total[cuts[1:]] - total[starts]
-        keep = (f >= least) & ((second if depth == 2 else last)[starts] > 0)
+        keep = (part | (f >= least)) & ((second if depth == 2 else last)[starts] > 0)
         at = starts[keep]
         out.append((pool[first[at]], pool[second[at]], pool[last[at]] if depth == 3 else np.zeros(len(at), np.int64),
-                    np.full(len(at), depth, np.int32), f[keep]))
+                    np.full(len(at), depth, np.int32), f[keep], np.full(len(at), part)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -297,10 +304,7 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, budget: int = BUDGET)
     total = vocab.agg(F.sum("f")).first()[0] or 0
     budget = max(budget, 4 * total // MAX_HEAVY)
     words = _sorted_by_lang(vocab.filter(F.col("f") > budget // 4), "h")
-    schema = "lang string, h1 bigint, h2 bigint, f bigint"
-    heavy = (stored(heavy_pairs(docs, seed, words, budget // 4), "heavy_pairs") if words
-             else docs.sparkSession.createDataFrame([], schema))
-    pairs = _sorted_by_lang(heavy, "h1", "h2")
+    pairs = _sorted_by_lang(heavy_pairs(docs, seed, words, budget / 4, min(1.0, SAMPLE_WORDS / total)), "h1", "h2") if words else {}
 
     def build(key, group):
         level = key[0].as_py() % 3 + 1
@@ -311,12 +315,13 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, budget: int = BUDGET)
             out.append(pa.table([pa.array([lang] * len(nodes[0]), pa.string()), *nodes], names=names))
         return pa.concat_tables(out)
 
-    names = ["lang", "h1", "h2", "h3", "words", "f"]
-    sent = stored(blocks(docs, seed, words, pairs, max(1, 2 * total // budget)), "blocks")
-    nodes = sent.groupBy("bin").applyInArrow(build, "lang string, h1 bigint, h2 bigint, h3 bigint, words int, f bigint")
-    longer = nodes.unionByName(heavy.filter(F.col("f") >= least).select(
-        "lang", "h1", "h2", F.lit(0).cast("bigint").alias("h3"), F.lit(2).alias("words"), "f"))
-    return vocab, stored(longer, "nodes")
+    names = ["lang", "h1", "h2", "h3", "words", "f", "part"]
+    # blocks go to their groups in the job that builds the subtrees; nodes are written
+    sent = blocks(docs, seed, words, pairs, max(1, 2 * total // budget))
+    built = sent.groupBy("bin").applyInArrow(build, "lang string, h1 bigint, h2 bigint, h3 bigint, words int, f bigint, part boolean")
+    nodes = stored(built, "nodes")
+    parts = nodes.filter("part").groupBy("lang", "h1", "h2", "h3", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    return vocab, nodes.filter("NOT part").drop("part").unionByName(parts)
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = MIN_COUNT, top: int = TOP,
@@ -364,9 +369,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
 
     def firsts(rows, order):
         """The first ``top`` rows of each language, with ``rank``."""
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("h1", "h2", "h3"), F.lit(SALTS)))
-        few = (salted.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order)))
-               .filter(F.col("_n") <= top).drop("_n", "_salt"))
+        few = rows
+        for salts in SALTS:
+            salted = few.withColumn("_salt", F.pmod(F.xxhash64("h1", "h2", "h3"), F.lit(salts)))
+            few = (salted.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order)))
+                   .filter(F.col("_n") <= top).drop("_n", "_salt"))
         return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
 
     best = [F.desc("score"), F.desc("f")]
