@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.functions import text as tx
+from notemill.sources.records import JsonArray, QuotedLines, numbered_lines, read_records
 
 NOTE_SCHEMA = "note_id string, text string, timestamp string, source_file string, original_text string"
 LABELLED_SCHEMA = "note_id string, text string, timestamp string, true_tag string"
@@ -21,37 +24,54 @@ def _run_time(run_ts: str | None) -> Column:
 
 
 def _as_notes(df: DataFrame, text: Column, note_id: Column | None, timestamp: Column) -> DataFrame:
-    """Strip, drop blanks, normalise. Without an id column the id is a digest of
-    file, place in the file and text, so a re-run gives the same ids."""
+    """Strip, drop blanks, normalise. Without an id column the id is a digest of the file, the
+    number of the record in it and the text, so that a re-run gives the same ids however the file is cut."""
     stripped = df.withColumn("_text", tx.strip_ws(text)).filter(F.col("_text") != "")
-    place = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"),
-                        F.monotonically_increasing_id().cast("string"), F.col("_text"))
+    place = F.concat_ws(":", "file", F.col("number").cast("string"), F.col("_text"))
     return stripped.select(
         (note_id if note_id is not None else F.sha2(place, 256)).cast("string").alias("note_id"),
         tx.normalize_text(F.col("_text")).alias("text"),
         timestamp.alias("timestamp"),
-        F.col("_metadata.file_path").alias("source_file"),
+        F.col("file").alias("source_file"),
         F.col("_text").alias("original_text"),
     )
 
 
+def read_csv_records(spark: SparkSession, path: str) -> DataFrame | None:
+    """(file, number, row): quoted CSV with a header line in every file; ``row`` has a string field a column.
+
+    A large file is read by several tasks, also where values hold line feeds. None where nothing is readable.
+    """
+    try:
+        records = read_records(spark, path, QuotedLines)
+    except AnalysisException:
+        return None
+    head = records.filter("number = 0").orderBy("file").first()
+    if head is None:
+        return None
+    names = next(csv.reader([head["record"].removeprefix("\ufeff")]), [])
+    if not names or len({n.lower() for n in names}) < len(names):
+        return None
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    row = F.from_csv("record", schema, {"escape": '"', "multiLine": "true"})
+    return records.filter("number > 0 AND record <> ''").select("file", "number", row.alias("row"))
+
+
 def read_csv_notes(spark: SparkSession, path: str, text_column: str = "text", id_column: str | None = None,
                    timestamp_column: str | None = None, run_ts: str | None = None) -> DataFrame:
     """Notes of a CSV file with header; no text column or no readable file gives no rows."""
-    try:
-        raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    except AnalysisException:
-        return _empty(spark)
-    if text_column not in raw.columns:
+    raw = read_csv_records(spark, path)
+    columns = raw.schema["row"].dataType.names if raw is not None else []
+    if text_column not in columns:
         return _empty(spark)
-    known = lambda c: F.col(c) if c and c in raw.columns else None
+    known = lambda c: F.col("row")[c] if c and c in columns else None
     stamp = known(timestamp_column)
-    return _as_notes(raw, F.col(text_column), known(id_column), stamp if stamp is not None else _run_time(run_ts))
+    return _as_notes(raw, F.col("row")[text_column], known(id_column), stamp if stamp is not None else _run_time(run_ts))
 
 
 def _read_text(spark: SparkSession, path: str, separator: str) -> DataFrame | None:
     try:
-        return spark.read.text(path, lineSep=separator)
+        return numbered_lines(spark, path, separator)
     except AnalysisException:
         return None
 
@@ -72,12 +92,14 @@ def read_markdown_notes(spark: SparkSession, path: str, run_ts: str | None = Non
 
 def read_json_notes(spark: SparkSession, path: str, text_key: str = "text", run_ts: str | None = None,
                     lines: bool = False) -> DataFrame:
-    """Notes of a JSON array of objects, one task a file; with ``lines`` of one object a line, which Spark can split."""
+    """Notes of a JSON array of objects, or with ``lines`` of one object a line; large files are read by several tasks."""
     try:
-        raw = spark.read.schema(f"`{text_key}` string").json(path, multiLine=not lines)
+        raw = (numbered_lines(spark, path).withColumnRenamed("value", "record") if lines
+               else read_records(spark, path, JsonArray))
     except AnalysisException:
         return _empty(spark)
-    return _as_notes(raw, F.col(text_key), None, _run_time(run_ts))
+    key = text_key.replace("`", "``")
+    return _as_notes(raw.withColumn("row", F.from_json("record", f"`{key}` string")), F.col("row")[text_key], None, _run_time(run_ts))
 
 
 def read_note_folder(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
@@ -103,9 +125,11 @@ def read_capture_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labelled_notes(spark: SparkSession, path: str) -> DataFrame:
     """Labelled CSV, every column a string; columns are matched by header name."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     wanted = [c.split()[0] for c in LABELLED_SCHEMA.split(", ")]
-    return raw.select(*[F.col(c).cast("string") for c in wanted if c in raw.columns])
+    raw = read_csv_records(spark, path)
+    if raw is None:
+        return spark.createDataFrame([], LABELLED_SCHEMA)
+    return raw.select(*[F.col("row")[c].alias(c) for c in wanted if c in raw.schema["row"].dataType.names])
 
 
 def stream_text(spark: SparkSession, path: str) -> DataFrame:

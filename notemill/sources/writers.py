@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from notemill.operators.calibration import Calibrator
 from notemill.operators.notes import fan_out
@@ -71,15 +75,40 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def write_sections(sections: dict[str, DataFrame], path: str) -> None:
-    """Several result tables as one JSON dataset each below a folder."""
+    """Several result tables as one JSON dataset each below a folder.
+
+    The list of sections is written last, so that a folder without it is an export that did not end.
+    """
     for name, df in sections.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
+    spark = next(iter(sections.values())).sparkSession
+    listed = [(name, df.schema.json()) for name, df in sections.items()]
+    spark.createDataFrame(listed, "section string, schema string").coalesce(1).write.mode("overwrite").json(f"{path}/sections")
+
+
+def read_section(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A section of a complete export, with the types it was written with."""
+    listed = {r["section"]: r["schema"] for r in spark.read.schema("section string, schema string").json(f"{path}/sections").collect()}
+    return spark.read.schema(StructType.fromJson(json.loads(listed[name]))).json(f"{path}/{name}")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """One JSON array of objects a partition, each in a file of its own."""
+    def bracket(batches):
+        before = "["
+        for batch in batches:
+            for item in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array([before + item.as_py()])], ["value"])
+                before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], ["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(bracket, "value string").write.mode("overwrite").text(path)
+
+
 def write_csv(notes: DataFrame, path: str) -> None:
     notes.write.mode("overwrite").csv(path, header=True, escape='"')
 
