@@ -122,6 +122,18 @@ def sanitize_content(c: Column) -> Column:
     return c
 
 
+def decoded(c: Column) -> Column:
+    """Bytes as text: struct of the text, with U+FFFD for what is not valid UTF-8, and whether all of it was valid."""
+    raw = c.cast("string")
+    return F.struct(F.make_valid_utf8(raw).alias("text"), F.is_valid_utf8(raw).alias("valid"))
+
+
+def sanitize_bytes(c: Column) -> Column:
+    """Struct of the sanitised text and whether the bytes were valid UTF-8; sanitising never sees broken text."""
+    text = decoded(c)
+    return F.struct(sanitize_content(text["text"]).alias("content"), text["valid"].alias("valid"))
+
+
 def fix_content(c: Column, max_length: int = 10_000, min_length: int = 10) -> Column:
     """Repair content that would fail validation: strip markup, shorten, mark short texts."""
     c = F.regexp_replace(c, r"<[^>]+>", "")

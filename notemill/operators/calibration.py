@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.functions import scoring as sc
 from notemill.operators.evaluation import stratified_split
+from notemill.runtime import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -52,26 +52,62 @@ def calibration_dataset(results: DataFrame, truth: DataFrame | None = None, note
         "correct", tag("routed_tag") == tag("true_tag"))
 
 
+def training_part(data: DataFrame, score: str = "score", correct: str = "correct", id_col: str = "note_id",
+                  validation: float = 0.2, seed: int = 42) -> DataFrame:
+    """(score, y) of the stratified training part; rows without an outcome are left out."""
+    known = data.select(id_col, F.col(score).cast("double").alias("score"), F.col(correct).alias("correct")).filter(
+        F.col("correct").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
+    return stratified_split(known, "correct", id_col, validation, seed).filter("is_train").select(
+        "score", F.col("correct").cast("double").alias("y"))
+
+
+def newton_sums(train: DataFrame, coefficient: float, intercept: float) -> tuple[float, ...]:
+    """Loss, both gradients and the three entries of the curvature over (score, y), from one aggregate.
+
+    The loss is the summed log loss plus half the squared coefficient.
+    """
+    s, y = F.col("score"), F.col("y")
+    z = s * coefficient + intercept
+    p = 1 / (1 + F.exp(-z))
+    w = p * (1 - p)
+    # log(1 + exp(z)) without overflow
+    loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z
+    row = train.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in (loss, (p - y) * s, p - y, w * s * s, w * s, w)]).first()
+    total, g_a, g_b, h_aa, h_ab, h_bb = row
+    return total + coefficient ** 2 / 2, g_a + coefficient, g_b, h_aa + 1.0, h_ab, h_bb
+
+
 def fit_platt(data: DataFrame, score: str = "score", correct: str = "correct", id_col: str = "note_id",
-              validation: float = 0.2, seed: int = 42) -> Calibrator:
+              validation: float = 0.2, seed: int = 42, tolerance: float = 1e-9, max_steps: int = 50) -> Calibrator:
     """Logistic regression of correctness on the score over a stratified training part.
 
-    The penalty is that of a unit-strength L2 term on the summed loss. Training
-    is distributed; two numbers come back to the driver.
+    The penalty is a unit-strength L2 term on the coefficient beside the summed loss. The slim
+    training rows are written once; every Newton step is one aggregate of six sums over them,
+    halved while it would raise the loss.
+
+    Without training rows the calibrator is unfitted. With one outcome only, the coefficient is 0
+    and the probability is that outcome's rate with one success and one failure added.
     """
-    split = stratified_split(
-        data.select(id_col, F.col(score).cast("double").alias("score"), F.col(correct).alias("correct")),
-        "correct", id_col, validation, seed)
-    train = split.filter("is_train").select(
-        array_to_vector(F.array("score")).alias("features"), F.col("correct").cast("double").alias("label"))
-    train = train.persist()
-    try:
-        n = train.count()
-        model = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
-                                   tol=1e-9, maxIter=200).fit(train)
-    finally:
-        train.unpersist()
-    return Calibrator(float(model.coefficients[0]), float(model.intercept))
+    train = cut_lineage(training_part(data, score, correct, id_col, validation, seed))
+    n, ones = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    if not n:
+        return Calibrator()
+    if ones in (0, n):
+        return Calibrator(0.0, math.log((ones + 1) / (n - ones + 1)))
+    a, b = 0.0, math.log(ones / (n - ones))
+    sums = newton_sums(train, a, b)
+    for _ in range(max_steps):
+        loss, g_a, g_b, h_aa, h_ab, h_bb = sums
+        if max(abs(g_a), abs(g_b)) <= tolerance * n:
+            break
+        det = h_aa * h_bb - h_ab * h_ab
+        d_a, d_b = (h_bb * g_a - h_ab * g_b) / det, (h_aa * g_b - h_ab * g_a) / det
+        size, sums = 1.0, newton_sums(train, a - d_a, b - d_b)
+        while sums[0] > loss + 1e-12 * abs(loss) and size > 1e-6:
+            size /= 2
+            sums = newton_sums(train, a - size * d_a, b - size * d_b)
+        a, b = a - size * d_a, b - size * d_b
+    return Calibrator(a, b)
 
 
 def brier(p: Column, correct: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notemill.functions import text as tx
 from notemill.functions import vectors as vx
@@ -99,6 +101,26 @@ def mean_vectors(df: DataFrame, key: str, vector: str = "vector", out: str = "ve
     )
 
 
+def leave_one_out_means(df: DataFrame, key: str, fold: str, n_folds: int, vector: str = "vector") -> DataFrame:
+    """(fold, key, vector, n): for each fold the mean vector per key of the rows outside it.
+
+    One aggregate by (key, fold) serves all folds: a fold's mean is the total less the fold's own
+    sum. A key without rows outside a fold has no row there.
+    """
+    parts = df.filter(F.col(vector).isNotNull()).groupBy(key, fold).agg(
+        vector_to_array(Summarizer.sum(array_to_vector(vx.as_double(F.col(vector))))).alias("s"),
+        F.count(F.lit(1)).alias("c"))
+    # keys x folds rows from here on
+    totals = parts.groupBy(key).agg(
+        vector_to_array(Summarizer.sum(array_to_vector(F.col("s")))).alias("total"), F.sum("c").alias("of"))
+    every = totals.withColumn(fold, F.explode(
+        F.sequence(F.lit(0), F.lit(n_folds - 1)).cast(T.ArrayType(df.schema[fold].dataType))))
+    left = F.col("of") - F.coalesce("c", F.lit(0))
+    own = F.coalesce("s", F.transform("total", lambda _: F.lit(0.0)))
+    return (every.join(parts, [key, fold], "left").withColumn("n", left).filter("n > 0")
+            .select(fold, key, F.transform(F.zip_with("total", own, lambda a, b: a - b), lambda x: x / F.col("n")).alias("vector"), "n"))
+
+
 def tag_example_vectors(tags: DataFrame, embed: Callable[[DataFrame], DataFrame], dim: int) -> DataFrame:
     """Mean of the example vectors; a tag without examples gets the zero vector."""
     examples = tags.select("tag", F.explode("examples").alias("text"))
@@ -154,10 +176,69 @@ def vector_outliers(df: DataFrame, vector: str = "vector", deviations: float = 2
     )
 
 
-def reduce_dimensions(df: DataFrame, k: int, vector: str = "vector", out: str = "reduced") -> DataFrame:
-    """PCA; the fit is one pass that leaves a dim x dim matrix on the driver."""
-    from pyspark.ml.feature import PCA
+@dataclass(frozen=True)
+class Axes:
+    """Principal axes as rows, the variance along each, and the mean, all of bounded size."""
 
-    prepared = df.withColumn("_dense", array_to_vector(vx.as_double(F.col(vector))))
-    model = PCA(k=k, inputCol="_dense", outputCol="_pca").fit(prepared)
-    return model.transform(prepared).withColumn(out, vector_to_array("_pca")).drop("_dense", "_pca")
+    mean: np.ndarray
+    components: np.ndarray
+    variances: np.ndarray
+
+
+def fit_axes(df: DataFrame, vector: str = "vector") -> Axes:
+    """All principal axes from one pass over the vectors.
+
+    Tasks sum the products of the dimensions, taken about one of the vectors so that nothing
+    cancels; the sums meet in an aggregate by dimension pair, and a dim x dim matrix
+    reaches the driver. Of each axis the entry of largest size is positive. Rows without a vector
+    are left out.
+    """
+    vectors = df.select(vx.as_double(F.col(vector)).alias("v")).filter(F.col("v").isNotNull())
+    first = vectors.first()
+    if first is None:
+        raise ValueError("no vectors")
+    origin = np.array(first["v"])
+    d = len(origin)
+
+    def sums(batches):
+        gram = np.zeros((d + 1, d + 1))   # the last row and column hold sums and the number of rows
+        for batch in batches:
+            lists = batch.column(0)
+            rows = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) - origin
+            rows = np.hstack([rows, np.ones((len(rows), 1))])
+            gram += rows.T @ rows
+        i, j = np.triu_indices(d + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(gram[i, j])],
+                                         ["i", "j", "s"])
+
+    total = np.zeros((d + 1, d + 1))
+    for r in vectors.mapInArrow(sums, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+        total[r["i"], r["j"]] = total[r["j"], r["i"]] = r["s"]
+    n, shift = total[d, d], total[d, :d] / total[d, d]
+    covariance = (total[:d, :d] - n * np.outer(shift, shift)) / max(n - 1, 1)
+    values, axes = np.linalg.eigh(covariance)
+    axes = axes[:, ::-1].T
+    axes *= np.sign(axes[np.arange(d), np.abs(axes).argmax(1)])[:, None]
+    return Axes(origin + shift, np.ascontiguousarray(axes), np.maximum(values[::-1], 0.0))
+
+
+def project(axes: Axes, k: int):
+    """Column function: coordinates of a vector, less the mean, on the first ``k`` axes."""
+    mean, directions = axes.mean, axes.components[:k].T
+
+    @F.arrow_udf("array<double>")
+    def coordinates(batch: pa.Array) -> pa.Array:
+        sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        out = np.zeros((len(batch), directions.shape[1]))
+        flat = batch.flatten().to_numpy(zero_copy_only=False)
+        out[sizes > 0] = (flat.reshape(-1, len(mean)) - mean) @ directions
+        offsets = np.arange(len(batch) + 1, dtype="int32") * directions.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()), mask=batch.is_null())
+
+    return coordinates
+
+
+def reduce_dimensions(df: DataFrame, k: int, vector: str = "vector", out: str = "reduced") -> DataFrame:
+    """PCA: adds the coordinates on the ``k`` principal axes (all of them where there are fewer)."""
+    axes = fit_axes(df, vector)
+    return df.withColumn(out, project(axes, k)(vx.as_double(F.col(vector))))

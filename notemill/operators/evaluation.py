@@ -205,6 +205,22 @@ def cross_validate_trained(notes: DataFrame, tags: DataFrame,
     return evaluate(routed, tags, by=["fold"])
 
 
+def cross_validate_centroids(notes: DataFrame, tags: DataFrame, label: str = "true_tag", id_col: str = "note_id",
+                             n_splits: int = 5, seed: int = 42, threshold: float = 0.5) -> DataFrame:
+    """Metrics per fold of routing to mean vectors that were computed without the fold.
+
+    The notes are read twice, for the sums by (tag, fold) and for routing, whatever the number of folds.
+    """
+    from notemill.operators.embedding import leave_one_out_means
+    from notemill.operators.routing import route_by_fold
+
+    folded = cut_lineage(stratified_folds(notes.select(id_col, label, "vector"), label, id_col, n_splits, seed))
+    known = folded.filter(F.col(label).isNotNull())
+    means = leave_one_out_means(known, label, "fold", n_splits).withColumnRenamed(label, "tag")
+    routed = route_by_fold(folded, means, threshold=threshold).drop("vector")
+    return evaluate(routed.withColumnRenamed(label, "true_tag"), tags, by=["fold"])
+
+
 # --- model comparison ------------------------------------------------------
 
 def memory_estimate_mb(dimension: Column) -> Column:

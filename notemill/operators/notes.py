@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from notemill.functions import text as tx
 from notemill.functions.scoring import quality_score
@@ -20,22 +21,37 @@ TS_FORMAT_OK = (
 )
 
 
-def keep_first(df: DataFrame, keys: list[str], order_by: str) -> DataFrame:
-    """One row per key, the one with the smallest ``order_by``.
+def key_digest(keys: list[str]) -> Column:
+    """32 bytes that stand for the values of ``keys``; NULL for a single NULL key."""
+    joined = F.col(keys[0]).cast("string") if len(keys) == 1 else F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    return F.unhex(F.sha2(joined, 256))
+
+
+def _keep_extreme(df: DataFrame, keys: list[str], order_by: str, pick) -> DataFrame:
+    """One row per key: digests and order values are aggregated, then rows are picked by both.
 
-    A two-sided aggregate: copies are merged before the shuffle, so a text that
-    makes up a third of the input arrives as one row per map task.
+    No text is a grouping key or in an aggregate, so that copies shrink to 40 bytes before the
+    shuffle. Rows meet the winners by (digest, order value), so that a text that makes up a third of
+    the input is spread by its order values. Of rows equal in key and order value one stays.
     """
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order_by)).alias("_first"))
-    return picked.select(*keys, "_first.*").select(*df.columns)
+    # a fresh name, as the input may have any
+    digest, order = "__digest", "__order"
+    keyed = df.withColumn(digest, key_digest(keys)).withColumn(order, F.col(order_by))
+    winners = keyed.groupBy(digest).agg(pick(order).alias(order))
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in (digest, order)]
+    met = keyed.alias("r").join(winners.alias("w"), on, "left_semi")
+    same = W.partitionBy(digest, order).orderBy(order)
+    return met.withColumn("__n", F.row_number().over(same)).filter("__n = 1").select(*df.columns)
+
+
+def keep_first(df: DataFrame, keys: list[str], order_by: str) -> DataFrame:
+    """One row per key, the one with the smallest ``order_by``."""
+    return _keep_extreme(df, keys, order_by, F.min)
 
 
 def keep_last(df: DataFrame, keys: list[str], order_by: str) -> DataFrame:
     """One row per key, the one with the largest ``order_by``."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order_by)).alias("_last"))
-    return picked.select(*keys, "_last.*").select(*df.columns)
+    return _keep_extreme(df, keys, order_by, F.max)
 
 
 def deduplicate_notes(notes: DataFrame, order_by: str = "note_id", text: str = "text") -> DataFrame:
