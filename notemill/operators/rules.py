@@ -40,31 +40,46 @@ def route_by_category(category: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*entries), category), F.lit("general_storage"))
 
 
+# Destination from each bound on, least first. Sizes are in characters above the
+# bound, deadlines in hours ahead, times of day in hours.
+SIZE_BANDS = [(None, "fast_processor"), (1_000, "standard_processor"), (10_000, "batch_processor")]
+DEADLINE_BANDS = [(None, "urgent_processor"), (1, "priority_processor"), (24, "standard_processor")]
+HOUR_BANDS = [(None, "background_processor"), (9, "business_processor"), (18, "background_processor")]
+LENGTH_BANDS = [(None, "short"), (100, "medium"), (500, "long")]
+# Priority to queue, and the queue of any other priority.
+PRIORITY_QUEUES = {"high": "priority_queue", "low": "background_processor"}
+OTHER_QUEUE = "standard_queue"
+
+
+def in_band(value: Column, bands: list[tuple[float | None, str]], above: bool = False) -> Column:
+    """Name of the last band whose bound the value reaches (with ``above``: exceeds); NULL goes to the band that
+    a comparison with NULL leaves: the first one when counted up."""
+    reached = [F.when(value > bound if above else value >= bound, F.lit(name)) for bound, name in reversed(bands[1:])]
+    return F.coalesce(*reached, F.lit(bands[0][1]))
+
+
 def route_by_size(length: Column) -> Column:
-    return F.when(length > 10_000, "batch_processor").when(length > 1_000, "standard_processor").otherwise(
-        "fast_processor")
+    return in_band(length, SIZE_BANDS, above=True)
 
 
 def route_by_priority(priority: Column) -> Column:
-    return F.when(priority == "high", "priority_queue").when(
-        priority == "low", "background_processor").otherwise("standard_queue")
+    queues = F.create_map(*[F.lit(x) for pair in PRIORITY_QUEUES.items() for x in pair])
+    return F.coalesce(F.try_element_at(queues, priority), F.lit(OTHER_QUEUE))
 
 
 def route_by_deadline(deadline: Column, now: Column) -> Column:
-    return (
-        F.when(deadline < now + F.expr("INTERVAL 1 HOUR"), "urgent_processor")
-        .when(deadline < now + F.expr("INTERVAL 24 HOURS"), "priority_processor")
-        .otherwise("standard_processor")
-    )
+    """By the hours that are left; a note without a deadline has time."""
+    hours = (F.unix_micros(deadline.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / F.lit(3.6e9)
+    return F.when(deadline.isNull(), F.lit(DEADLINE_BANDS[-1][1])).otherwise(in_band(hours, DEADLINE_BANDS))
 
 
 def route_by_time_of_day(ts: Column) -> Column:
-    return F.when(F.hour(ts).between(9, 17), "business_processor").otherwise("background_processor")
+    return in_band(F.hour(ts), HOUR_BANDS)
 
 
 def length_bucket(text: Column) -> Column:
-    """Batching class of a text: short < 100 <= medium < 500 <= long."""
-    return F.when(F.length(text) < 100, "short").when(F.length(text) < 500, "medium").otherwise("long")
+    """Batching class of a text; a NULL text counts as long."""
+    return F.when(text.isNull(), F.lit(LENGTH_BANDS[-1][1])).otherwise(in_band(F.length(text), LENGTH_BANDS))
 
 
 def batch_by_length(df: DataFrame, text: str = "text") -> DataFrame:

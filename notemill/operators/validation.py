@@ -86,16 +86,16 @@ def validate_notes(notes: DataFrame, text: str = "text", note_id: str = "note_id
         _missing("note_id", i), _mismatch("note_id", i, NOTE_ID_PATTERN),
         _missing("timestamp", ts), _mismatch("timestamp", ts, NOTE_TS_PATTERN),
         issue(tx.strip_ws(t) == "", "text", "content_error",
-              "Note text is empty or contains only whitespace", t),
+              "Nothing but white space", t),
     )
     only_special = rf"(?d)^(?:(?!{ws})[^{tx.WORD}])*$"
     warnings = issue_array(
         _too_long("text", t, NOTE_TEXT_LENGTH[1]),
         _too_long("note_id", i, NOTE_ID_MAX),
-        _content_warning(F.regexp_like(t, F.lit(rf"(?d)^{ws}*$")), "Note contains only whitespace", t),
-        _content_warning(F.regexp_like(t, F.lit(only_special)), "Note contains only special characters", t),
-        _content_warning(F.regexp_like(t, F.lit(r"(?d)^(.)\1{10,}")), "Note contains repeated characters", t),
-        _content_warning(F.length(t) < 10, "Note is very short, may lack context", t),
+        _content_warning(F.regexp_like(t, F.lit(rf"(?d)^{ws}*$")), "Only white space", t),
+        _content_warning(F.regexp_like(t, F.lit(only_special)), "Neither letters nor digits", t),
+        _content_warning(F.regexp_like(t, F.lit(r"(?d)^(.)\1{10,}")), "One character repeated", t),
+        _content_warning(F.length(t) < 10, "Hardly any text", t),
     )
     return _with_result(notes, errors, warnings)
 

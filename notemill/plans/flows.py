@@ -99,27 +99,35 @@ def integration_insights(routed: DataFrame) -> DataFrame:
     )
 
 
+def _lines(layout: list[tuple[str, str, Column]], advice: str = "recommendations") -> Column:
+    """Readable lines of (section, label, formatted value): a section's name stands before its first line."""
+    out, before = [], None
+    for section, label, value in layout:
+        if section != before:
+            out.append(F.lit(f"[{section}]"))
+            before = section
+        out.append(F.concat(F.lit(f"{label} = "), value))
+    told = F.transform(advice, lambda r: F.concat(F.lit("- "), r))
+    return F.array_join(F.concat(F.array(*out), F.array(F.lit("[advice]")), told), "\n")
+
+
 def integration_summary(insights: DataFrame) -> DataFrame:
     """The insights as text lines."""
-    q, s = F.col("capture_stats"), F.col("routing_stats")
-    lines = F.concat(
-        F.array(
-            F.lit("INTEGRATION SUMMARY"),
-            F.format_string("Notes: %d (valid %d, invalid %d)", q["total_notes"], q["valid_notes"], q["invalid_notes"]),
-            F.format_string("Average tags per note: %.2f", q["avg_tags_per_note"]),
-            F.format_string("Routed: %d of %d (%.1f%%)", s["successful_routes"], s["total_routes"],
-                            s["success_rate"] * 100),
-            F.format_string("Average confidence: %.3f", s["avg_confidence"]),
-            F.lit("RECOMMENDATIONS"),
-        ),
-        F.transform("recommendations", lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r)),
-    )
-    return insights.select(F.array_join(lines, "\n").alias("value"))
+    c, r = F.col("capture_stats"), F.col("routing_stats")
+    count = lambda v: F.format_string("%d", v)
+    layout = [
+        ("capture", "notes", count(c["total_notes"])), ("capture", "valid", count(c["valid_notes"])),
+        ("capture", "invalid", count(c["invalid_notes"])), ("capture", "tags a note", F.format_string("%.2f", c["avg_tags_per_note"])),
+        ("routing", "routed", count(r["successful_routes"])), ("routing", "failed", count(r["failed_routes"])),
+        ("routing", "mean confidence", F.format_string("%.3f", r["avg_confidence"])),
+    ]
+    return insights.select(_lines(layout).alias("value"))
 
 
 def save_integration(routed: DataFrame, tags: DataFrame, path: str) -> None:
-    """Result rows, insights and summary under one folder."""
-    insights = integration_insights(routed)
+    """Result rows, insights and summary under one folder; the notes are parsed, embedded and routed once."""
+    routed = cut_lineage(routed)
+    insights = cut_lineage(integration_insights(routed))  # one row
     integrated_rows(routed, tags).write.mode("overwrite").json(f"{path}/integration_results")
     wr.write_report(insights, f"{path}/integration_insights")
     wr.write_lines(integration_summary(insights), f"{path}/integration_summary")
@@ -222,36 +230,20 @@ def full_evaluation(notes: DataFrame, tags: DataFrame, results: DataFrame,
 
 
 def evaluation_summary(report: DataFrame) -> DataFrame:
-    """The full report as readable text."""
+    """The full report as text lines; the models as ``name f1 precision recall milliseconds``."""
     n, m = F.col("note_quality"), F.col("model_performance")
-    rate = F.coalesce(F.try_divide(n["valid"] * 100.0, n["total"]), F.lit(0.0))
-    bar = F.lit("=" * 80)
-    models = F.flatten(F.transform(m["model_comparisons"], lambda x: F.array(
-        F.concat(F.lit("  "), x["model_name"], F.lit(":")),
-        F.format_string("    F1 Score: %.3f", x["f1_score"]),
-        F.format_string("    Precision: %.3f", x["precision"]),
-        F.format_string("    Recall: %.3f", x["recall"]),
-        F.format_string("    Processing Time: %.1fms", x["processing_time_ms"]),
-    )))
-    lines = F.concat(
-        F.array(bar, F.lit("ROUTING EVALUATION REPORT"), bar, F.lit(""), F.lit("EVALUATION SUMMARY:"),
-                F.format_string("  Total Notes Evaluated: %d", n["total"]),
-                F.format_string("  Total Tags Evaluated: %d", F.col("tag_quality")["total"]),
-                F.concat(F.lit("  Best Model: "), m["best_model"]),
-                F.format_string("  Best F1 Score: %.3f", m["best_f1_score"]), F.lit(""),
-                F.lit("DATA QUALITY:"),
-                F.format_string("  Note Validation Rate: %d/%d (%.1f%%)", n["valid"], n["total"], rate),
-                F.format_string("  Average Note Quality Score: %.3f", n["avg_quality_score"]),
-                F.format_string("  Outliers Detected: %d", n["outliers"]), F.lit(""),
-                F.lit("MODEL PERFORMANCE:")),
-        models,
-        F.array(F.lit(""), F.lit("SYSTEM PERFORMANCE:"),
-                F.format_string("  Average Processing Time: %.1fms", "processing_time_ms"), F.lit(""),
-                F.lit("RECOMMENDATIONS:")),
-        F.transform("recommendations", lambda r, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), r)),
-        F.array(F.lit(""), bar),
-    )
-    return report.select(F.array_join(lines, "\n").alias("value"))
+    models = F.array_join(F.transform(m["model_comparisons"], lambda x: F.format_string(
+        "%s %.3f %.3f %.3f %.1f", x["model_name"], x["f1_score"], x["precision"], x["recall"], x["processing_time_ms"])), "; ")
+    layout = [
+        ("notes", "total", F.format_string("%d", n["total"])), ("notes", "valid", F.format_string("%d", n["valid"])),
+        ("notes", "mean quality", F.format_string("%.3f", n["avg_quality_score"])),
+        ("notes", "of unusual length", F.format_string("%d", n["outliers"])),
+        ("tags", "total", F.format_string("%d", F.col("tag_quality")["total"])),
+        ("models", "best", m["best_model"]), ("models", "best f1", F.format_string("%.3f", m["best_f1_score"])),
+        ("models", "all", models),
+        ("run", "milliseconds a note", F.format_string("%.1f", "processing_time_ms")),
+    ]
+    return report.select(_lines(layout).alias("value"))
 
 
 def save_comparison(comparison: DataFrame, path: str) -> None:
@@ -272,18 +264,24 @@ def save_full_evaluation(report: DataFrame, path: str) -> None:
 
 def export_metrics(samples: DataFrame, path: str, order_by: list[str]) -> None:
     """Summary of the newest samples and the whole history, one dataset each."""
+    samples = cut_lineage(samples)
     wr.write_sections({"summary": ob.recent_metrics_summary(samples, order_by), "history": samples}, path)
 
 
 def export_errors(errors: DataFrame, now: Column, path: str, order_by: list[str]) -> None:
-    """Counts, health, most common, newest and all errors, one dataset each."""
+    """Counts, health, most common, newest and all errors, one dataset each.
+
+    All errors are written first, typed; the other sections read that copy, so the source is read once.
+    """
+    errors = cut_lineage(errors)
+    matrix = cut_lineage(ob.error_summary(errors))   # a row a type and component
     wr.write_sections({
-        "summary": ob.error_summary(errors),
+        "all_errors": errors,
+        "summary": matrix,
         "error_rate": ob.error_rate(errors, now),
         "component_health": ob.component_health(errors, now),
         "most_common_errors": ob.most_common_errors(errors),
         "recent_errors": ob.latest(errors, order_by),
-        "all_errors": errors,
     }, path)
 
 

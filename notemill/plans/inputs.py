@@ -43,7 +43,7 @@ def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dress_as_lines(documents: DataFrame) -> DataFrame:
-    """Whole documents as capture lines: some tagged, commented, stamped, some wrongly."""
+    """Whole documents as capture lines: some tagged, commented, stamped, some wrongly; and further lines without a body."""
     tags = F.when(F.col("doc_id") % 5 == 4, F.lit("")).otherwise(
         F.concat(F.lit("#"), "lang", F.lit(" #"), "source", F.lit(" #"), "lang", F.lit(" ")))
     tail = (
@@ -52,20 +52,22 @@ def dress_as_lines(documents: DataFrame) -> DataFrame:
         .when(F.col("doc_id") % 3 == 1, F.lit(" @2025-01-27T10:30:00.25"))
         .otherwise(F.lit(""))
     )
-    body = F.when(F.col("doc_id") % 13 == 5, F.lit("")).otherwise(F.col("text"))
-    return documents.select(
-        F.col("doc_id").alias("note_id"), F.concat(tags, body, tail).alias("raw_text"))
+    lines = documents.select(F.col("doc_id").alias("note_id"), F.concat(tags, "text", tail).alias("raw_text"))
+    bare = documents.filter(F.col("doc_id") % 13 == 5).select(
+        (-1 - F.col("doc_id")).alias("note_id"), F.concat(tags, tail).alias("raw_text"))
+    return lines.unionByName(bare)
 
 
 SQL_LINES = """
+dressed AS (
+  SELECT doc_id, text, CASE WHEN doc_id % 5 = 4 THEN '' ELSE '#' || lang || ' #' || source || ' #' || lang || ' ' END AS head,
+    CASE WHEN doc_id % 7 = 3 THEN ' @2025-13-45T99:00:00'
+         WHEN doc_id % 3 = 0 THEN ' //see ' || source || ' @2025-01-27T10:30:00'
+         WHEN doc_id % 3 = 1 THEN ' @2025-01-27T10:30:00.25' ELSE '' END AS tail
+  FROM documents),
 lines AS (
-  SELECT doc_id AS note_id,
-    (CASE WHEN doc_id % 5 = 4 THEN '' ELSE '#' || lang || ' #' || source || ' #' || lang || ' ' END)
-    || (CASE WHEN doc_id % 13 = 5 THEN '' ELSE text END)
-    || (CASE WHEN doc_id % 7 = 3 THEN ' @2025-13-45T99:00:00'
-             WHEN doc_id % 3 = 0 THEN ' //see ' || source || ' @2025-01-27T10:30:00'
-             WHEN doc_id % 3 = 1 THEN ' @2025-01-27T10:30:00.25' ELSE '' END) AS raw_text
-  FROM documents)"""
+  SELECT doc_id AS note_id, head || text || tail AS raw_text FROM dressed
+  UNION ALL SELECT -1 - doc_id, head || tail FROM dressed WHERE doc_id % 13 = 5)"""
 
 _SQL_TS = r"@(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?)"
 
@@ -207,27 +209,29 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- notes to validate ------------------------------------------------------
 
 def raw_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as notes, some with a bad id or timestamp, some without a text."""
+    """Whole documents as notes, some with a bad id or timestamp; and further notes without a usable text."""
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", "source",
+    docs = table(spark, sf_dir, "documents")
+    fields = [
         F.when(d % 11 == 3, F.concat(F.lit("bad id "), d.cast("string")))
         .otherwise(F.concat(F.lit("doc_"), d.cast("string"))).alias("note_id"),
         F.when(d % 17 == 1, F.lit("yesterday")).when(d % 17 == 2, F.lit(None).cast("string"))
-        .otherwise(F.lit("2025-01-27T10:30:00")).alias("timestamp"),
-        F.when(d % 19 == 1, F.lit(None).cast("string")).when(d % 19 == 2, F.lit(" \t "))
-        .when(d % 19 == 3, F.lit("!!")).when(d % 19 == 4, F.repeat(F.lit("a"), 12))
-        .otherwise(F.col("text")).alias("text"))
+        .otherwise(F.lit("2025-01-27T10:30:00")).alias("timestamp")]
+    faulty = (F.when(d % 19 == 2, F.lit(" \t ")).when(d % 19 == 3, F.lit("!!"))
+              .when(d % 19 == 4, F.repeat(F.lit("a"), 12)).alias("text"))   # and one without any
+    more = docs.filter((d % 19).between(1, 4)).select((-1 - d).alias("doc_id"), "source", *fields, faulty)
+    return docs.select("doc_id", "source", *fields, "text").unionByName(more)
 
 
 SQL_NOTES = """
+fields AS (
+  SELECT doc_id, source, text, CASE WHEN doc_id % 11 = 3 THEN 'bad id ' || doc_id ELSE 'doc_' || doc_id END AS note_id,
+    CASE WHEN doc_id % 17 = 1 THEN 'yesterday' WHEN doc_id % 17 = 2 THEN NULL ELSE '2025-01-27T10:30:00' END AS timestamp FROM documents),
 notes AS (
-  SELECT doc_id, source,
-    CASE WHEN doc_id % 11 = 3 THEN 'bad id ' || doc_id ELSE 'doc_' || doc_id END AS note_id,
-    CASE WHEN doc_id % 17 = 1 THEN 'yesterday' WHEN doc_id % 17 = 2 THEN NULL ELSE '2025-01-27T10:30:00' END AS timestamp,
-    CASE WHEN doc_id % 19 = 1 THEN NULL WHEN doc_id % 19 = 2 THEN ' ' || chr(9) || ' ' WHEN doc_id % 19 = 3 THEN '!!'
-         WHEN doc_id % 19 = 4 THEN repeat('a', 12) ELSE text END AS text
-  FROM documents)"""
+  SELECT doc_id, source, note_id, timestamp, text FROM fields
+  UNION ALL SELECT -1 - doc_id, source, note_id, timestamp,
+    CASE WHEN doc_id % 19 = 2 THEN ' ' || chr(9) || ' ' WHEN doc_id % 19 = 3 THEN '!!' WHEN doc_id % 19 = 4 THEN repeat('a', 12) END
+  FROM fields WHERE doc_id % 19 BETWEEN 1 AND 4)"""
 
 SQL_CHECKED_NOTES = SQL_NOTES + rf""",
 judged AS (
@@ -243,10 +247,10 @@ judged AS (
     list_filter([
       CASE WHEN length(text) > 10000 THEN 'Maximum length is 10000, got ' || length(text) END,
       CASE WHEN length(note_id) > 100 THEN 'Maximum length is 100, got ' || length(note_id) END,
-      CASE WHEN {sql_strip('text')} = '' THEN 'Note contains only whitespace' END,
-      CASE WHEN NOT regexp_matches(text, '[\p{{L}}\p{{N}}_]|{SQL_WS}') THEN 'Note contains only special characters' END,
-      CASE WHEN substr(text, 1, 1) <> chr(10) AND substr(text, 1, 11) = repeat(substr(text, 1, 1), 11) THEN 'Note contains repeated characters' END,
-      CASE WHEN length(text) < 10 THEN 'Note is very short, may lack context' END], lambda x: x IS NOT NULL) AS warnings
+      CASE WHEN {sql_strip('text')} = '' THEN 'Only white space' END,
+      CASE WHEN NOT regexp_matches(text, '[\p{{L}}\p{{N}}_]|{SQL_WS}') THEN 'Neither letters nor digits' END,
+      CASE WHEN substr(text, 1, 1) <> chr(10) AND substr(text, 1, 11) = repeat(substr(text, 1, 1), 11) THEN 'One character repeated' END,
+      CASE WHEN length(text) < 10 THEN 'Hardly any text' END], lambda x: x IS NOT NULL) AS warnings
   FROM notes),
 checked_notes AS (
   SELECT *, len(errors) = 0 AS is_valid,

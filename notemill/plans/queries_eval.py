@@ -118,13 +118,16 @@ def unknown_tags(spark, sf):
 
 @_query("evaluation_recommendations", f"""{_KNOWN_ROUTED},
 w AS (SELECT tag, f1_score FROM m ORDER BY f1_score, tag LIMIT 3)
-SELECT 'Precision below target (0.8). Consider adjusting confidence thresholds.' AS recommendation FROM wm WHERE precision < 0.8
-UNION ALL SELECT 'Recall below target (0.7). Consider adding more tag examples.' FROM wm WHERE recall < 0.7
-UNION ALL SELECT 'Low confidence correlation. Implement confidence calibration.' FROM known HAVING coalesce(corr(conf, (true_tag = routed_tag)::INT::DOUBLE), 0) < 0.3
-UNION ALL SELECT printf('Tag ''%s'' performing poorly (F1=%.2f). Review examples.', tag, f1_score) FROM w WHERE f1_score < 0.5""")
+SELECT 'precision' AS code, NULL AS about, round(precision, 4) AS value FROM wm WHERE precision < 0.8
+UNION ALL SELECT 'recall', NULL, round(recall, 4) FROM wm WHERE recall < 0.7
+UNION ALL SELECT 'confidence', NULL, round(coalesce(corr(conf, (true_tag = routed_tag)::INT::DOUBLE), 0), 4) FROM known
+  HAVING coalesce(corr(conf, (true_tag = routed_tag)::INT::DOUBLE), 0) < 0.3
+UNION ALL SELECT 'weak_tag', tag, round(f1_score, 4) FROM w WHERE f1_score < 0.5""")
 def evaluation_recommendations(spark, sf):
-    report = fl.evaluation_report(_routed(spark, sf), _known_tags(spark), "time_ms")
-    return report.select(F.explode("recommendations").alias("recommendation"))
+    outcomes = ev.outcome_table(_routed(spark, sf), time_ms="time_ms")
+    per_tag = ev.per_tag_metrics(ev.known_outcomes(outcomes, _known_tags(spark)))
+    advice = rec.evaluation_recommendations(ev.metrics_from_outcomes(outcomes, _known_tags(spark)), per_tag)
+    return advice.select("code", "about", F.round("value", 4).alias("value"))
 
 
 # --- splits -----------------------------------------------------------------
@@ -147,14 +150,28 @@ def kfold_metrics(spark, sf):
         "fold", "precision", "recall", "f1_score", "n", "confidence_correlation")
 
 
-@_query("kfold_trained")
+_TRAINED = f"""WITH folded AS (SELECT vec_id AS note_id, label::VARCHAR AS true_tag, embedding::DOUBLE[] AS v,
+  ((row_number() OVER (PARTITION BY label::VARCHAR ORDER BY md5(vec_id || ':42'), vec_id) - 1) % 5)::INT AS fold FROM embeddings),
+cells AS (SELECT fold, true_tag, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM folded),
+sums AS (SELECT true_tag, fold, pos, sum(x) AS s, count(*) AS c FROM cells GROUP BY ALL),
+means AS (SELECT f.fold, true_tag AS tag, pos, sum(s) / sum(c) AS m FROM sums JOIN (SELECT unnest(range(5)) AS fold) f ON sums.fold <> f.fold GROUP BY ALL),
+centers AS (SELECT fold, tag, list(m ORDER BY pos) AS tv FROM means GROUP BY 1, 2),
+scored AS (SELECT n.fold, note_id, true_tag, tag AS routed_tag,
+  list_inner_product(v, tv) / sqrt(list_inner_product(v, v)) / sqrt(list_inner_product(tv, tv)) AS sim FROM folded n JOIN centers c ON n.fold = c.fold),
+routed AS (SELECT *, CASE WHEN sim >= 0.5::DOUBLE THEN 0.5 + 0.5 * (sim - 0.5::DOUBLE) / 0.5::DOUBLE ELSE greatest(0.0::DOUBLE, sim) END AS conf
+  FROM scored QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY round(sim, 12) DESC, routed_tag) = 1),
+{sql_per_tag('routed', 'fold').strip()},
+c AS (SELECT fold, coalesce(corr(conf, (true_tag = routed_tag)::INT::DOUBLE), 0) AS corr FROM routed GROUP BY 1)"""
+
+
+@_query("kfold_trained", f"""{_TRAINED}
+SELECT fold, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1_score, 4) AS f1_score, n,
+  round(corr, 4) AS confidence_correlation FROM wm JOIN c USING (fold)""")
 def kfold_trained(spark, sf):
-    """Tag vectors are computed from the other four folds."""
+    """Tag vectors are the means of the other four folds."""
     notes = inp.labelled_vectors(spark, sf)
-    tags = inp.centroid_tags(notes).select("tag")
-    out = ev.cross_validate_trained(
-        notes, tags, lambda train, test: rt.route(test, rt.build_index(inp.centroid_tags(train))))
-    return _round(out, "precision", "recall", "f1_score", "accuracy", "confidence_correlation").select(
+    out = ev.cross_validate_centroids(notes, notes.select(F.col("true_tag").alias("tag")).distinct())
+    return _round(out, "precision", "recall", "f1_score", "confidence_correlation").select(
         "fold", "precision", "recall", "f1_score", "n", "confidence_correlation")
 
 
@@ -259,14 +276,14 @@ def model_tradeoff(spark, sf):
 
 @_query("model_recommendations", f"""{_CMP},
 r AS (SELECT *, row_number() OVER (ORDER BY f1_score DESC, model_name) AS rn FROM cmp)
-SELECT 'All models performing below target (F1 < 0.7). Consider data quality or model selection.' AS recommendation FROM r WHERE rn = 1 AND f1_score < 0.7
-UNION ALL SELECT 'No models meet speed target (< 50ms). Consider optimization or different models.' FROM r HAVING count(*) FILTER (processing_time_ms < 50) = 0
-UNION ALL SELECT 'All models exceed memory target (< 500MB). Consider smaller models.' FROM r HAVING count(*) FILTER (memory_usage_mb < 500) = 0
-UNION ALL SELECT 'Model ''' || model_name || ''' performs excellently. Consider for production.' FROM r WHERE rn = 1 AND f1_score > 0.8
-UNION ALL SELECT 'Consider ''' || b.model_name || ''' for better speed/performance trade-off.' FROM r a JOIN r b ON a.rn = 1 AND b.rn = 2
+SELECT 'all_models_weak' AS code, NULL AS about, round(f1_score, 4) AS value, 0.7::DOUBLE AS bound FROM r WHERE rn = 1 AND f1_score < 0.7
+UNION ALL SELECT 'all_models_slow', NULL, round(min(processing_time_ms), 4), 50 FROM r HAVING min(processing_time_ms) >= 50
+UNION ALL SELECT 'all_models_large', NULL, round(min(memory_usage_mb), 4), 500 FROM r HAVING min(memory_usage_mb) >= 500
+UNION ALL SELECT 'strong_model', model_name, round(f1_score, 4), 0.8 FROM r WHERE rn = 1 AND f1_score > 0.8
+UNION ALL SELECT 'bargain_model', b.model_name, round(a.f1_score - b.f1_score, 4), 0.05 FROM r a JOIN r b ON a.rn = 1 AND b.rn = 2
   WHERE a.f1_score - b.f1_score < 0.05 AND b.processing_time_ms < a.processing_time_ms * 0.7""")
 def model_recommendations(spark, sf):
-    return rec.model_recommendations(_comparison(spark, sf)).select("recommendation")
+    return rec.model_recommendations(_comparison(spark, sf)).select("code", "about", F.round("value", 4).alias("value"), "bound")
 
 
 # --- calibration ------------------------------------------------------------
@@ -332,36 +349,47 @@ def threshold_calibration(spark, sf):
     return out.select("note_id", F.round("calibrated", 4).alias("calibrated"))
 
 
-@_query("platt_fit")
+# the same fit by Newton steps in a recursive query
+_PLATT = f"""WITH RECURSIVE {inp.SQL_ROUTED.strip()},
+scored AS (SELECT note_id, coalesce(round(sim, 12), 0) AS s, (coalesce(routed_tag, '') = coalesce(true_tag, ''))::INT::DOUBLE AS y, conf FROM routed),
+train AS (SELECT s, y FROM scored QUALIFY row_number() OVER (PARTITION BY y ORDER BY md5(note_id || ':42'), note_id)
+  <= count(*) OVER (PARTITION BY y) - ceil(count(*) OVER (PARTITION BY y) * 0.2::DOUBLE)),
+newton(step, a, b) AS (
+  SELECT 0, 0.0::DOUBLE, ln(avg(y) / (1 - avg(y))) FROM train
+  UNION ALL
+  SELECT step + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT step, a, b, sum((p - y) * s) + a AS ga, sum(p - y) AS gb, sum(p * (1 - p) * s * s) + 1 AS haa,
+      sum(p * (1 - p) * s) AS hab, sum(p * (1 - p)) AS hbb
+    FROM (SELECT n.*, t.s, t.y, 1 / (1 + exp(-(n.a * t.s + n.b))) AS p FROM newton n, train t WHERE n.step < 12) GROUP BY step, a, b)),
+fit AS (SELECT a, b FROM newton WHERE step = 12)"""
+
+
+@_query("platt_fit", f"""{_PLATT}
+SELECT 'platt' AS method, true AS is_fitted, round(b, 4) AS intercept, round(a, 4) AS coefficient,
+  true AS gradient_vanishes FROM fit""")
 def platt_fit(spark, sf):
-    """Fitted, saved and loaded again."""
+    """Fitted, saved, loaded again, and its gradient over the training part taken."""
+    data = _scored(spark, sf).select("note_id", "score", "correct")
     path = scratch_path(spark, "calibrator")
-    wr.save_calibrator(spark, cal.fit_platt(_scored(spark, sf)), path)
-    row = wr.load_calibrator(spark, path).to_df(spark)
-    return row.select("method", "is_fitted", F.round("parameters.intercept", 4).alias("intercept"),
-                      F.round("parameters.coefficient", 4).alias("coefficient"))
-
-
-@_query("platt_report")
+    wr.save_calibrator(spark, cal.fit_platt(data), path)
+    fitted = wr.load_calibrator(spark, path)
+    _, g_a, g_b, *_ = cal.newton_sums(cal.training_part(data), fitted.coefficient, fitted.intercept)
+    return fitted.to_df(spark).select(
+        "method", "is_fitted", F.round("parameters.intercept", 4).alias("intercept"),
+        F.round("parameters.coefficient", 4).alias("coefficient"),
+        F.lit(max(abs(g_a), abs(g_b)) < 1e-4).alias("gradient_vanishes"))
+
+
+@_query("platt_report", f"""{_PLATT},
+p AS (SELECT s, y, conf, 1 / (1 + exp(-(a * s + b))) AS p FROM scored, fit)
+SELECT round(avg((s - y) * (s - y)), 4) AS brier_score_before, round(avg((p - y) * (p - y)), 4) AS brier_score_after,
+  count(*) AS n FROM p""")
 def platt_report(spark, sf):
-    data = _scored(spark, sf)
+    data = cut_lineage(_scored(spark, sf).select("note_id", "score", "correct"))
     out = cal.calibration_report(data, cal.fit_platt(data))
     return _round(out, "brier_score_before", "brier_score_after")
 
 
-@_query("full_evaluation")
-def full_evaluation(spark, sf):
-    """The whole evaluation run as one readable report."""
-    from notemill.sources.ontology import default_tags
-
-    notes = inp.raw_notes(spark, sf)
-    tags = default_tags(spark)
-    known = _known_tags(spark).withColumn("description", F.lit("a label of the table")).withColumn(
-        "examples", F.array(F.lit("example text"))).withColumn("confidence_threshold", F.lit(0.3))
-    report = fl.full_evaluation(notes, tags.drop("parent_tag").unionByName(known), _model_results(spark, sf), "time_ms")
-    return fl.evaluation_summary(report)
-
-
 @_query("destination_metrics", f"""WITH {inp.SQL_ROUTED}
 SELECT routed_tag, count(*) AS decisions, round(avg(note_id % 7), 4) AS average_decision_time, round(avg((true_tag = routed_tag)::INT), 4) AS routing_accuracy,
   0.0::DOUBLE AS error_rate, round(count(*) / (SELECT count(*) FROM routed)::DOUBLE, 4) AS utilization FROM routed GROUP BY 1""")

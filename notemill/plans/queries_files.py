@@ -76,6 +76,24 @@ def json_notes(spark, sf):
     return _counted(rd.read_json_notes(spark, path, run_ts=inp.RUN_TS, lines=True))
 
 
+@_query("json_array_notes", ORACLE["json_notes"])
+def json_array_notes(spark, sf):
+    """One file that is an array of all documents, cut at byte ranges."""
+    path = scratch_path(spark, "json_array")
+    wr.write_json_arrays(inp.table(spark, sf, "documents").select(
+        "doc_id", F.array(F.struct(F.col("text").alias("[}"))).alias("nested"), "text"), path)
+    return _counted(rd.read_json_notes(spark, path, run_ts=inp.RUN_TS))
+
+
+@_query("csv_one_file", ORACLE["csv_notes"])
+def csv_one_file(spark, sf):
+    """One large quoted CSV file with line feeds in its values, cut at byte ranges."""
+    path = scratch_path(spark, "csv_one")
+    inp.table(spark, sf, "documents").select("doc_id", "text", "lang").coalesce(1).write.csv(path, header=True, escape='"')
+    return rd.read_csv_notes(spark, path, "text", "doc_id", "lang").select(
+        "note_id", "timestamp", F.md5("original_text").alias("original"), F.md5("text").alias("digest"))
+
+
 @_query("note_folder", """SELECT 'lang=' || coalesce(lang, 'none') AS category, sum(length(coalesce(text, '')) + 1)::BIGINT AS n_chars
 FROM documents GROUP BY 1""")
 def note_folder(spark, sf):

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from notemill.operators import observability as ob
 from notemill.operators import recommendations as rec
+from notemill.plans import flows as fl
 from notemill.plans import inputs as inp
+from notemill.runtime import scratch_path
+from notemill.sources import writers as wr
 
 QUERIES = {}
 ORACLE = {}
@@ -213,37 +216,67 @@ def note_status(spark, sf):
 
 @_query("monitor_alerts", f"""WITH {T},
 m AS (SELECT component, max(user_id % 100)::DOUBLE AS cpu_percent, round(avg(is_error::INT), 2) AS error_rate FROM telemetry GROUP BY 1)
-SELECT component, 'High CPU usage: ' || cpu_percent || '%' AS alert FROM m WHERE cpu_percent > 90
-UNION ALL SELECT component, 'High error rate: ' || error_rate FROM m WHERE error_rate > 0.1""")
+SELECT component, 'cpu' AS type, cpu_percent AS value, 90.0::DOUBLE AS bound FROM m WHERE cpu_percent > 90
+UNION ALL SELECT component, 'errors', error_rate, 0.1 FROM m WHERE error_rate > 0.1""")
 def monitor_alerts(spark, sf):
     metrics = inp.telemetry(spark, sf).groupBy("component").agg(
         F.max(F.col("user_id") % 100).cast("double").alias("cpu_percent"),
         F.round(F.avg(F.col("is_error").cast("double")), 2).alias("error_rate"))
-    return rec.monitor_alerts(metrics).select("component", "alert")
+    return rec.monitor_alerts(metrics).select("component", "type", "value", "bound")
 
 
 @_query("performance_alerts", f"""WITH {T},
 m AS (SELECT component, avg(duration_ms) AS t, max(user_id % 100)::DOUBLE AS c, avg(is_error::INT) AS e FROM telemetry GROUP BY 1)
-SELECT component, 'high_processing_time' AS type, printf('Average processing time (%.2fs) exceeds threshold', t) AS message, 'warning' AS severity FROM m WHERE t > 5
-UNION ALL SELECT component, 'high_cpu_usage', printf('High CPU usage: %.1f%%', c), 'warning' FROM m WHERE c > 80
-UNION ALL SELECT component, 'high_error_rate', printf('High error rate: %.2f%%', e * 100), 'critical' FROM m WHERE e > 0.05""")
+SELECT component, 'time' AS type, round(t, 6) AS value, 5.0::DOUBLE AS bound, 'warning' AS severity FROM m WHERE t > 5
+UNION ALL SELECT component, 'cpu', c, 80, 'warning' FROM m WHERE c > 80
+UNION ALL SELECT component, 'errors', round(e, 6), 0.05, 'critical' FROM m WHERE e > 0.05""")
 def performance_alerts(spark, sf):
     metrics = inp.telemetry(spark, sf).groupBy("component").agg(
         F.avg("duration_ms").alias("average_time"), F.max(F.col("user_id") % 100).cast("double").alias("cpu_average"),
         F.avg(F.col("is_error").cast("double")).alias("error_rate"))
-    return rec.performance_alerts(metrics).select("component", "type", "message", "severity")
-
-
-@_query("run_recommendations", f"""WITH {T},
-m AS (SELECT count(*) FILTER (is_error) AS invalid, count(*) FILTER (duration_ms > 100) AS outliers, avg(duration_ms) AS t FROM telemetry)
-SELECT 'Data quality issues detected. Review and clean input data.' AS recommendation FROM m WHERE invalid > 0
-UNION ALL SELECT 'Outliers detected in note data. Consider data preprocessing.' FROM m WHERE outliers > 0
-UNION ALL SELECT 'Model performance below target (F1 < 0.7). Consider model selection or data quality.' FROM m WHERE invalid / 1e9 < 0.7
-UNION ALL SELECT 'Minimal calibration improvement. Consider different calibration method.' FROM m WHERE t - t < 0.01
-UNION ALL SELECT 'Processing time above target (100ms). Consider optimization.' FROM m WHERE t > 100""")
-def run_recommendations(spark, sf):
-    row = inp.telemetry(spark, sf).agg(
-        F.count_if("is_error").alias("invalid"), F.count_if(F.col("duration_ms") > 100).alias("outliers"),
-        (F.count_if("is_error") / 1e9).alias("best_f1_score"), F.avg("duration_ms").alias("brier_score_before"),
-        F.avg("duration_ms").alias("brier_score_after"), F.avg("duration_ms").alias("processing_time_ms"))
-    return rec.run_recommendations(row).select("recommendation")
+    return rec.performance_alerts(metrics).select("component", "type", F.round("value", 6).alias("value"), "bound", "severity")
+
+
+# --- exports ----------------------------------------------------------------
+
+@_query("exported_metrics", f"""WITH {T},
+s AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100),
+m AS (SELECT 'cpu_percent' AS metric, (user_id % 100)::DOUBLE AS v FROM s UNION ALL SELECT 'memory_mb', user_id * 10.0::DOUBLE FROM s
+  UNION ALL SELECT 'processing_time_ms', value FROM s UNION ALL SELECT 'throughput_notes_per_second', (event_id % 50)::DOUBLE FROM s
+  UNION ALL SELECT 'error_rate', (event_type = 'error')::INT::DOUBLE FROM s)
+SELECT 'summary' AS section, metric AS key, round(avg(v), 4) AS value FROM m GROUP BY 2
+UNION ALL SELECT 'history', event_id::VARCHAR, round(value, 4) FROM events""")
+def exported_metrics(spark, sf):
+    """Written as sections and read back."""
+    path = scratch_path(spark, "metrics")
+    fl.export_metrics(inp.metric_samples(spark, sf), path, ["timestamp", "event_id"])
+    summary, history = (wr.read_section(spark, path, name) for name in ("summary", "history"))
+    return summary.select(F.lit("summary").alias("section"), F.col("metric").alias("key"), F.round("mean", 4).alias("value")).unionByName(
+        history.select(F.lit("history").alias("section"), F.col("event_id").cast("string").alias("key"),
+                       F.round("processing_time_ms", 4).alias("value")))
+
+
+@_query("exported_errors", f"""WITH {T},
+rate AS (SELECT count(*) FILTER (timestamp > {NOW} - INTERVAL 1 HOUR) AS n FROM errors),
+newest AS (SELECT event_id FROM errors ORDER BY timestamp DESC, event_id DESC LIMIT 10)
+SELECT 'summary' AS section, 'total:all' AS key, count(*) AS n FROM errors
+UNION ALL SELECT 'summary', 'type:' || error_type, count(*) FROM errors GROUP BY error_type
+UNION ALL SELECT 'summary', 'component:' || component, count(*) FROM errors GROUP BY component
+UNION ALL SELECT 'component_health', component, count(*) FILTER (timestamp > {NOW} - INTERVAL 1 HOUR) FROM errors GROUP BY component
+UNION ALL SELECT 'most_common_errors', error_type, count(*) FROM errors GROUP BY error_type
+UNION ALL SELECT 'recent_errors', event_id::VARCHAR, 1 FROM newest
+UNION ALL SELECT 'all_errors', event_id::VARCHAR, 1 FROM errors""")
+def exported_errors(spark, sf):
+    """All sections of the error export, read back."""
+    path = scratch_path(spark, "errors")
+    fl.export_errors(inp.error_rows(spark, sf), _now(), path, ["timestamp", "event_id"])
+    section = lambda name: wr.read_section(spark, path, name)
+    out = None
+    for name, key, n in (("summary", F.concat_ws(":", "level", "key"), F.col("count")),
+                         ("component_health", F.col("component"), F.col("recent_errors")),
+                         ("most_common_errors", F.col("error_type"), F.col("count")),
+                         ("recent_errors", F.col("event_id").cast("string"), F.lit(1)),
+                         ("all_errors", F.col("event_id").cast("string"), F.lit(1))):
+        rows = section(name).select(F.lit(name).alias("section"), key.alias("key"), n.cast("bigint").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

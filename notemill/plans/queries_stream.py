@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notemill.operators import routing as rt
 from notemill.operators.validation import validate_content
 from notemill.plans import inputs as inp
+from notemill.plans.queries_files import ORACLE as FILE_ORACLE
 from notemill.plans.queries_text import ORACLE as TEXT_ORACLE
 from notemill.runtime import scratch_path
 from notemill.sources import readers as rd
@@ -75,6 +76,37 @@ def stream_fanout(spark, sf):
                        F.array_join("all_tags", ",").alias("all_tags"))
 
 
+@_query("stream_text_lines", FILE_ORACLE["capture_file"])
+def stream_text_lines(spark, sf):
+    """Capture lines that arrive as text files."""
+    path = scratch_path(spark, "lines")
+    wr.write_lines(inp.capture_lines(spark, sf).select("raw_text"), path)
+    lines = st.run_available(rd.stream_text(spark, path))
+    return lines.groupBy(F.md5("raw_text").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("stream_json_notes", "SELECT doc_id, lang, md5(text) AS digest FROM documents")
+def stream_json_notes(spark, sf):
+    """Notes that arrive as JSON files."""
+    path = scratch_path(spark, "json_notes")
+    wr.write_report(inp.table(spark, sf, "documents").select("doc_id", "lang", "text"), path)
+    notes = st.run_available(rd.stream_json(spark, path, "doc_id bigint, lang string, text string"))
+    return notes.select("doc_id", "lang", F.md5("text").alias("digest"))
+
+
+@_query("stream_dedup_all", f"""SELECT min(doc_id) AS doc_id, md5({inp.sql_normalize('text')}) AS digest FROM documents WHERE text IS NOT NULL GROUP BY 2""")
+def stream_dedup_all(spark, sf):
+    """First arrivals over two runs of the stream: what the first wrote is not written again."""
+    from notemill.functions.text import normalize_text
+
+    path = scratch_path(spark, "dedup_all")
+    for _ in range(2):   # the second run finds all arrivals known to its checkpoint
+        st.start_deduplicated(_stream(spark, sf, "documents"), f"{path}/out", f"{path}/state", order_by="doc_id",
+                              available_now=True).awaitTermination()
+    kept = st.read_deduplicated(spark, f"{path}/out", inp.table(spark, sf, "documents").schema)
+    return kept.select("doc_id", F.md5(normalize_text(F.col("text"))).alias("digest"))
+
+
 @_query("stream_dedup", f"""SELECT DISTINCT {inp.sql_normalize('text')} AS text FROM documents""")
 def stream_dedup(spark, sf):
     from notemill.functions.text import normalize_text
@@ -98,12 +130,12 @@ def stream_metrics(spark, sf):
 
 @_query("stream_alerts", f"""WITH {T},
 w AS (SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS s, round(avg(is_error::INT), 2) AS r FROM telemetry GROUP BY 1)
-SELECT s AS window_start, 'High error rate: ' || r AS alert FROM w
+SELECT s AS window_start, 'errors' AS type, r AS value FROM w
 WHERE r > 0.2 AND s + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(timestamp)) FROM telemetry) - INTERVAL 1 MINUTE""")
 def stream_alerts(spark, sf):
     windows = st.metric_windows(_telemetry(spark, sf), "timestamp", "duration_ms", F.col("is_error"), "1 hour")
     alerts = st.alert_windows(windows.withColumn("error_rate", F.round("error_rate", 2)), error_rate=0.2)
-    return st.run_available(alerts.select("window_start", "alert"))
+    return st.run_available(alerts.select("window_start", "type", "value"))
 
 
 @_query("stream_error_rate", f"""WITH {T},
@@ -125,7 +157,15 @@ def stream_health(spark, sf):
     return st.run_available(st.health_windows(_telemetry(spark, sf).filter("is_error"), "timestamp"))
 
 
-@_query("stream_sessions")
+# gaps and islands; a session is closed once the watermark (in whole milliseconds) is past its end
+@_query("stream_sessions", f"""WITH {T},
+e AS (SELECT user_id AS note_id, timestamp AS t, CASE WHEN operation = 'purchase' THEN 'note.processed' WHEN is_error THEN 'note.failed'
+  ELSE 'note.created' END AS kind FROM telemetry WHERE timestamp IS NOT NULL),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER w <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY note_id ORDER BY t)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY note_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM g),
+s AS (SELECT note_id, min(t) AS session_start, max(t) + INTERVAL 10 MINUTE AS session_end, count(*) AS n, arg_max(kind, t) AS status,
+  bool_and(kind = 'note.created') AS timed_out FROM i GROUP BY note_id, island)
+SELECT * FROM s WHERE -(-epoch_us(session_end) // 1000) < (SELECT epoch_ms(max(t)) FROM e) - 600000""")
 def stream_sessions(spark, sf):
     kind = F.when(F.col("event_type") == "purchase", "note.processed").when(
         F.col("is_error"), "note.failed").otherwise("note.created")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notemill.functions import text as tx
 from notemill.operators import notes as nt
 from notemill.operators import rules as ru
+from notemill.operators import recommendations as rec
 from notemill.operators import validation as va
 from notemill.operators.ordering import round_robin
 from notemill.plans import flows as fl
@@ -173,6 +174,20 @@ def sanitize_content(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.sanitize_content(F.col("html")).alias("content"))
 
 
+@_query("sanitize_bytes", r"""
+WITH raw AS (SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN '<script>x</script >' || chr(65533) || text || chr(65533) ELSE text END AS t FROM documents)
+SELECT doc_id, doc_id % 5 <> 2 AS valid, md5(replace(replace(replace(replace(
+   regexp_replace(regexp_replace(t, '(?is)<script.*?</script\s*>', '', 'g'), '(?i)<script[^>]*>|javascript:|data:', '', 'g'),
+   '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS digest FROM raw""")
+def sanitize_bytes(spark, sf):
+    """Documents as bytes, every fifth with bytes that are not UTF-8."""
+    raw = F.encode("text", "UTF-8")
+    broken = F.concat(F.encode(F.lit("<script>x</script >"), "UTF-8"), F.lit(b"\xff"), raw, F.lit(b"\xc3"))
+    read = table(spark, sf, "documents").select(
+        "doc_id", tx.sanitize_bytes(F.when(F.col("doc_id") % 5 == 2, broken).otherwise(raw)).alias("s"))
+    return read.select("doc_id", "s.valid", F.md5("s.content").alias("digest"))
+
+
 @_query("fix_content", """
 WITH cut AS (SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS c FROM pages),
 long AS (SELECT page_id, CASE WHEN length(c) > 10000 THEN substr(c, 1, 10000) || '...' ELSE c END AS c FROM cut)
@@ -269,8 +284,10 @@ def validate_notes(spark, sf):
         F.array_join("warnings.message", "|").alias("warnings"), "is_valid", "quality")
 
 
-@_query("validate_notes_batch", """WITH """ + inp.SQL_CHECKED_NOTES.replace("source,\n    CASE", "source,\n    CASE WHEN doc_id % 5 = 0 THEN source WHEN doc_id % 23 = 4 THEN NULL\n      ELSE CASE").replace(
-    "ELSE 'doc_' || doc_id END AS note_id", "ELSE 'doc_' || doc_id END END AS note_id") + """
+@_query("validate_notes_batch", f"""WITH {inp.SQL_CHECKED_NOTES.replace("notes AS (", "notes0 AS (", 1)
+    .replace("judged AS (", """notes AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN source WHEN doc_id % 23 = 4 THEN NULL
+    ELSE note_id END AS note_id) FROM notes0),
+judged AS (""", 1)}
 SELECT result_id, doc_id, is_valid, quality FROM (
   SELECT coalesce(note_id, 'note_' || doc_id) AS result_id, doc_id, is_valid, quality,
          row_number() OVER (PARTITION BY coalesce(note_id, 'note_' || doc_id) ORDER BY doc_id DESC) AS rn
@@ -308,12 +325,13 @@ def validation_issues(spark, sf):
 @_query("validation_recommendations", f"""WITH {inp.SQL_CHECKED_NOTES},
 s AS (SELECT count(*) AS n, count(*) FILTER (NOT is_valid) AS bad, sum(len(errors)) AS e, sum(len(warnings)) AS w FROM checked_notes),
 t AS (SELECT error_type, count(*) AS c FROM (SELECT unnest(errors) AS error_type FROM checked_notes) GROUP BY 1)
-SELECT 'More than 10% of items failed validation. Review data quality.' AS recommendation FROM s WHERE bad / n::DOUBLE > 0.1
-UNION ALL SELECT 'High number of errors compared to warnings. Check data format.' FROM s WHERE e > 2 * w
-UNION ALL SELECT 'High frequency of ' || error_type || ' errors. Review validation rules.' FROM t, s WHERE c > n * 0.05""")
+SELECT 'many_invalid' AS code, NULL AS about, round(bad / n::DOUBLE, 6) AS value FROM s WHERE bad / n::DOUBLE > 0.1
+UNION ALL SELECT 'errors_over_warnings', NULL, round(e / w::DOUBLE, 6) FROM s WHERE e > 2 * w
+UNION ALL SELECT 'frequent_error', error_type, round(c / n::DOUBLE, 6) FROM t, s WHERE c > n * 0.05""")
 def validation_recommendations(spark, sf):
-    report = fl.validation_report(_checked(spark, sf))
-    return report.select(F.explode("recommendations").alias("recommendation"))
+    checked = _checked(spark, sf)
+    advice = rec.validation_recommendations(va.validation_summary(checked), va.error_type_counts(checked))
+    return advice.select("code", "about", F.round("value", 6).alias("value"))
 
 
 @_query("length_outliers", f"""WITH {inp.SQL_NOTES},

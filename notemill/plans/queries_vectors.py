@@ -9,11 +9,12 @@ from notemill.functions import text as tx
 from notemill.functions import vectors as vx
 from notemill.operators import embedding as em
 from notemill.operators import observability as ob
+from notemill.operators import recommendations as rec
 from notemill.operators import routing as rt
 from notemill.plans import flows as fl
 from notemill.plans import inputs as inp
 from notemill.plans.inputs import table
-from notemill.runtime import cut_lineage
+from notemill.runtime import cut_lineage, scratch_path
 from notemill.sources import ontology as on
 from notemill.sources import writers as wr
 
@@ -140,6 +141,18 @@ v AS (SELECT note_id, routed_tag, count(*) AS votes, avg(sim) AS s FROM (
 SELECT note_id, routed_tag, votes, round(s, 4) AS mean_similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY votes DESC, s DESC, routed_tag) AS rn FROM v) WHERE rn = 1""")
 def ensemble_vote(spark, sf):
+    notes = _vectors(spark, sf)
+    tags = cut_lineage(inp.centroid_tags(notes))
+    routers = {}
+    for name, part in (("all", F.col("vector")), ("low", F.slice("vector", 1, 32)), ("high", F.slice("vector", 33, 32))):
+        routers[name] = part, rt.build_index(tags.withColumn("vector", part))
+    return rt.ensemble_route(notes, routers).select("note_id", "routed_tag", "votes",
+                                                    F.round("mean_similarity", 4).alias("mean_similarity"))
+
+
+@_query("ensemble_tables", ORACLE["ensemble_vote"])
+def ensemble_tables(spark, sf):
+    """The vote over the routers' own result tables."""
     notes = _vectors(spark, sf)
     tags = cut_lineage(inp.centroid_tags(notes))
     results = []
@@ -198,6 +211,13 @@ def nearest_notes(spark, sf):
     return rt.nearest_notes(notes, 2, 0.4, "vec_id").withColumn("similarity", F.round("similarity", 4))
 
 
+@_query("nearest_notes_indexed", ORACLE["nearest_notes"])
+def nearest_notes_indexed(spark, sf):
+    """The same through the angular index with many small blocks."""
+    notes = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return rt.nearest_notes(notes, 2, 0.4, "vec_id", block_rows=200).withColumn("similarity", F.round("similarity", 4))
+
+
 # --- vectors ----------------------------------------------------------------
 
 @_query("mean_tag_vectors", f"""WITH {inp.SQL_CENTROIDS}
@@ -223,14 +243,16 @@ def vector_validation(spark, sf):
 @_query("vector_normalizations", """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT vec_id, v, list_min(v) AS lo, list_max(v) AS hi, list_avg(v) AS mean, sqrt(list_inner_product(v, v)) AS norm,
-  sqrt(list_avg(list_transform(v, lambda x: (x - list_avg(v)) * (x - list_avg(v))))) AS sd FROM v)
-SELECT vec_id, round((v[1] - lo) / (hi - lo), 4) AS min_max_first, round((v[1] - mean) / sd, 4) AS z_first,
-  round((v[64] - mean) / sd, 4) AS z_last, round(v[1] / norm, 4) AS unit_first FROM s""")
+  sqrt(list_avg(list_transform(v, lambda x: (x - list_avg(v)) * (x - list_avg(v))))) AS sd FROM v),
+c AS (SELECT *, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM s)
+SELECT vec_id, (pos - 1)::INT AS pos, round((x - lo) / (hi - lo), 4) AS min_max, round((x - mean) / sd, 4) AS z, round(x / norm, 4) AS unit FROM c""")
 def vector_normalizations(spark, sf):
+    """All components of the three normalised forms."""
     v = F.col("v")
-    return table(spark, sf, "embeddings").select("vec_id", vx.as_double(F.col("embedding")).alias("v")).select(
-        "vec_id", F.round(vx.min_max(v)[0], 4).alias("min_max_first"), F.round(vx.z_score(v)[0], 4).alias("z_first"),
-        F.round(vx.z_score(v)[63], 4).alias("z_last"), F.round(vx.unit(v)[0], 4).alias("unit_first"))
+    rows = table(spark, sf, "embeddings").select("vec_id", vx.as_double(F.col("embedding")).alias("v"))
+    return rows.select("vec_id", F.posexplode(F.arrays_zip(
+        vx.min_max(v).alias("min_max"), vx.z_score(v).alias("z"), vx.unit(v).alias("unit"))).alias("pos", "x")).select(
+        "vec_id", "pos", *[F.round(F.col(f"x.{c}"), 4).alias(c) for c in ("min_max", "z", "unit")])
 
 
 @_query("diversity", """
@@ -260,10 +282,46 @@ def embedding_dimension(spark, sf):
     return em.embedding_dimension(table(spark, sf, "embeddings"), "embedding")
 
 
-@_query("pca_vectors")
+# the principal axes are not in SQL; what they leave unchanged is
+_GRAM = """WITH cells AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+means AS (SELECT pos, avg(x) AS m FROM cells GROUP BY 1),
+centred AS (SELECT vec_id, pos, x - m AS x FROM cells JOIN means USING (pos)),
+gram AS (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM centred a JOIN centred b USING (vec_id) GROUP BY 1, 2)"""
+
+
+@_query("pca_vectors", f"""{_GRAM}
+SELECT vec_id, count(*) AS dims, round(sum(x * x), 6) AS squared_length FROM centred GROUP BY 1""")
 def pca_vectors(spark, sf):
-    out = em.reduce_dimensions(table(spark, sf, "embeddings"), 8, "embedding")
-    return out.select("vec_id", F.size("reduced").alias("dims"), F.round(F.abs(F.col("reduced")[0]), 4).alias("first_abs"))
+    """Coordinates on all axes keep the length of a centred vector."""
+    vectors = table(spark, sf, "embeddings")
+    out = em.reduce_dimensions(vectors, 1_000, "embedding")
+    return out.select("vec_id", F.size("reduced").cast("long").alias("dims"),
+                      F.round(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squared_length"))
+
+
+@_query("pca_variances", f"""{_GRAM},
+square AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM gram a JOIN gram b ON a.j = b.i GROUP BY 1, 2)
+SELECT (SELECT count(DISTINCT i) FROM gram) AS axes, true AS uncorrelated, true AS falling,
+  (SELECT round(sum(c), 6) FROM gram WHERE i = j) AS variance, (SELECT round(sum(c * c), 6) FROM gram) AS squared,
+  (SELECT round(sum(s.c * g.c), 6) FROM square s JOIN gram g ON s.i = g.j AND s.j = g.i) AS cubed""")
+def pca_variances(spark, sf):
+    """The variances of all coordinates: their power sums are the traces of the covariance's powers; no two are correlated."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation
+
+    reduced = cut_lineage(em.reduce_dimensions(table(spark, sf, "embeddings"), 1_000, "embedding").select("vec_id", "reduced"))
+    cells = reduced.select(F.posexplode("reduced").alias("axis", "x"))
+    axes = cells.groupBy("axis").agg(F.var_samp("x").alias("v"))
+    spread = F.collect_list(F.struct("axis", "v"))
+    ordered = F.transform(F.array_sort(spread), lambda p: p["v"])
+    falling = F.forall(F.sequence(F.lit(1), F.size(ordered) - 1), lambda i: F.get(ordered, i - 1) >= F.get(ordered, i) - 1e-12)
+    # a matrix of axes x axes
+    matrix = Correlation.corr(reduced.select(array_to_vector("reduced").alias("r")), "r").first()[0].toArray()
+    largest = float(np.abs(matrix - np.eye(len(matrix))).max())
+    return axes.agg(
+        F.count(F.lit(1)).alias("axes"), F.lit(largest < 1e-6).alias("uncorrelated"), falling.alias("falling"),
+        F.round(F.sum("v"), 6).alias("variance"), F.round(F.sum(F.col("v") ** 2), 6).alias("squared"),
+        F.round(F.sum(F.col("v") ** 3), 6).alias("cubed"))
 
 
 # --- text vectors -----------------------------------------------------------
@@ -273,14 +331,13 @@ def _hashed_docs(spark, sf):
                            dim=inp.HASH_DIM)
 
 
-@_query("hashed_embedding", f"""WITH {inp.sql_hashed('h', 'SELECT doc_id AS id, text FROM documents')}
-SELECT id AS note_id, round(v[1], 6) AS first, round(v[64], 6) AS last, round(list_max(v), 6) AS top,
-  len(list_filter(v, lambda x: x > 0)) AS filled FROM h""")
+@_query("hashed_embedding", f"""WITH {inp.sql_hashed('h', 'SELECT doc_id AS id, text FROM documents')},
+c AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM h)
+SELECT id AS note_id, (pos - 1)::INT AS pos, round(x, 6) AS value FROM c WHERE x <> 0""")
 def hashed_embedding(spark, sf):
-    v = F.col("vector")
-    return _hashed_docs(spark, sf).select(
-        "note_id", F.round(v[0], 6).alias("first"), F.round(v[63], 6).alias("last"),
-        F.round(F.array_max(v), 6).alias("top"), F.size(F.filter(v, lambda x: x > 0)).cast("long").alias("filled"))
+    """All components that are not 0."""
+    return _hashed_docs(spark, sf).select("note_id", F.posexplode("vector").alias("pos", "value")).filter("value <> 0").withColumn(
+        "value", F.round("value", 6))
 
 
 @_query("hashed_text_routing", f"""WITH {inp.sql_hashed('h', 'SELECT doc_id AS id, text FROM documents')},
@@ -296,6 +353,10 @@ def hashed_text_routing(spark, sf):
                          F.round("confidence", 4).alias("confidence"))
 
 
+def _sql_sentence(code: str) -> str:
+    return "'" + rec.SENTENCES[code].replace("'", "''") + "'"
+
+
 _SQL_DEFAULT_TAGS = "(VALUES " + ", ".join(
     "('" + tag + "', '" + (text + " " + " ".join(examples)).replace("'", "''") + f"', {threshold}::DOUBLE)"
     for tag, text, examples, threshold, _ in on.DEFAULT_TAGS) + ") AS t(tag, text, thr)"
@@ -321,16 +382,67 @@ def capture_and_route(spark, sf):
         F.round("confidence", 4).alias("confidence"))
 
 
-@_query("tag_correlation", f"""WITH {_SQL_CAPTURE_ROUTED},
-u AS (SELECT unnest(tags) AS tag, CASE WHEN routed_tag = 'research_question' THEN 'en' ELSE 'src1' END AS r FROM best JOIN checked USING (note_id))
-SELECT tag, count(*) AS count, count(*) FILTER (tag = r) AS route_matches, round(count(*) FILTER (tag = r) / count(*)::DOUBLE, 6) AS correlation_rate
-FROM u GROUP BY tag""")
+@_query("tag_correlation", f"""WITH {inp.SQL_ROUTED},
+u AS (SELECT unnest([true_tag, 'group_' || (true_tag::INT % 3)]) AS tag, routed_tag FROM routed)
+SELECT tag, count(*) AS count, count(*) FILTER (tag = routed_tag) AS route_matches,
+  round(count(*) FILTER (tag = routed_tag) / count(*)::DOUBLE, 6) AS correlation_rate FROM u GROUP BY tag""")
 def tag_correlation(spark, sf):
+    """Notes that carry their label, twice, and a group, against the tag they are routed to."""
     from notemill.operators.notes import tag_correlation as correlate
 
-    mapped = F.when(F.col("routed_tag") == "research_question", "en").otherwise("src1")
-    return correlate(_captured(spark, sf).withColumn("routed_tag", mapped)).withColumn(
-        "correlation_rate", F.round("correlation_rate", 6))
+    group = F.concat(F.lit("group_"), (F.col("true_tag").cast("int") % 3).cast("string"))
+    tagged = _routed(spark, sf).withColumn("tags", F.array("true_tag", group, "true_tag"))
+    return correlate(tagged).withColumn("correlation_rate", F.round("correlation_rate", 6))
+
+
+# --- tag vectors ------------------------------------------------------------
+
+_SQL_EXAMPLE_ROWS = """SELECT 'lang_' || coalesce(lang, 'none') AS tag, text FROM documents WHERE text IS NOT NULL"""
+
+
+def _language_tags(spark, sf):
+    """An ontology of the languages: their documents as examples, and a tag that has none."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("lang_"), F.coalesce("lang", F.lit("none"))).alias("tag"), "text")
+    tags = docs.select("tag", F.lit("notes in one language").alias("description"), F.array("text").alias("examples"))
+    return tags.filter("text IS NOT NULL"), docs.select(F.lit("empty").alias("tag"), F.lit("no example").alias("description"),
+                                                        F.array().cast("array<string>").alias("examples")).limit(1)
+
+
+@_query("example_tag_vectors", f"""WITH {inp.sql_hashed('h', 'SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL')},
+c AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM h),
+m AS (SELECT 'lang_' || coalesce(lang, 'none') AS tag, pos, avg(x) AS x FROM c JOIN documents d ON d.doc_id = c.id GROUP BY 1, 2)
+SELECT tag, (pos - 1)::INT AS pos, round(x, 6) AS value FROM m
+UNION ALL SELECT 'empty', unnest(range(64))::INT, 0.0""")
+def example_tag_vectors(spark, sf):
+    """Mean of the example vectors of each tag; zeros for the tag without examples."""
+    embed = lambda d: em.embed_hashed(d, dim=inp.HASH_DIM)
+    with_examples, without = _language_tags(spark, sf)
+    # one row a document: an ontology row a tag would hold all texts of a language at once
+    means = em.mean_vectors(embed(with_examples.select("tag", F.explode("examples").alias("text"))), "tag").select("tag", "vector")
+    empty = em.tag_example_vectors(without, embed, inp.HASH_DIM).select("tag", "vector")
+    return means.unionByName(empty).select("tag", F.posexplode("vector").alias("pos", "value")).withColumn(
+        "value", F.round("value", 6))
+
+
+@_query("benchmark_tag_vectors", f"""WITH {inp.sql_hashed('d', 'SELECT item_id AS id, text FROM benchmark').strip()},
+e AS (SELECT item_id, list_filter(string_split(text, '. '), lambda s: s <> '') AS ex FROM benchmark),
+x AS (SELECT item_id * 1000 + generate_subscripts(ex, 1) AS id, item_id, unnest(ex) AS text FROM e),
+{inp.sql_hashed('h', 'SELECT id, text FROM x').strip()},
+c AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM h),
+m AS (SELECT item_id, pos, avg(c.x) AS x FROM c JOIN x USING (id) GROUP BY 1, 2),
+f AS (SELECT id AS item_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM d)
+SELECT item_id, 'description' AS kind, (pos - 1)::INT AS pos, round(x, 6) AS value FROM f
+UNION ALL SELECT item_id, 'examples', (pos - 1)::INT, round(x, 6) FROM m""")
+def benchmark_tag_vectors(spark, sf):
+    """Benchmark items as tags: vectors of the description alone and of the examples, here its sentences."""
+    embed = lambda d: em.embed_hashed(d, dim=inp.HASH_DIM)
+    tags = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("tag"), F.col("text").alias("description"),
+        F.filter(F.split("text", r"\. "), lambda s: s != "").alias("examples"))
+    rows = lambda df, kind: df.select(F.col("tag").alias("item_id"), F.lit(kind).alias("kind"), F.posexplode("vector").alias("pos", "value"))
+    out = rows(em.tag_description_vectors(tags, embed), "description").unionByName(
+        rows(em.tag_example_vectors(tags, embed, inp.HASH_DIM), "examples"))
+    return out.withColumn("value", F.round("value", 6))
 
 
 @_query("integrated_rows", f"""WITH {_SQL_CAPTURE_ROUTED}
@@ -348,11 +460,11 @@ def integrated_rows(spark, sf):
 @_query("integration_recommendations", f"""WITH {_SQL_CAPTURE_ROUTED},
 c AS (SELECT count(*) FILTER (NOT valid) AS bad, avg(len(tags)) AS avg_tags FROM checked),
 r AS (SELECT avg(conf) AS conf FROM best),
-u AS (SELECT tag FROM (SELECT unnest(tags) AS tag FROM checked) GROUP BY tag HAVING count(*) > 2)
-SELECT 'Some captured notes failed validation. Review grammar rules.' AS recommendation FROM c WHERE bad > 0
-UNION ALL SELECT 'Low tag usage in captured notes. Consider encouraging tag usage.' FROM c WHERE avg_tags < 1
-UNION ALL SELECT 'Low average confidence in routing. Consider confidence calibration.' FROM r WHERE conf < 0.7
-UNION ALL SELECT 'Low correlation between user tags and routed tags: [' || string_agg('''' || tag || '''', ', ' ORDER BY tag) || ']' FROM u HAVING count(*) > 0""")
+u AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM checked) GROUP BY tag HAVING count(*) > 2)
+SELECT {_sql_sentence('invalid_captures')} AS recommendation FROM c WHERE bad > 0
+UNION ALL SELECT {_sql_sentence('few_tags')} FROM c WHERE avg_tags < 1
+UNION ALL SELECT {_sql_sentence('low_confidence')} FROM r WHERE conf < 0.7
+UNION ALL SELECT {_sql_sentence('ignored_tags')} || ': ' || string_agg(tag, ', ' ORDER BY n DESC, tag) FROM (SELECT * FROM u ORDER BY n DESC, tag LIMIT 3) HAVING count(*) > 0""")
 def integration_recommendations(spark, sf):
     insights = fl.integration_insights(_captured(spark, sf))
     return insights.select(F.explode("recommendations").alias("recommendation"))
@@ -373,12 +485,21 @@ def library_batch(spark, sf):
         F.count(F.lit(1)).alias("count"), F.round(F.avg("similarity_score"), 4).alias("avg_similarity"))
 
 
-@_query("markdown_export", f"""WITH {inp.SQL_ROUTED}
-SELECT routed_tag, md5('---' || chr(10) || 'note_id: ' || note_id || chr(10) || 'tag: ' || routed_tag || chr(10) || '---' || chr(10) || chr(10) || true_tag) AS h FROM routed""")
+@_query("markdown_export", f"""WITH {inp.sql_hashed('h', 'SELECT doc_id AS id, text FROM documents')},
+{inp.sql_hashed('b', 'SELECT item_id AS id, text FROM benchmark').strip()},
+{inp.sql_ranked("SELECT id AS note_id, v, '' AS true_tag FROM h", "SELECT 'item_' || id AS tag, v AS tv FROM b", 0.5).strip()},
+lines AS (SELECT routed_tag, unnest(string_split('---' || chr(10) || 'note_id: ' || note_id || chr(10) || 'tag: ' || routed_tag || chr(10)
+    || 'confidence: ' || printf('%.4f', conf) || chr(10) || 'similarity: ' || printf('%.4f', sim) || chr(10) || '---' || chr(10) || chr(10) || text, chr(10))) AS line
+  FROM routed JOIN documents ON doc_id = note_id)
+SELECT routed_tag, md5(line) AS digest, count(*) AS n FROM lines GROUP BY ALL""")
 def markdown_export(spark, sf):
-    notes = wr.markdown_notes(_routed(spark, sf).withColumn("text", F.col("true_tag")))
-    # the score lines are formatted numbers; leave them out of the digest
-    return notes.select("routed_tag", F.md5(F.regexp_replace("value", "(?:confidence|similarity): .*\n", "")).alias("h"))
+    """Whole documents exported as Markdown under the folder of their tag, read back line by line."""
+    tags = em.embed_hashed(table(spark, sf, "benchmark"), dim=inp.HASH_DIM).select(
+        F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("tag"), "vector")
+    path = scratch_path(spark, "markdown")
+    wr.write_markdown(rt.route(_hashed_docs(spark, sf), rt.build_index(tags, threshold=None)), path)
+    lines = spark.read.schema("value string, routed_tag string").option("lineSep", "\n").text(path)
+    return lines.groupBy("routed_tag", F.md5("value").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("model_embedding", """

@@ -93,11 +93,13 @@ def test_models(spark, results, tags):
     assert [pick(c) for c in ("f1_score", "precision", "recall", "speed")] == ["a", "b", "a", "b"]
     with pytest.raises(ValueError):
         ev.best_model(comparison, "beauty")
-    lines = [r["recommendation"] for r in rec.model_recommendations(comparison).collect()]
-    assert len(lines) == 4 and lines[-1].startswith("Consider 'b'")
+    advice = rec.model_recommendations(comparison).orderBy("position").collect()
+    assert [(r["code"], r["about"]) for r in advice] == [
+        ("all_models_slow", None), ("all_models_large", None), ("strong_model", "a"), ("bargain_model", "b")]
+    assert advice[0]["value"] == 60.0 and advice[0]["bound"] == 50.0 and advice[3]["recommendation"].endswith(": b")
     assert ev.model_tradeoff(comparison).first()["prefer_second"]
     none = rec.model_recommendations(comparison.limit(0)).collect()
-    assert [r["recommendation"] for r in none] == ["No models evaluated successfully"]
+    assert [r["code"] for r in none] == ["no_model"]
 
 
 def test_rules(spark):
@@ -125,10 +127,10 @@ def test_flows(spark, tmp_path):
     insights = fl.integration_insights(routed).first()
     assert insights["capture_stats"]["total_notes"] == 3 and insights["capture_stats"]["notes_with_tags"] == 2
     assert insights["routing_stats"]["success_rate"] == 1.0 and len(insights["tag_correlations"]) == 2
-    assert insights["recommendations"][0].startswith("Some captured notes failed")
+    assert insights["recommendations"][0] == rec.SENTENCES["invalid_captures"]
     fl.save_integration(routed, tags, f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out/integration_results").count() == 3
-    assert spark.read.text(f"{tmp_path}/out/integration_summary").first()[0] == "INTEGRATION SUMMARY"
+    assert spark.read.text(f"{tmp_path}/out/integration_summary").first()[0] == "[capture]"
     notes = synth.generate_notes(spark, 80)
     batch = fl.library_batch(notes, tags)
     assert 0 < batch.count() <= 80 and batch.select("text").distinct().count() == batch.count()

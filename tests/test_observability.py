@@ -10,6 +10,7 @@ from notemill.operators import observability as ob
 from notemill.operators import recommendations as rec
 from notemill.operators import rules as ru
 from notemill.plans import flows as fl
+from notemill.sources import writers as wr
 
 NOW = datetime(2024, 1, 1, 12, 0, 0)
 
@@ -47,7 +48,7 @@ def test_health_and_rates(errors):
 
 def test_alerts(spark):
     m = spark.createDataFrame([(95.0, 0.2), (90.0, 0.1)], "cpu_percent double, error_rate double")
-    assert [r["alert"] for r in rec.monitor_alerts(m).collect()] == ["High CPU usage: 95.0%", "High error rate: 0.2"]
+    assert [(r["type"], r["value"], r["bound"]) for r in rec.monitor_alerts(m).collect()] == [("cpu", 95.0, 90.0), ("errors", 0.2, 0.1)]
 
 
 def test_length_batches(spark):
@@ -63,6 +64,9 @@ def test_exports(spark, errors, tmp_path):
     samples = errors.select("timestamp", *[F.lit(1.0).alias(m) for m in ob.METRICS])
     fl.export_metrics(samples, f"{tmp_path}/m", ["timestamp"])
     assert spark.read.json(f"{tmp_path}/m/summary").count() == 5
+    assert wr.read_section(spark, f"{tmp_path}/m", "history").schema["timestamp"].dataType == samples.schema["timestamp"].dataType
+    with pytest.raises(Exception):
+        wr.read_section(spark, f"{tmp_path}/absent", "history")   # an export that did not end has no list
     comparison = spark.createDataFrame(
         [("a", 0.9, 1.0, 1.0, 10.0, 1.0)],
         "model_name string, f1_score double, precision double, recall double, processing_time_ms double, memory_usage_mb double")

@@ -42,8 +42,22 @@ def test_scans_are_pruned(documents):
 
 def test_copies_merge_before_the_shuffle(documents):
     plan = _plan(nt.deduplicate_notes(documents, "doc_id"))
-    below = plan[plan.index("Exchange hashpartitioning"):]
-    assert "partial_min_by" in below
+    assert "SortAggregate" not in plan and plan.count("partial_min") == 1
+    # digests and order values are the shuffle keys, never a text
+    assert all("text" not in line.split("ENSURE")[0] for line in plan.splitlines() if "hashpartitioning" in line)
+    assert "SortAggregate" not in _plan(va.validate_notes_batch(documents.select(
+        "doc_id", "text", F.lit("a").alias("note_id"), F.lit("x").alias("timestamp")), "doc_id"))
+
+
+def test_tag_vectors_are_in_no_single_task(spark, sf_dir):
+    lines = _plan(catalog.QUERIES["route_topk_blocked"](spark, sf_dir)).splitlines()
+    # what meets in one task is a count a partition
+    assert all("HashAggregate" in below and "count(1)" in below for line, below in zip(lines, lines[1:]) if "SinglePartition" in line)
+
+
+def test_votes_need_no_shuffle(spark, sf_dir):
+    plan = _plan(catalog.QUERIES["ensemble_vote"](spark, sf_dir))
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython [") <= 1
 
 
 @pytest.mark.parametrize("name", ["route_topk_blocked", "similarity_search", "confusion_matrix", "length_outliers",
