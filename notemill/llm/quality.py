@@ -7,7 +7,9 @@ applied to all rows of a batch at once: one step down all trees a level.
 
 Defined results: a null text counts as empty and gets a score like any other;
 labels that are null are left out, repeated labels of an id count once (the
-largest); without labels the score is 0.5, with one class it is that class's
+largest), repeated documents of an id once in the fit (the one with the least statistics); very long texts are
+read whole; equal gains take the first feature and cut; an empty table gives no rows; other columns are not
+read; without labels the score is 0.5, with one class it is that class's
 smoothed rate. Scores never see ids, languages, sources or labels.
 """
 
@@ -136,18 +138,27 @@ def score_trees(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return _sigmoid(model["base"] + model["value"][trees, at].sum(1))
 
 
-def train_rows(rows: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """Labelled rows with the label as ``_y``: at most ``max_rows``, the first by a hash of the id."""
-    known = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-             .groupBy("doc_id").agg(F.max(label).cast("int").alias("_y")))
-    return (rows.join(known, "doc_id").orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(max_rows))
+def train_ids(known: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, _y, _order): at most ``max_rows`` of the labelled ids (doc_id, _y), the first by a hash of the id.
+
+    A bound on the hash leaves about twice as many before the first are taken, so that
+    no task sends more than its share of them.
+    """
+    hashed = known.filter(F.col("doc_id").isNotNull()).withColumn("_order", F.xxhash64(F.col("doc_id"), F.lit(17)))
+    n = hashed.count()
+    if n > 4 * max_rows:
+        hashed = hashed.filter(F.col("_order") < int(-(1 << 63) + (1 << 64) * (2 * max_rows / n)))
+    return hashed.select("doc_id", "_y", "_order").orderBy("_order", "doc_id").limit(max_rows)
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn_from, label: str = "quality", text: str = "text",
              max_train: int = MAX_TRAIN) -> DataFrame:
     """(doc_id, score): fitted on the rows of which ``learn_from`` (a condition on doc_id) holds."""
     rows = stored(with_statistics(docs, text), "statistics")
-    sample = train_rows(rows.filter(learn_from), labels, label, max_train).select("x", "_y").toPandas()
+    known = labels.filter(learn_from & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
+    # the ids are chosen from the labels alone; only their statistics meet
+    sample = (rows.join(F.broadcast(train_ids(known, max_train)), "doc_id").groupBy("doc_id", "_y", "_order")
+              .agg(F.min("x").alias("x")).toPandas().sort_values(["_order", "doc_id"]))
     x = np.stack(sample["x"].to_list()).astype(np.float32) if len(sample) else np.zeros((0, len(FEATURES)), np.float32)
     model = docs.sparkSession.sparkContext.broadcast(fit_trees(x, sample["_y"].to_numpy(np.float64)))
 
