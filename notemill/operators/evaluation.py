@@ -84,7 +84,11 @@ def with_all_tags(per_tag: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def weighted_metrics(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Support-weighted precision, recall and F1, with accuracy."""
+    """Support-weighted precision, recall and F1, with accuracy.
+
+    Without one row of known tags there is nothing to weigh: the query fails when it runs, as a report
+    of NULL scores would be read as one. Groups (``by``) without known rows have no row.
+    """
     by = by or []
     weighted = lambda c: F.sum(F.col(c) * F.col("support")) / F.sum("support")
     scores = per_tag_metrics(counts, by).groupBy(*by).agg(
@@ -93,8 +97,9 @@ def weighted_metrics(counts: DataFrame, by: list[str] | None = None) -> DataFram
         weighted("f1_score").alias("f1_score"),
         F.sum("support").alias("n"),
     )
+    known = F.when(F.col("n").isNull(), F.raise_error(F.lit("no row has known tags")).cast("bigint")).otherwise(F.col("n"))
     # support-weighted recall is the share of correct rows
-    return scores.withColumn("accuracy", F.col("recall"))
+    return scores.withColumn("n", known).withColumn("accuracy", F.col("recall"))
 
 
 def outcome_table(results: DataFrame, confidence: str = "confidence", time_ms: str | None = None,

@@ -94,15 +94,18 @@ def csv_one_file(spark, sf):
         "note_id", "timestamp", F.md5("original_text").alias("original"), F.md5("text").alias("digest"))
 
 
-@_query("note_folder", """SELECT 'lang=' || coalesce(lang, 'none') AS category, sum(length(coalesce(text, '')) + 1)::BIGINT AS n_chars
-FROM documents GROUP BY 1""")
+@_query("note_folder", f"""WITH lines AS (SELECT 'lang=' || coalesce(lang, 'none') AS category, unnest(string_split(coalesce(text, ''), {NL})) AS line FROM documents)
+SELECT category, md5(line) AS digest, count(*) AS n, true AS named FROM lines GROUP BY 1, 2""")
 def note_folder(spark, sf):
     path = scratch_path(spark, "folder")
     docs = inp.table(spark, sf, "documents").select(
         F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("value"))
     docs.write.option("maxRecordsPerFile", 200).partitionBy("lang").text(path)
-    return (rd.read_note_folder(spark, path).groupBy("category")
-            .agg(F.sum(F.char_length("content")).cast("bigint").alias("n_chars")))
+    notes = rd.read_note_folder(spark, path)
+    named = (F.startswith("title", F.lit("part-")) & (F.col("note_id") == F.sha2("source_file", 256))).alias("named")
+    # a file is written with a line feed at its end
+    lines = notes.select("category", named, F.explode(F.split(F.regexp_replace("content", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy("category", F.md5("line").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.bool_and("named").alias("named"))
 
 
 @_query("capture_file", f"""WITH {inp.SQL_LINES},

@@ -70,6 +70,21 @@ def prediction_log(spark, sf):
                       F.col("metadata")["model_name"].alias("model"))
 
 
+@_query("training_log", """
+SELECT 'training' AS event_type, 'evaluator' AS component, printf('Trained model %s on %d samples', source, count(*)) AS message,
+  count(*)::VARCHAR AS num_samples, round(sum(n_chars) / 1000.0::DOUBLE, 6) AS training_time_seconds, round(avg(n_chars), 6) AS mean_chars
+FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def training_log(spark, sf):
+    """A training event for each source, as if a model were fitted to its documents."""
+    runs = inp.table(spark, sf, "documents").filter("source IS NOT NULL").groupBy(F.col("source").alias("model_name")).agg(
+        F.count(F.lit(1)).alias("num_samples"), (F.sum("n_chars") / 1000.0).alias("training_time_seconds"),
+        F.create_map(F.lit("mean_chars"), F.avg("n_chars")).alias("metrics")).withColumn("timestamp", _now())
+    m = F.col("performance_metrics")
+    return ob.training_events(runs).select(
+        "event_type", "component", "message", F.col("metadata")["num_samples"].alias("num_samples"),
+        F.round(m["training_time_seconds"], 6).alias("training_time_seconds"), F.round(m["mean_chars"], 6).alias("mean_chars"))
+
+
 @_query("metric_summary", f"""WITH {T},
 m AS (SELECT 'duration_ms' AS metric, duration_ms AS v FROM telemetry WHERE NOT is_error
   UNION ALL SELECT 'memory_usage_mb', (user_id % 3)::DOUBLE FROM telemetry WHERE NOT is_error AND user_id % 3 <> 0)

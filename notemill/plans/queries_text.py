@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notemill.functions import text as tx
@@ -188,6 +188,18 @@ def sanitize_bytes(spark, sf):
     return read.select("doc_id", "s.valid", F.md5("s.content").alias("digest"))
 
 
+@_query("length_batches", """
+SELECT CASE WHEN length(text) < 100 THEN 'short' WHEN length(text) < 500 THEN 'medium' ELSE 'long' END AS length_bucket, count(*) AS n, true AS in_order
+FROM documents GROUP BY 1""")
+def length_batches(spark, sf):
+    """Rows of a task in the order of their length, so that a batch holds texts of about one size."""
+    rows = ru.batch_by_length(_docs(spark, sf)).select(
+        "length_bucket", F.length("text").alias("n_chars"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("row"))
+    before = F.max("n_chars").over(Window.partitionBy("task").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("ok", F.coalesce(before <= F.col("n_chars"), F.lit(True))).groupBy("length_bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("in_order"))
+
+
 @_query("fix_content", """
 WITH cut AS (SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS c FROM pages),
 long AS (SELECT page_id, CASE WHEN length(c) > 10000 THEN substr(c, 1, 10000) || '...' ELSE c END AS c FROM cut)

@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Notes from a garden, a kitchen and a workshop; pass other tables for other data.
+# Notes from a house with a garden and a workshop; pass other tables for other data.
 TEMPLATES = {
-    "garden": ["the {plant} by the fence wants water", "moved one {plant} into the {place}"],
-    "kitchen": ["soup with {food}, less salt next time", "we are out of {food}, buy two bags"],
-    "workshop": ["the {part} squeaks again", "sanded the {part} and left it in the {place}"],
-    "weather": ["frost on the {plant} this morning", "wind all day, closed the {place}"],
-    "errand": ["call about the {part} before noon", "bring {food} to the neighbours"],
+    "garden": ["the {plant} by the fence wants water", "moved one {plant} into the {place}", "slugs on the {plant} again",
+               "cut the {plant} back before {season}", "sow a second {plant} next to the {place}"],
+    "kitchen": ["soup with {food}, less salt next time", "we are out of {food}, buy two bags", "{food} keeps for a week in the {place}",
+                "try the {food} from the market", "soaked {food} overnight, works well"],
+    "workshop": ["the {part} squeaks again", "sanded the {part} and left it in the {place}", "ordered a new {part}",
+                 "the {part} fits after a little filing", "glue on the {part} needs a day"],
+    "weather": ["frost on the {plant} this morning", "wind all day, closed the {place}", "first warm evening of {season}",
+                "rain came through the {place} roof", "the {season} light is back"],
+    "errand": ["call about the {part} before noon", "bring {food} to the neighbours", "return the ladder to the {place}",
+               "pick up {food} on the way home", "pay for the {part} by Friday"],
+    "question": ["does a {plant} grow in the {place}?", "how long does {food} take?", "who made this {part}?",
+                 "why does the {plant} drop leaves in {season}?", "is the {place} dry enough for {food}?"],
+    "idea": ["a shelf for {food} in the {place}", "grow {plant} along the wall", "turn the old {part} into a lamp",
+             "a small feast in {season}", "paint the {place} before {season}"],
+    "record": ["{season}: two baskets of {food}", "the {plant} is a hand taller", "measured the {part}, twelve by forty",
+               "counted nine bags of {food} in the {place}", "the {place} was at ten degrees"],
 }
 SLOTS = {
-    "plant": ["rosemary", "young plum", "bean row"],
-    "place": ["shed", "cellar", "glasshouse"],
-    "food": ["lentils", "rye flour", "walnuts"],
-    "part": ["door hinge", "bench leg", "pump wheel"],
+    "plant": ["rosemary", "young plum", "bean row", "quince"],
+    "place": ["shed", "cellar", "glasshouse", "porch"],
+    "food": ["lentils", "rye flour", "walnuts", "barley"],
+    "part": ["door hinge", "bench leg", "pump wheel", "window latch"],
+    "season": ["spring", "harvest", "winter", "early summer"],
 }
 
 

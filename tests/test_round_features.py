@@ -154,3 +154,12 @@ def test_first_arrivals_over_all_runs(spark, tmp_path):
         st.start_deduplicated(notes, f"{tmp_path}/out", f"{tmp_path}/state", order_by="note_id", available_now=True).awaitTermination()
     kept = st.read_deduplicated(spark, f"{tmp_path}/out", notes.schema)
     assert sorted(map(tuple, kept.collect())) == [(1, "Hello"), (3, "other"), (5, "new")]
+
+
+def test_scores_without_a_known_tag_are_refused(spark):
+    from notemill.operators import evaluation as ev
+
+    rows = spark.createDataFrame([("x", "y", 0.5)], "true_tag string, routed_tag string, confidence double")
+    with pytest.raises(Exception, match="no row has known tags"):
+        ev.evaluate(rows, spark.createDataFrame([("a",)], "tag string")).collect()
+    assert ev.evaluate(rows.withColumn("fold", F.lit(1)), spark.createDataFrame([("a",)], "tag string"), by=["fold"]).collect() == []
