@@ -14,7 +14,8 @@ equi-join on the seed. Both ways tile the same pairs.
 Defined results: tokens are lower-cased words of letters and digits; items with
 fewer tokens than ``min_match`` are matched as a whole, items without tokens never;
 null and empty texts match nothing; repeated items and rows each give their own
-rows; a null id stays null.
+rows; a null id stays null; of equally long matches the first in the document is marked first; very long
+texts are tiled whole; other columns are not read; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ Defined results: a null text has no words, symbols or lines and fails; a null
 host is a host of its own; repeated rows count as often as they stand there;
 without hosts the prior is flat; a column with the name of a result is replaced
 by it. Windows are compared by a 64-bit hash within
-one document.
+one document. Very long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
