@@ -23,7 +23,8 @@ SPACE, WS, LETTER, NUMBER, OTHER = 0, 1, 2, 3, 4
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
+def character_classes() -> np.ndarray:
+    """The class of each code point."""
     import regex
 
     points = "".join(map(chr, (i for i in range(0x110000) if not 0xD800 <= i < 0xE000)))
@@ -50,7 +51,7 @@ def split_runs(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.zeros(n + 1, np.int64)
         np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800).astype(np.int8) + (chars >= 0x10000), out=at[1:])
         texts = np.searchsorted(at, ends)
-    kind = _classes()[chars]
+    kind = character_classes()[chars]
     run = np.maximum(kind, WS)
     first = np.zeros(n + 1, bool)
     first[texts] = True
