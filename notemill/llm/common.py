@@ -52,7 +52,7 @@ def small_batches(spark: SparkSession):
                 spark.conf.set(key, value)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once to a fresh table of the shared folder and read it from there.
 
     Cuts the lineage: a lost executor costs a read of the files, not a new run
@@ -60,7 +60,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/notemill-llm-{uuid.uuid4().hex}/{name}"
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

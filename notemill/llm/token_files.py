@@ -8,9 +8,9 @@ place through the levels: place at the next level = rank of the bit, one count
 from the directory and a popcount. No block is decoded for it.
 
 Files are rows of a table in the shared folder (payload and where it starts), so
-that any store Spark can write to will do. Documents are range-sorted by id; a
-file's first token number is the sum over the files before it, of which there is
-one row each.
+that any store Spark can write to will do. Documents are dealt to parts by ranges of their ids and
+sorted in them; a file knows how many tokens its part has before it, and where a part starts is
+a sum over the parts before, of which there is one number each.
 
 Layout of a payload, little-endian: magic "DAC1", levels u32, documents u32,
 then for each level its length u64; then the document ends (u64 each), and for
@@ -18,28 +18,35 @@ each level the chunks, the bitmap in whole u64 words and the directory (u64 each
 
 Defined results: a null text counts as empty and has the end id only; rows with
 a null id come first, equal ids in the order of their text's hash; an empty table
-gives no file and no rows.
+gives no file and no rows. A very long text is a file of its own. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notemill.llm.bpe import take_lists
-from notemill.llm.common import map_batches, stored, table
+from notemill.llm.common import fits, map_batches, stored, table
 from notemill.llm.pretokenize import PATTERN, offsets_of, packs
 
 FILE_TOKENS = 1 << 20    # ids of a file, about
 STRIDE = 512             # bits between two counts of a directory
 CACHE_WORDS = 400_000    # encoded words that a Python worker keeps
+PACK = 4 << 20           # text bytes that are encoded at once
+PART_BYTES = 32 << 20    # text bytes of a part, about: the files that one task writes
+MAX_PARTS = 100_000
+PROBES = 4_096           # ids of a file that are read by random access as well
+BROADCAST_PARTS = 1_000_000
 
 
 def encode_ids(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -125,6 +132,8 @@ class TokenFile:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    # a task has one core; the library's own threads would only wait for it
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
@@ -144,15 +153,39 @@ def _encode_pack(tokenizer_path: str, words: pa.Array, cache: dict) -> tuple[np.
     if len(cache) + len(new) > CACHE_WORDS:
         cache.clear()
         new = values
-    for word, done in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-        cache[word] = np.array(done.ids, "<u2").tobytes()
+    for a in range(0, len(new), 2048):   # the library's results are large; few are held at once
+        part = new[a:a + 2048]
+        for word, done in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+            cache[word] = np.array(done.ids, "<u2").tobytes()
     parts = [cache[w] for w in values]
     flat = np.frombuffer(b"".join(parts), "<u2").astype(np.int64)
     return flat, offsets_of(np.array([len(p) // 2 for p in parts], np.int64)), coded.indices.to_numpy()
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0) -> DataFrame:
-    """(doc_id, tie, ids): the library's ids and the end id, as u16 or u32 little-endian binary.
+def _binaries(data: bytes, ends: np.ndarray) -> pa.Array:
+    """Slices of ``data`` that end at ``ends``, as a binary column."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _key(doc_id: int | None, tie: int) -> tuple[bool, int, int]:
+    """The order of documents: a null id first, equal ids by the hash of their text."""
+    return doc_id is not None, doc_id or 0, tie
+
+
+def part_bounds(docs: DataFrame, text: str, doc_id: str, part_bytes: int) -> list[tuple[bool, int, int]]:
+    """The least keys of parts of about ``part_bytes`` text bytes, ascending; from ids, hashes and lengths alone."""
+    slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), F.octet_length(text).alias("n"))
+    parts = min(MAX_PARTS, int((slim.agg(F.sum("n")).first()[0] or 0) // part_bytes) + 1)
+    if parts == 1:
+        return []
+    dealt = slim.select("doc_id", "tie").repartitionByRange(parts, "doc_id", "tie").withColumn("part", F.spark_partition_id())
+    return sorted(_key(*r["least"]) for r in dealt.groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("least")).collect())
+
+
+def tokenized(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0,
+              bounds: tuple = ()) -> DataFrame:
+    """(doc_id, tie, part, n_tokens, ids): the library's ids and the end id, as u16 or u32 little-endian binary.
 
     The library cuts a text into words and encodes each by itself, so that
     distinct words of a pack are encoded once. A text that holds a special token
@@ -162,55 +195,70 @@ def tokenized(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id:
         tokenizer, specials = _tokenizer(tokenizer_path)
         cache = _CACHE.setdefault(tokenizer_path, {})
         texts = batch.column("_text")
-        for a, b, words, rows in packs(texts, PATTERN):
+        special = np.zeros(len(texts), bool)
+        for s in specials:
+            special |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
+        for a, b, words, rows in packs(texts, PATTERN, PACK):
             flat, offsets, index = _encode_pack(tokenizer_path, words, cache)
-            ids, at = take_lists(flat, offsets, index)
-            ends = at[rows]
-            out = []
-            values = texts.slice(a, b - a).to_pylist()
-            data = ids.astype("<u4")
-            for k, value in enumerate(values):
-                if value and any(s in value for s in specials):
-                    own = np.array(tokenizer.encode(value, add_special_tokens=False).ids, "<u4")
-                else:
-                    own = data[ends[k]:ends[k + 1]]
-                out.append(np.append(own, np.uint32(end_id)).astype("<u4"))
-            small = max((int(x.max()) for x in out), default=0) < 65_536
+            sizes = np.diff(offsets)[index]
+            first = offsets[:-1][index]
+            # the end id of each document is a word of its own behind its words
+            flat = np.append(flat, end_id)
+            sizes, first = np.insert(sizes, rows[1:], 1), np.insert(first, rows[1:], len(flat) - 1)
+            at = offsets_of(sizes)
+            out = np.repeat((first - at[:-1]).astype(np.int32), sizes)
+            out += np.arange(len(out), dtype=np.int32)
+            ids = flat[out]
+            ends = at[rows[1:] + np.arange(1, len(rows))]
+            for k in np.flatnonzero(special[a:b]):   # seldom
+                own = tokenizer.encode(texts[a + int(k)].as_py(), add_special_tokens=False).ids
+                low, high = int(ends[k - 1]) if k else 0, int(ends[k])
+                ids = np.concatenate([ids[:low], own, [end_id], ids[high:]])
+                ends[k:] += len(own) + 1 - (high - low)
+            kind = "<u2" if int(ids.max(initial=0)) < 65_536 else "<u4"
+            keys = [batch.column(c).slice(a, b - a) for c in ("doc_id", "tie")]
+            part = [max(0, bisect_right(bounds, _key(*k)) - 1) for k in zip(*[c.to_pylist() for c in keys])]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").slice(a, b - a), batch.column("tie").slice(a, b - a),
-                pa.array([len(x) for x in out], pa.int64()),
-                pa.array([(x.astype("<u2") if small else x).tobytes() for x in out], pa.binary())],
-                ["doc_id", "tie", "n_tokens", "ids"])
+                *keys, pa.array(part, pa.int32()), pa.array(np.diff(ends, prepend=0)),
+                _binaries(ids.astype(kind).tobytes(), ends * int(kind[-1]))], ["doc_id", "tie", "part", "n_tokens", "ids"])
 
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("_text"))
-    return map_batches(source, run, T.StructType.fromDDL("doc_id bigint, tie bigint, n_tokens bigint, ids binary"))
+    return map_batches(source, run, T.StructType.fromDDL("doc_id bigint, tie bigint, part int, n_tokens bigint, ids binary"))
 
 
 def write_files(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0,
-                file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Files (part, number, doc_ids, n_docs, n_tokens, payload) in ascending doc_id order, as a stored table."""
-    # written first: the range partitioning reads its input twice, for bounds and for rows
-    ids = stored(tokenized(docs, tokenizer_path, text, doc_id, end_id), "ids")
-    sorted_ids = (ids.repartitionByRange("doc_id", "tie")
-                  .sortWithinPartitions("doc_id", "tie").withColumn("part", F.spark_partition_id()))
+                file_tokens: int = FILE_TOKENS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Files (part, inside, doc_ids, n_tokens, payload) in ascending doc_id order, as a stored table.
+
+    ``inside`` is the number of ids before the file in its part. Payloads are written without
+    compression, so that an id lies at a known place.
+    """
+    # bounds first: a range partitioning of the ids themselves would tokenize twice, for bounds and for rows
+    bounds = part_bounds(docs, text, doc_id, part_bytes)
+    sorted_ids = (tokenized(docs, tokenizer_path, text, doc_id, end_id, bounds)
+                  .repartition(len(bounds) or 1, "part").sortWithinPartitions("part", "doc_id", "tie"))
 
     def run(batches):
-        waiting, held, number, part = [], 0, 0, 0
+        waiting, held, inside, part = [], 0, 0, None
+
         def flush():
-            nonlocal waiting, held, number
+            nonlocal waiting, held, inside
             ends = np.cumsum([len(x) for _, x in waiting])
             row = pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([[i for i, _ in waiting]], pa.list_(pa.int64())),
+                pa.array([part], pa.int32()), pa.array([inside], pa.int64()), pa.array([[i for i, _ in waiting]], pa.list_(pa.int64())),
                 pa.array([int(ends[-1])], pa.int64()),
                 pa.array([encode_ids(np.concatenate([x for _, x in waiting]), ends)], pa.binary())],
-                ["part", "number", "doc_ids", "n_tokens", "payload"])
-            waiting, held, number = [], 0, number + 1
+                ["part", "inside", "doc_ids", "n_tokens", "payload"])
+            waiting, held, inside = [], 0, inside + int(ends[-1])
             return row
 
         for batch in batches:
             for i, n, data, p in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids", "part")], strict=True):
-                part = p
-                waiting.append((i, np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.uint32)))
+                if p != part:
+                    if waiting:
+                        yield flush()
+                    part, inside = p, 0
+                waiting.append((i, np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")))
                 held += n
                 if held >= file_tokens:
                     yield flush()
@@ -218,27 +266,36 @@ def write_files(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id
             yield flush()
 
     return stored(sorted_ids.mapInArrow(run, T.StructType.fromDDL(
-        "part int, number int, doc_ids array<bigint>, n_tokens bigint, payload binary")), "token_files")
+        "part int, inside bigint, doc_ids array<bigint>, n_tokens bigint, payload binary")), "token_files", compression="uncompressed")
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32): each document read from its file."""
-    sizes = files.select("part", "number", "n_tokens")
-    inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    """(doc_id, start, n_tokens, ids_crc32): each document read from its file.
+
+    Of the payloads nothing is shuffled: a file knows its place in its part, and where a part
+    starts comes from one number a part. In every file some ids are read by random access too,
+    and must agree.
+    """
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)   # a row for each partition, not each file
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.sum("n").over(before)).drop("n")
-    count = lambda c: F.coalesce(c, F.lit(0))
-    firsts = sizes.withColumn("inside", F.sum("n_tokens").over(inside)).join(parts, "part").select(
-        "part", "number", (count(F.col("base")) + count(F.col("inside"))).cast("bigint").alias("first"))
-    placed = files.select("part", "number", "doc_ids", "payload").join(firsts, ["part", "number"])
+    bases = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if fits(parts, BROADCAST_PARTS):
+        bases = F.broadcast(bases)
+    placed = files.join(bases, F.col("part") == F.col("_part")).select(
+        "doc_ids", "payload", (F.col("base") + F.col("inside")).cast("bigint").alias("first"))
 
     def run(batch: pa.RecordBatch):
         for k in range(batch.num_rows):
             file, first, ids = TokenFile(batch.column("payload")[k].as_py()), batch.column("first")[k].as_py(), batch.column("doc_ids")[k]
             starts = np.concatenate([[0], file.ends[:-1]])
+            whole = file.span(0, len(file)).astype("<u4")
+            some = np.linspace(0, len(whole) - 1, min(len(whole), PROBES)).astype(np.int64)
+            if not (file.at(some) == whole[some]).all():
+                raise ValueError("random access and straight reading disagree")
+            data = memoryview(whole.tobytes())
             yield pa.RecordBatch.from_arrays([
                 ids.values, pa.array(starts + first), pa.array(file.ends - starts),
-                pa.array([zlib.crc32(file.document(d).astype("<u4").tobytes()) for d in range(len(starts))], pa.int64())],
+                pa.array([zlib.crc32(data[4 * x:4 * y]) for x, y in zip(starts.tolist(), file.ends.tolist())], pa.int64())],
                 ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return map_batches(placed, run, T.StructType.fromDDL("doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
