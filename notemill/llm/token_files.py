@@ -32,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,7 @@ from notemill.llm.pretokenize import PATTERN, offsets_of, packs
 
 FILE_TOKENS = 1 << 20    # ids of a file, about
 STRIDE = 512             # bits between two counts of a directory
-CACHE_WORDS = 400_000    # encoded words that a Python worker keeps
+CACHE_WORDS = 2_000_000  # encoded words that a Python worker keeps, in some thirty bytes each
 PACK = 4 << 20           # text bytes that are encoded at once
 PART_BYTES = 32 << 20    # text bytes of a part, about: the files that one task writes
 MAX_PARTS = 100_000
@@ -141,25 +142,66 @@ def _tokenizer(path: str):
     return made, specials
 
 
-_CACHE: dict[str, dict[bytes, np.ndarray]] = {}
+class WordCache:
+    """Ids of words by a 64-bit hash and their bytes, in arrays: some thirty bytes a word."""
 
+    def __init__(self):
+        self.clear()
 
-def _encode_pack(tokenizer_path: str, words: pa.Array, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids and offsets of the distinct words of a pack by the library, and the index of its words in them."""
+    def clear(self) -> None:
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.id_ends, self.data, self.ends = np.zeros(0, "<u2"), np.zeros(1, np.int32), bytearray(), np.zeros(1, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """The slot of each word, or -1; words with one hash are told apart by their bytes."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        slot = np.where(self.hashes[at] == hashes, self.slots[at], -1)
+        known = np.flatnonzero(slot >= 0)
+        data, starts, ends = self.data, self.ends[slot[known]].tolist(), self.ends[slot[known] + 1].tolist()
+        for k, a, b in zip(known.tolist(), starts, ends):
+            if data[a:b] != words[k]:
+                slot[k] = -1
+        return slot
+
+    def add(self, words: list[bytes], hashes: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
+        """Puts words in; gives their slots."""
+        slots = np.arange(len(words), dtype=np.int32) + len(self.ends) - 1
+        self.data += b"".join(words)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(w) for w in words], dtype=np.int32)])
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int32)])
+        self.ids = np.concatenate([self.ids, *ids])
+        order = np.argsort(hashes, kind="stable")
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.slots = np.insert(self.hashes, place, hashes[order]), np.insert(self.slots, place, slots[order])
+        return slots
+
+
+_CACHE: dict[str, WordCache] = {}
+
+
+def _encode_pack(tokenizer_path: str, words: pa.Array, cache: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids by the library, and of each word of a pack the first place and the number of its ids in them."""
     tokenizer, _ = _tokenizer(tokenizer_path)
     coded = words.dictionary_encode()
     values = coded.dictionary.to_pylist()
-    new = [w for w in values if w not in cache]
-    if len(cache) + len(new) > CACHE_WORDS:
+    if len(cache) + len(values) > CACHE_WORDS:
         cache.clear()
-        new = values
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in values], np.uint64)
+    slots = cache.find(values, hashes)
+    new = np.flatnonzero(slots < 0)
+    ids = []
     for a in range(0, len(new), 2048):   # the library's results are large; few are held at once
-        part = new[a:a + 2048]
-        for word, done in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            cache[word] = np.array(done.ids, "<u2").tobytes()
-    parts = [cache[w] for w in values]
-    flat = np.frombuffer(b"".join(parts), "<u2").astype(np.int64)
-    return flat, offsets_of(np.array([len(p) // 2 for p in parts], np.int64)), coded.indices.to_numpy()
+        part = [values[k].decode() for k in new[a:a + 2048]]
+        ids += [np.array(done.ids, "<u2") for done in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+    if len(new):
+        slots[new] = cache.add([values[k] for k in new], hashes[new], ids)
+    slots = slots[coded.indices.to_numpy()]
+    return cache.ids, cache.id_ends[slots], cache.id_ends[slots + 1] - cache.id_ends[slots]
 
 
 def _binaries(data: bytes, ends: np.ndarray) -> pa.Array:
@@ -193,18 +235,17 @@ def tokenized(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id:
     """
     def run(batch: pa.RecordBatch):
         tokenizer, specials = _tokenizer(tokenizer_path)
-        cache = _CACHE.setdefault(tokenizer_path, {})
+        cache = _CACHE.setdefault(tokenizer_path, WordCache())
         texts = batch.column("_text")
         special = np.zeros(len(texts), bool)
         for s in specials:
             special |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
         for a, b, words, rows in packs(texts, PATTERN, PACK):
-            flat, offsets, index = _encode_pack(tokenizer_path, words, cache)
-            sizes = np.diff(offsets)[index]
-            first = offsets[:-1][index]
+            flat, first, sizes = _encode_pack(tokenizer_path, words, cache)
             # the end id of each document is a word of its own behind its words
-            flat = np.append(flat, end_id)
-            sizes, first = np.insert(sizes, rows[1:], 1), np.insert(first, rows[1:], len(flat) - 1)
+            end = len(flat)
+            flat = np.append(flat.astype(np.int64 if end_id > 65_535 else flat.dtype), [end_id])
+            sizes, first = np.insert(sizes, rows[1:], 1), np.insert(first, rows[1:], end)
             at = offsets_of(sizes)
             out = np.repeat((first - at[:-1]).astype(np.int32), sizes)
             out += np.arange(len(out), dtype=np.int32)
