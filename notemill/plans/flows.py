@@ -76,9 +76,18 @@ def integration_outcomes(routed: DataFrame) -> DataFrame:
         F.sum(F.when(first & F.col("ok"), F.col("similarity_score")).otherwise(0.0)).alias("similarity")))
 
 
-def integration_insights(routed: DataFrame) -> DataFrame:
-    """One row: capture stats, routing stats, tag correlations, recommendations."""
-    sums = integration_outcomes(routed)
+def tag_correlations(sums: DataFrame) -> DataFrame:
+    """Of each user tag, from ``integration_outcomes``: its notes, those routed to it, and their share."""
+    return sums.filter(F.col("tag").isNotNull()).select(
+        "tag", "count", "route_matches", (F.col("route_matches") / F.col("count")).alias("correlation_rate"))
+
+
+def integration_insights(routed: DataFrame, sums: DataFrame | None = None, top_tags: int = 100) -> DataFrame:
+    """One row: capture stats, routing stats, the ``top_tags`` most frequent user tags, recommendations.
+
+    Users may give any number of tags: all of them are a table (``tag_correlations``), not a part of the row.
+    """
+    sums = integration_outcomes(routed) if sums is None else sums
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.0)).cast("double")
     capture = sums.agg(
@@ -89,12 +98,11 @@ def integration_insights(routed: DataFrame) -> DataFrame:
         total("notes").alias("total_routes"), total("ok").alias("successful_routes"),
         (total("notes") - total("ok")).alias("failed_routes"), ratio("ok", "notes").alias("success_rate"),
         ratio("confidence", "ok").alias("avg_confidence"), ratio("similarity", "ok").alias("avg_similarity"))
-    corr = sums.filter(F.col("tag").isNotNull()).select(
-        "tag", "count", "route_matches", (F.col("route_matches") / F.col("count")).alias("correlation_rate"))
+    corr = tag_correlations(sums)
     return routed.sparkSession.range(1).select(
         wr.pack_row(capture).alias("capture_stats"),
         wr.pack_row(routes).alias("routing_stats"),
-        wr.pack(corr).alias("tag_correlations"),
+        wr.pack(corr.orderBy(F.desc("count"), "tag").limit(top_tags)).alias("tag_correlations"),
         wr.messages(rec.integration_recommendations(capture, routes, corr)).alias("recommendations"),
     )
 
@@ -125,9 +133,11 @@ def integration_summary(insights: DataFrame) -> DataFrame:
 
 
 def save_integration(routed: DataFrame, tags: DataFrame, path: str) -> None:
-    """Result rows, insights and summary under one folder; the notes are parsed, embedded and routed once."""
+    """Result rows, insights, all user tags and the summary under one folder; the notes are parsed, embedded and routed once."""
     routed = cut_lineage(routed)
-    insights = cut_lineage(integration_insights(routed))  # one row
+    sums = integration_outcomes(routed)
+    insights = cut_lineage(integration_insights(routed, sums))  # one row
+    tag_correlations(sums).write.mode("overwrite").json(f"{path}/integration_tags")
     integrated_rows(routed, tags).write.mode("overwrite").json(f"{path}/integration_results")
     wr.write_report(insights, f"{path}/integration_insights")
     wr.write_lines(integration_summary(insights), f"{path}/integration_summary")

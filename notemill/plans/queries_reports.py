@@ -63,8 +63,8 @@ def saved_integration(spark, sf):
             "total": "capture_stats.total_notes", "valid": "capture_stats.valid_notes", "tags": "capture_stats.avg_tags_per_note"}))
         .unionByName(_fields(insights, "routing", {
             "confidence": "routing_stats.avg_confidence", "similarity": "routing_stats.avg_similarity"}))
-        .unionByName(insights.select(F.explode("tag_correlations").alias("t")).select(
-            F.lit("tags").alias("section"), F.col("t.tag").alias("key"), F.col("t.count").cast("double").alias("value")))
+        .unionByName(spark.read.schema("tag string, count bigint").json(f"{path}/integration_tags").select(
+            F.lit("tags").alias("section"), F.col("tag").alias("key"), F.col("count").cast("double").alias("value")))
         .unionByName(lines.filter(F.startswith("value", F.lit("notes = "))).groupBy(F.lit("summary").alias("section"), F.col("value").alias("key")).agg(count)))
 
 
