@@ -14,7 +14,8 @@ it, of which a URL has one row each. Headers are joined afterwards by record id.
 Defined results: a null URL or time resolves to nothing; at equal times the
 smaller record id is earlier; validators that only one side has are not checked,
 and a revisit without any checked one is "unverified" and keeps its own headers;
-repeated record ids each give their own row; header names compare in lower case.
+repeated record ids each give their own row, and a revisit meets the response of its own URL and time; of responses
+with one id, URL and time the first by their content counts; an empty table gives no rows; header names compare in lower case.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def canonical_url(url: Column) -> Column:
 
 
 def asof_response(records: DataFrame) -> DataFrame:
-    """(record_id, key, ts, response_id) of every revisit in records (record_id, key, ts, kind)."""
+    """(record_id, key, ts, response_id, response_ts) of every revisit in records (record_id, key, ts, kind)."""
     order = ["ts", "record_id"]
     placed = stored(records.repartitionByRange("key", *order).withColumn("part", F.spark_partition_id()), "placed")
     response = F.when(F.col("kind") == "response", F.struct(*order))
@@ -51,7 +52,8 @@ def asof_response(records: DataFrame) -> DataFrame:
     tails = (placed.groupBy("key", "part").agg(F.max(response).alias("tail"))
              .withColumn("far", F.max("tail").over(before)).select("key", "part", "far"))
     return seen.join(tails, ["key", "part"]).select(
-        "record_id", "key", "ts", F.coalesce(F.col("near.record_id"), F.col("far.record_id")).alias("response_id"))
+        "record_id", "key", "ts", F.coalesce("near.record_id", "far.record_id").alias("response_id"),
+        F.coalesce("near.ts", "far.ts").alias("response_ts"))
 
 
 def _tag(column: Column) -> Column:
@@ -67,12 +69,19 @@ def resolve(records: DataFrame) -> DataFrame:
     keyed = records.withColumn("key", canonical_url(F.col("url")))
     slim = keyed.select("record_id", "key", "ts", "kind").filter(
         F.col("key").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()).distinct()
-    found = asof_response(slim).select(F.col("record_id").alias("_id"), "response_id").filter("response_id IS NOT NULL").distinct()
-    full = (records.filter("kind = 'response'")
-            .select(F.col("record_id").alias("_full"), *[F.col(c).alias(f"_{c}") for c in ("etag", "digest", "last_modified", "headers")])
-            .dropDuplicates(["_full"]))
-    joined = (keyed.filter("kind = 'revisit'").join(found, F.col("record_id") == F.col("_id"), "left")
-              .join(full, F.col("response_id") == F.col("_full"), "left"))
+    # record ids may be repeated: a record is its id, canonical URL and time
+    found = asof_response(slim).filter("response_id IS NOT NULL").select(
+        *[F.col(c).alias(f"_of_{c}") for c in ("record_id", "key", "ts")], "response_id", "response_ts").distinct()
+    fields = ("etag", "digest", "last_modified", "headers")
+    # of responses equal in all three, the first by their validators and headers
+    full = (keyed.filter("kind = 'response'")
+            .select(F.col("record_id").alias("_full"), F.col("key").alias("_key"), F.col("ts").alias("_ts"),
+                    F.struct(*[F.col(c) for c in fields[:3]], F.array_sort(F.map_entries("headers")).alias("headers")).alias("_r"))
+            .groupBy("_full", "_key", "_ts").agg(F.min("_r").alias("_r"))
+            .select("_full", "_key", "_ts", *[F.col(f"_r.{c}").alias(f"_{c}") for c in fields[:3]], F.map_from_entries("_r.headers").alias("_headers")))
+    joined = (keyed.filter("kind = 'revisit'")
+              .join(found, [F.col(c) == F.col(f"_of_{c}") for c in ("record_id", "key", "ts")], "left")
+              .join(full, (F.col("response_id") == F.col("_full")) & (F.col("key") == F.col("_key")) & (F.col("response_ts") == F.col("_ts")), "left"))
     wrong = lambda a, b: F.coalesce(a != b, F.lit(False))
     both = lambda c: F.col(c).isNotNull() & F.col(f"_{c}").isNotNull()
     outcome = (F.when(F.col("_full").isNull(), "no_response")
