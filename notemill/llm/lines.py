@@ -3,14 +3,14 @@
 Lines are exploded as (document, position, 128-bit hash of the key); documents
 per hash are counted after a distinct, so that a line which stands in a third of
 all documents reaches the count as one row per map task. The lines to drop come
-from an equi-join with the few repeated hashes, whose hot keys AQE splits, and
+from an equi-join with the few repeated hashes, of which the very common ones are broadcast, and
 go back to the documents as lists of positions.
 
 Defined results: a null or empty text is one empty line and drops nothing (the
 text stays null). Rows with the same doc_id count as one document; rows with a
 null doc_id count as one document, which is never the keeper while another
 holds the line. Other columns stay as they are; one with the name of a result
-is replaced by it.
+is replaced by it. Very long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notemill.llm.common import map_batches, spare, table
+from notemill.llm.common import join_unique, map_batches, spare, table
 
+HOT = 1_000
 WS_BYTES = b" \t\n\r\x0b\x0c"
 _LINES = "doc_id bigint, row_hash bigint, pos int, h1 bigint, h2 bigint"
 
@@ -62,9 +63,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     drop_id, drop_hash, drop, row_hash, split = (spare(docs, n) for n in ("_drop_id", "_drop_hash", "_drop", "_hash", "_lines"))
     lines = exploded_lines(docs, text, doc_id, min_chars)
     repeated = (lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
-                .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
-                .select("h1", "h2", "keeper"))
-    drops = (lines.join(repeated, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+                .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs))
+    # a line of over a HOT-th of the documents: at most HOT times the lines that a document has on average
+    met = join_unique(lines, repeated, ["h1", "h2"], F.col("n") * HOT > docs.count(), ["doc_id", "pos"])
+    drops = (met.filter(F.col("n").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
              .groupBy(F.col("doc_id").alias(drop_id), F.col("row_hash").alias(drop_hash))
              .agg(F.collect_set("pos").alias(drop)))
     joined = docs.withColumn(row_hash, F.xxhash64(text)).join(
