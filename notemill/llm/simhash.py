@@ -10,8 +10,9 @@ copies sent are 1 + D + D(D-1)/2 for two bits. A fingerprint has at most 2,080
 others within two bits, so that links stay in proportion to distinct ones.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0,
-which links like any other. Equal fingerprints are one node. A null doc_id takes
-part but is no component's id unless all are null. Other columns are left out.
+which links like any other. Equal fingerprints are one node; repeated rows each get their row. A null doc_id takes
+part but is no component's id unless all are null. Very long texts are read whole, their bits counted in
+steps. Other columns are left out but for ``keep``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notemill.llm.common import map_batches, stored, table
+from notemill.llm.common import join_unique, map_batches, stored, table
 
+HUBS = 1_000             # a node with over this part of all links is joined by broadcast
 SUBTREE = 2048           # fingerprints of a subtree that one task walks, about
 _STEP = 1 << 19          # shingles whose bits are counted at once
 
@@ -55,8 +57,9 @@ def _majority(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
     return np.packbits(over, axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3) -> DataFrame:
-    """(doc_id, fp): 64-bit SimHash over ``words``-word shingles, repeats included."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, ``keep``): 64-bit SimHash over ``words``-word shingles, repeats included."""
     def run(batch: pa.RecordBatch):
         values, fps = batch.column(1).cast(pa.large_binary()).to_pylist(), np.zeros(batch.num_rows, np.int64)
         rows, sizes, hashes, total = [], [], [], 0
@@ -76,10 +79,10 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
                 flush()
                 rows, sizes, hashes, total = [], [], [], 0
         flush()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], ["doc_id", "fp", *keep])
 
-    return map_batches(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text), run,
-                       T.StructType.fromDDL("doc_id bigint, fp bigint"))
+    schema = T.StructType([*T.StructType.fromDDL("doc_id bigint, fp bigint").fields, *[docs.schema[c] for c in keep]])
+    return map_batches(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("_text"), *keep), run, schema)
 
 
 def walk(left: np.ndarray, right: np.ndarray, same: bool, budget: int, block: int = 1 << 18
@@ -152,12 +155,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Neighbourhoods are only ever reduced to their least node, so that a hub is
     an aggregate and a (splittable) join, never a group in one task.
     """
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, n: int) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         if not large:
             both = both.filter(F.col("v") < F.col("u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        # a node of over a HUBS-th of the links is one of few
+        joined = join_unique(both, least, ["u"], F.col("n") * HUBS > 2 * n, ["v"])
         if large:
             out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -165,29 +169,30 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         return out.filter(F.col("a") != F.col("b")).distinct()
 
     edges = stored(links.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "links")
-    before = None
+    before, n = None, edges.count()
     for _ in range(rounds):
-        edges = stored(star(star(edges, True), False), "stars")
+        edges = stored(star(star(edges, True, n), False, n), "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
-        before = tuple(now)
+        before, n = tuple(now), now[0]
     else:
         raise RuntimeError("the components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3,
-                    max_bits: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links."""
-    fps = stored(fingerprints(docs, text, doc_id, words), "fingerprints")
+                    max_bits: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, root, ``keep``): component_id is the least doc_id reachable over links, root a fingerprint
+    that stands for the component."""
+    fps = stored(fingerprints(docs, text, doc_id, words, keep), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(close_pairs(nodes.select("fp"), max_bits))
     grown = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         nodes["fp"], "least", F.coalesce("root", nodes["fp"]).alias("root"))
     least = grown.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grown.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(named, fps["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+    named = grown.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
+    return fps.join(named, fps["fp"] == named["_fp"]).select("doc_id", "fp", "component_id", "root", *keep)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
