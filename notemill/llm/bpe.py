@@ -1,20 +1,19 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are split into words by the vocabulary's pattern. Documents are in packs of bounded size; of each pack only the *distinct* words that are not
-tokens themselves are encoded: as arrays of byte ids they are folded, one
-ranked merge a step, against a rank map of token pairs. Each pack then puts its
-documents together from its words. All steps are narrow: nothing is shuffled,
-and a lost task repeats one split only.
+Texts are split into words by the vocabulary's pattern. Words that are tokens themselves need no merge; every
+other word is folded: as an array of byte ids, one ranked merge a step, by a Spark ``aggregate`` against a
+literal rank map of token pairs. Of the words of the whole table those that several packs of
+documents have are folded once, into a dictionary of bounded size (the most frequent first), which
+every task gets; what else a pack has is folded in the pack's own row, by the same expression. Then each pack
+puts its documents together from its words. Documents are never shuffled, words only to be counted.
 
-The fold exists twice. ``fold="functions"`` is a Spark ``aggregate`` over each
-word with the rank map as a literal; it is evaluated node by node and takes
-about 110 microseconds a word. ``fold="arrays"`` (default) does the same steps
-for all words of a pack at once in numpy, about 3 microseconds a word.
+``fold`` chooses: "table" (default) as above, "functions" without the dictionary, "arrays" the same steps in numpy
+for all words of a pack at once. Words over FOLD_BYTES are merged with a heap.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; equal
-texts and repeated rows give equal ids; every further column stays as it is. Ids
-outside the vocabulary, and null ids, raise an error when decoded; a null list
-decodes to no bytes.
+texts and repeated rows give equal ids; very long texts are packs of their own. Further columns stay as they
+are, one with the name of the result is replaced. Ids outside the vocabulary, and null ids, raise an error
+when decoded; a null list decodes to no bytes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,13 +28,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notemill.llm.common import map_batches, spare, table
-from notemill.llm.pretokenize import PACK_BYTES, cuts, offsets_of, packs
+from notemill.llm.common import map_batches, spare, stored, table
+from notemill.llm.pretokenize import cuts, offsets_of, packs
 
+PACK = 3 << 20           # text bytes of a pack, unless one text alone has more
+DICTIONARY_WORDS = 1_500_000   # words that every task gets folded, at most
 FOLD_BYTES = 256         # longer words are merged with a heap: a fold step copies the whole word
 MAP_SIZE = 131_071       # slots of the rank map
 EDGE = 65_535            # stands before and after each word; is in no pair
@@ -241,50 +243,140 @@ def _runs(sizes: np.ndarray) -> np.ndarray:
 def take_lists(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists ``index`` of (flat, offsets) one after another, and their offsets."""
     sizes = np.diff(offsets)[index]
-    return flat[np.repeat(offsets[:-1][index], sizes) + _runs(sizes)], offsets_of(sizes)
+    ends = offsets_of(sizes)
+    at = np.repeat((offsets[:-1][index] - ends[:-1]).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], ends
+
+
+class Dictionary:
+    """Folded words in the order of a hash, with the ids of each."""
+
+    def __init__(self, hashes: np.ndarray, data: bytes, word_ends: np.ndarray, flat: np.ndarray, id_ends: np.ndarray):
+        self.hashes, self.data, self.word_ends, self.flat, self.id_ends = hashes, data, word_ends, flat, id_ends
+
+    @classmethod
+    def of(cls, data: bytes = b"", word_ends=(0,), flat=(), id_ends=(0,)) -> Dictionary:
+        """From words and ids one after another, in any order."""
+        word_ends, id_ends = np.array(word_ends, np.int64), np.array(id_ends, np.int64)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(word_ends, word_ends[1:])), np.uint64, len(word_ends) - 1)
+        order = np.argsort(hashes, kind="stable")
+        words, word_ends = take_lists(np.frombuffer(data, np.uint8), word_ends, order)
+        ids, id_ends = take_lists(np.array(flat, np.uint16), id_ends, order)
+        return cls(hashes[order], words.tobytes(), word_ends.astype(np.int32), ids, id_ends.astype(np.int32))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def word(self, k: int) -> bytes:
+        return self.data[self.word_ends[k]:self.word_ends[k + 1]]
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word, or -1; words with one hash are told apart by their bytes."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at[self.hashes[at] != hashes] = -1
+        for k in np.flatnonzero(at >= 0):
+            if self.word(at[k]) != words[k]:
+                at[k] = -1
+        return at
+
+
+def fold_dictionary(docs: DataFrame, pieces: tuple[bytes, ...], pattern: str, text: str, pack_bytes: int = PACK,
+                    max_words: int = DICTIONARY_WORDS) -> Dictionary:
+    """Words of several packs, folded once, at most about ``max_words``, those of most packs first.
+
+    Only these bounded rows reach the driver.
+    """
+    vocabulary = docs.sparkSession.sparkContext.broadcast(pieces)
+
+    def distinct(batch: pa.RecordBatch):
+        ranks = _ranks_of(vocabulary.value)
+        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        for _, _, flat, _ in packs(batch.column(0), pattern, pack_bytes):
+            words = [w for w in flat.dictionary_encode().dictionary.to_pylist() if w not in ranks and len(w) <= FOLD_BYTES]
+            ends = offsets_of(np.array([len(w) for w in words], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(
+                pa.array(ends.astype(np.int32)), pa.array(byte_ids[np.frombuffer(b"".join(words), np.uint8)]))], ["raw"])
+
+    raw = map_batches(docs.select(F.col(f"`{text}`").alias("_text")), distinct, T.StructType.fromDDL("raw array<bigint>"))
+    several = stored(raw.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "words")
+    # rows by powers of two of their packs; the least power with which the words still fit
+    steps = sorted(((r["b"], r["c"]) for r in several.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    least, total = 64, 0
+    for power, n in steps:
+        if total + n > max_words:
+            break
+        least, total = power, total + n
+    folded = several.filter(F.col("n") >= float(2 ** least)).select("raw", F.get(fold_merges(F.array("raw"), pieces), F.lit(0)).alias("ids"))
+    back = np.zeros(len(pieces), np.uint8)
+    for i, piece in enumerate(pieces):
+        if len(piece) == 1:
+            back[i] = piece[0]
+
+    def compact(batch: pa.RecordBatch):
+        sizes = [pc.list_value_length(batch.column(c)).to_numpy().astype(np.int32).tobytes() for c in ("raw", "ids")]
+        values = [batch.column("raw").flatten().to_numpy(), batch.column("ids").flatten().to_numpy().astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (*sizes, back[values[0]].tobytes(), values[1].tobytes())],
+                                         ["word_sizes", "id_sizes", "words", "ids"])
+
+    rows = map_batches(folded, compact, T.StructType.fromDDL("word_sizes binary, id_sizes binary, words binary, ids binary")).collect()
+    join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
+    ends = lambda name: offsets_of(join(name, np.int32).astype(np.int64))
+    return Dictionary.of(b"".join(r["words"] for r in rows), ends("word_sizes"), join("ids", np.int32), ends("id_sizes"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids",
-           drop_text: bool = False, pack_bytes: int = PACK_BYTES, fold: str = "arrays") -> DataFrame:
+           drop_text: bool = False, pack_bytes: int = PACK, fold: str = "table", max_words: int = DICTIONARY_WORDS) -> DataFrame:
     """Adds the column ``ids`` (array of int): each match of ``pattern`` encoded by itself.
 
-    ``drop_text`` leaves the text out of the result. ``fold``: see the module.
+    ``drop_text`` leaves the text out of the result. ``fold``: see the module; "table" counts words at once.
     """
-    if fold not in ("arrays", "functions"):
-        raise ValueError("fold is 'arrays' or 'functions'")
+    if fold not in ("table", "arrays", "functions"):
+        raise ValueError("fold is 'table', 'arrays' or 'functions'")
     pieces = load_ranks(ranks_path)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(pieces)  # bounded by the 16-bit ids
-    keep = [c for c in docs.columns if not (drop_text and c == text)]
+    context = docs.sparkSession.sparkContext
+    vocabulary = context.broadcast(pieces)  # bounded by the 16-bit ids
+    folded = fold_dictionary(docs, pieces, pattern, text, pack_bytes, max_words) if fold == "table" else Dictionary.of()
+    # bounded by max_words; those who look words up need no ids, those who put documents together no words
+    dictionary = context.broadcast(Dictionary(folded.hashes, folded.data, folded.word_ends, None, None))
+    word_ids = context.broadcast((folded.flat, folded.id_ends))
+    keep = [c for c in docs.columns if not (drop_text and c == text) and c.lower() != ids.lower()]
     copy = spare(docs, "_text")
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(copy))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(copy))
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def cut(batch: pa.RecordBatch):
-        """Of each pack: its rows, ends of the rows, word index, tokens of the words, and the words to fold."""
-        ranks = _ranks_of(vocabulary.value)
+        """Of each pack: its rows, ends of the rows, word index, tokens of the words, places in the dictionary, and the words to fold."""
+        ranks, known = _ranks_of(vocabulary.value), dictionary.value
         byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         rest = batch.select(keep)
         for a, b, flat, offsets in packs(batch.column(copy), pattern, pack_bytes):
             coded = flat.dictionary_encode()
             words = coded.dictionary
             values, length = words.to_pylist(), pc.binary_length(words).to_numpy()
-            # of a word: its token, or -1 if it is to be folded, -2 if it is too long for that
+            # of a word: its token, or -1 if it is to be folded, -2 if it is too long for that, -3 if it is in the dictionary
             token = np.array([ranks.get(w, -1) for w in values], np.int32)
             token[(token < 0) & (length > FOLD_BYTES)] = -2
-            folded = np.flatnonzero(token == -1)
+            open_ = np.flatnonzero(token == -1)
+            place = known.places([values[i] for i in open_])
+            token[open_[place >= 0]] = -3
+            folded = open_[place < 0]
             raw = byte_ids[np.frombuffer(b"".join([values[i] for i in folded]), np.uint8)]
-            yield (rest.slice(a, b - a), offsets, coded.indices.to_numpy(), token,
+            yield (rest.slice(a, b - a), offsets, coded.indices.to_numpy(), token, place[place >= 0].astype(np.int32),
                    raw, offsets_of(length[folded]), [values[i] for i in np.flatnonzero(token == -2)])
 
-    def joined(rest, ends, index, token, flat, offsets, long_words):
+    def joined(rest, ends, index, token, places, flat, offsets, long_words):
         """The rows of a pack with their ids, from the ids of its words."""
-        ranks = _ranks_of(vocabulary.value)
-        long_ids = [np.array(heap_merges(w, ranks), np.int32) for w in long_words]
-        pool = np.concatenate([token[token >= 0], flat, *long_ids]).astype(np.int32)
-        sizes = np.concatenate([np.ones(int((token >= 0).sum()), np.int64), np.diff(offsets), [len(x) for x in long_ids]])
-        place = np.empty(len(token), np.int64)  # of each word in the pool: tokens, folded words, long words
-        place[np.concatenate([np.flatnonzero(token >= 0), np.flatnonzero(token == -1),
-                              np.flatnonzero(token == -2)])] = np.arange(len(token))
+        long_ids = [np.array(heap_merges(w, _ranks_of(vocabulary.value)), np.int32) for w in long_words]
+        looked, at = take_lists(*word_ids.value, places)
+        pool = np.concatenate([token[token >= 0], flat, *long_ids, looked]).astype(np.int32)
+        sizes = np.concatenate([np.ones(int((token >= 0).sum()), np.int64), np.diff(offsets),
+                                np.array([len(x) for x in long_ids], np.int64), np.diff(at)])
+        place = np.empty(len(token), np.int64)  # of each word in the pool: tokens, folded, long, looked up
+        place[np.concatenate([np.flatnonzero(token >= 0), *[np.flatnonzero(token == k) for k in (-1, -2, -3)]])] = np.arange(len(token))
         out, at = take_lists(pool, offsets_of(sizes), place[index])
         lists = pa.ListArray.from_arrays(pa.array(at[ends].astype(np.int32)), pa.array(out))
         return pa.RecordBatch.from_arrays([*rest.columns, lists], [*keep, ids])
@@ -292,37 +384,38 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     if fold == "arrays":
         def run(batch: pa.RecordBatch):
             keys, values = _pair_arrays(vocabulary.value)
-            for rest, ends, index, token, raw, offsets, long_words in cut(batch):
-                yield joined(rest, ends, index, token, *fold_arrays(raw, offsets, keys, values), long_words)
+            for rest, ends, index, token, places, raw, offsets, long_words in cut(batch):
+                yield joined(rest, ends, index, token, places, *fold_arrays(raw, offsets, keys, values), long_words)
 
         return map_batches(source, run, schema)
 
     def pack(batch: pa.RecordBatch):
-        for rest, ends, index, token, raw, offsets, long_words in cut(batch):
+        for rest, ends, index, token, places, raw, offsets, long_words in cut(batch):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest.schema) as writer:
                 writer.write_batch(rest)
             words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(raw))
             yield pa.RecordBatch.from_arrays([
                 pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (ends, index, token)],
+                *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (ends, index, token, places)],
                 pa.array([long_words], pa.list_(pa.binary())),
                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-            ], ["rest", "ends", "index", "token", "long", "words"])
+            ], ["rest", *_NUMBERS, "long", "words"])
 
     def unpack(batch: pa.RecordBatch):
         for k in range(batch.num_rows):
             rest = pa.ipc.open_stream(batch.column("rest")[k].as_py()).read_next_batch()
-            ends, index, token = (np.frombuffer(batch.column(c)[k].as_py(), np.int32) for c in ("ends", "index", "token"))
+            ends, index, token, places = (np.frombuffer(batch.column(c)[k].as_py(), np.int32) for c in _NUMBERS)
             words = batch.column("words")[k].values
             sizes = pc.list_value_length(words).to_numpy().astype(np.int64)
-            yield joined(rest, ends, index, token, words.flatten().to_numpy(), offsets_of(sizes), batch.column("long")[k].as_py())
+            yield joined(rest, ends, index, token, places, words.flatten().to_numpy(), offsets_of(sizes), batch.column("long")[k].as_py())
 
     packed = map_batches(source, pack, T.StructType.fromDDL(
-        "rest binary, ends binary, index binary, token binary, long array<binary>, words array<array<bigint>>"))
+        f"rest binary, {', '.join(f'{c} binary' for c in _NUMBERS)}, long array<binary>, words array<array<bigint>>"))
     return map_batches(packed.withColumn("words", fold_merges(F.col("words"), pieces)), unpack, schema)
 
 
+_NUMBERS = ("ends", "position", "token", "places")
 def _byte_pool(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), np.uint8), offsets_of(np.array([len(v) for v in values], np.int64))
 
@@ -343,13 +436,17 @@ def row_bytes(lists: pa.ListArray, pool: np.ndarray, offsets: np.ndarray, step:
 def decode(frame: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Adds the column ``into`` (binary): the pieces of ``ids`` one after another."""
     vocabulary = frame.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    keep = frame.columns
+    keep = [c for c in frame.columns if c.lower() != into.lower()]
 
     def run(batch: pa.RecordBatch):
-        texts = pa.array(row_bytes(batch.column(ids), *_byte_pool(vocabulary.value)), pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*keep, into])
+        pool = _byte_pool(vocabulary.value)
+        sizes = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy()
+        for a, b in cuts(sizes, 1 << 18):
+            part = batch.slice(a, b - a)
+            texts = pa.array(row_bytes(part.column(ids), *pool), pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.select(keep).columns, texts], [*keep, into])
 
-    return map_batches(frame, run, T.StructType([*frame.schema.fields, T.StructField(into, T.BinaryType())]))
+    return map_batches(frame, run, T.StructType([*[frame.schema[c] for c in keep], T.StructField(into, T.BinaryType())]))
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
@@ -358,21 +455,30 @@ def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(decode(encode(docs, path, public_tokenizers.PATTERN, drop_text=True), path))
+    return round_trip(stored(encode(docs, path, public_tokenizers.PATTERN, drop_text=True), "ids"), path)
+
 
+def round_trip(coded: DataFrame, ranks_path: str, keep: tuple[str, ...] = (), ids: str = "ids") -> DataFrame:
+    """doc_id, the columns ``keep``, number of ids, sha256 of the ids as decimal text and of the bytes they decode to.
+
+    Decoding and digests in one pass, of about a megabyte of ids at a time.
+    """
+    vocabulary = coded.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    first = ["doc_id", *keep]
 
-def digests(coded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns ``keep``, number of ids, sha256 of the ids as decimal text and of the decoded bytes."""
     def run(batch: pa.RecordBatch):
-        lists = batch.column("ids")
-        numbers = _byte_pool([b"%d " % i for i in range(EDGE)])
-        yield pa.RecordBatch.from_arrays([
-            *[batch.column(c) for c in ("doc_id", *keep)], pc.list_value_length(lists).cast(pa.int64()),
-            pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in row_bytes(lists, *numbers)]),
-            pa.array([hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]),
-        ], ["doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+        pieces, numbers = _byte_pool(vocabulary.value), _byte_pool([b"%d " % i for i in range(EDGE)])
+        lists = batch.column(ids)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+        for a, b in cuts(np.diff(ends), 1 << 18):
+            part = lists.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(c).slice(a, b - a) for c in first], pc.fill_null(pc.list_value_length(part), 0).cast(pa.int64()),
+                pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in row_bytes(part, *numbers)]),
+                pa.array([hashlib.sha256(x).hexdigest() for x in row_bytes(part, *pieces)])],
+                [*first, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     made = T.StructType.fromDDL("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    schema = T.StructType([*[coded.schema[c] for c in ("doc_id", *keep)], *made.fields])
-    source = coded if "ids" in keep else coded.select("doc_id", *keep, "ids", "decoded")
+    schema = T.StructType([*[coded.schema[c] for c in first], *made.fields])
+    source = coded if ids in first else coded.select(*first, ids)
     return map_batches(source, run, schema)

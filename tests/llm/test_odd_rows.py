@@ -20,12 +20,13 @@ def test_words_of_several_packs_are_folded_once(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     pieces = bpe.load_ranks(path)
     known = bpe.fold_dictionary(docs, pieces, P.PATTERN, "text", pack_bytes=20)
-    words = known.words.to_pylist()
+    words = [known.word(k) for k in range(len(known))]
+    assert known.places([*words, b"nowhere", b""]).tolist() == [*range(len(words)), -1, -1]
     assert b" wubbledub" in words and not any(b"onceryoncely" in w for w in words)
     ranks = {p: i for i, p in enumerate(pieces)}
     for k, w in enumerate(words):
-        assert known.flat[known.offsets[k]:known.offsets[k + 1]].tolist() == bpe.heap_merges(w, ranks)
-    assert len(bpe.fold_dictionary(docs, pieces, P.PATTERN, "text", pack_bytes=20, max_words=0).words) == 0
+        assert known.flat[known.id_ends[k]:known.id_ends[k + 1]].tolist() == bpe.heap_merges(w, ranks)
+    assert len(bpe.fold_dictionary(docs, pieces, P.PATTERN, "text", pack_bytes=20, max_words=0)) == 0
     plan = bpe.encode(docs, path, P.PATTERN)._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" in plan
     some = bpe.encode(docs, path, P.PATTERN, max_words=1).select("doc_id", "ids").collect()
