@@ -277,7 +277,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id
     # bounds first: a range partitioning of the ids themselves would tokenize twice, for bounds and for rows
     bounds = part_bounds(docs, text, doc_id, part_bytes)
     sorted_ids = (tokenized(docs, tokenizer_path, text, doc_id, end_id, bounds)
-                  .repartition(len(bounds) or 1, "part").sortWithinPartitions("part", "doc_id", "tie"))
+                  .repartitionById(len(bounds) or 1, "part").sortWithinPartitions("part", "doc_id", "tie"))
 
     def run(batches):
         waiting, held, inside, part = [], 0, 0, None
