@@ -9,6 +9,9 @@ with themselves; a vector's k-th best similarity from there narrows what it has
 
 On clustered vectors each one meets the few blocks around it. Where all angles are about equal
 nothing can be left out, and the work is that of all pairs of blocks.
+
+Blocks of close pivots are packed into tiles of bounded bytes. A vector is sent to each tile that holds
+a block it has to meet, once however small the blocks are, and two tiles meet in one bounded group.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from notemill.functions import vectors as vx
-from notemill.operators.routing import MAX_SCORES, best_columns, cosines, matrix_of, unit_rows
+from notemill.operators.routing import best_columns, cosines, matrix_of, unit_rows
 from notemill.runtime import broadcast_if_small, cut_lineage
 
 MAX_PIVOTS = 1024
@@ -30,6 +33,9 @@ MAX_BLOCKS = 500_000     # their rings are known to every task
 SAMPLE_BYTES = 64 << 20  # of vectors that the pivots are chosen from
 BINS = 1024              # steps of the angle to a pivot
 SLACK = 4e-6             # above the error of an angle from a rounded cosine
+MAX_SCORES = 1 << 20     # similarities or angles that a task holds at once
+TILE_ROWS = 16_384       # vectors of a tile, at most, unless a block has more
+TILE_BYTES = 16 << 20    # of a tile's vectors
 
 
 @dataclass(frozen=True)
@@ -41,6 +47,7 @@ class Rings:
     pivot: np.ndarray
     least: np.ndarray
     greatest: np.ndarray
+    tile: np.ndarray
 
 
 def choose_pivots(units: DataFrame, id_col: str, n: int) -> np.ndarray:
@@ -92,11 +99,30 @@ def cut_into_rings(units: DataFrame, id_col: str, pivots: np.ndarray, block_rows
         id_col, "vector", "pivot", "angle", block.alias("block")))
 
 
-def rings_of(rows: DataFrame, pivots: np.ndarray) -> Rings:
+def _in_a_row(pivots: np.ndarray) -> np.ndarray:
+    """The place of each pivot in a walk that goes on to the closest one left."""
+    place, at, left = np.zeros(len(pivots), np.int64), 0, np.ones(len(pivots), bool)
+    for step in range(len(pivots)):
+        place[at], left[at] = step, False
+        at = int(np.where(left, pivots @ pivots[at], -np.inf).argmax())
+    return place
+
+
+def rings_of(rows: DataFrame, pivots: np.ndarray, tile_rows: int = 1) -> Rings:
+    """The blocks of ``rows``; those of close pivots are packed into tiles of about ``tile_rows`` vectors."""
     found = rows.groupBy("block").agg(F.min("pivot").alias("pivot"), F.min("angle").alias("lo"),
-                                      F.max("angle").alias("hi")).collect()  # bounded by MAX_BLOCKS
+                                      F.max("angle").alias("hi"), F.count(F.lit(1)).alias("n")).collect()  # bounded by MAX_BLOCKS
     column = lambda name, kind: np.array([r[name] for r in found], kind)
-    return Rings(pivots, column("block", np.int64), column("pivot", np.int64), column("lo", float), column("hi", float))
+    block, pivot, lo, hi, n = (column(c, t) for c, t in (
+        ("block", np.int64), ("pivot", np.int64), ("lo", float), ("hi", float), ("n", np.int64)))
+    order = np.lexsort((block, _in_a_row(pivots)[pivot]))
+    # a tile's blocks stand side by side
+    tile, filled = np.zeros(len(order), np.int32), 0
+    for i, size in enumerate(n[order].tolist()):
+        new = i > 0 and filled + size > tile_rows
+        tile[i] = tile[i - 1] + new if i else 0
+        filled = size if new else filled + size
+    return Rings(pivots, block[order], pivot[order], lo[order], hi[order], tile)
 
 
 def match_own_block(rows: DataFrame, id_col: str, k: int, min_similarity: float) -> DataFrame:
@@ -128,8 +154,8 @@ def match_own_block(rows: DataFrame, id_col: str, k: int, min_similarity: float)
         run, f"`{id_col}` {id_type}, vector array<double>, block bigint, matches array<struct<id:{id_type},similarity:double>>")
 
 
-def reach(rows: DataFrame, id_col: str, rings: Rings, k: int, min_similarity: float) -> DataFrame:
-    """(id, vector, block, other): the further blocks a vector has to meet."""
+def tiles_to_meet(rows: DataFrame, id_col: str, rings: Rings, k: int, min_similarity: float) -> DataFrame:
+    """(id, vector, block, floor, tile, others): of each vector its tile and those with further blocks that it has to meet."""
     shared = rows.sparkSession.sparkContext.broadcast(rings)
     id_type = rows.schema[id_col].dataType.simpleString()
     # the k-th best so far, where there are k
@@ -139,20 +165,42 @@ def reach(rows: DataFrame, id_col: str, rings: Rings, k: int, min_similarity: fl
     def run(batches):
         r = shared.value
         step = max(1, MAX_SCORES // max(len(r.block), len(r.pivots)))
+        first = np.flatnonzero(np.diff(r.tile, prepend=-1))
+        sorted_blocks = np.argsort(r.block)
         for whole in batches:
             for a in range(0, whole.num_rows, step):
                 batch = whole.slice(a, step)
+                own = batch.column("block").to_numpy()
                 angle = _angles(matrix_of(batch.column("vector")), r.pivots)[:, r.pivot]
                 nearest = np.maximum(angle - r.greatest, r.least - angle)
                 limit = np.arccos(np.clip(batch.column("floor").to_numpy(), -1.0, 1.0)) + SLACK
-                meets = (nearest <= limit[:, None]) & (batch.column("block").to_numpy()[:, None] != r.block)
-                row, other = np.nonzero(meets)
-                at = pa.array(row)
+                meets = (nearest <= limit[:, None]) & (own[:, None] != r.block)
+                row, other = np.nonzero(np.logical_or.reduceat(meets, first, axis=1))
+                ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+                tile = r.tile[sorted_blocks[np.searchsorted(r.block, own, sorter=sorted_blocks)]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_col).take(at), batch.column("vector").take(at), batch.column("block").take(at),
-                     pa.array(r.block[other])], [id_col, "vector", "block", "other"])
+                    [*batch.columns, pa.array(tile), pa.ListArray.from_arrays(pa.array(ends), pa.array(other.astype(np.int32)))],
+                    [id_col, "vector", "block", "floor", "tile", "others"])
+
+    return source.mapInArrow(run, f"`{id_col}` {id_type}, vector array<double>, block bigint, floor double, tile int, others array<int>")
+
+
+def reach(rows: DataFrame, id_col: str, rings: Rings, k: int, min_similarity: float) -> DataFrame:
+    """(id, vector, block, floor, tile, other): a row for each further tile that a vector has to meet."""
+    met = tiles_to_meet(rows, id_col, rings, k, min_similarity)
+    return met.select(*met.columns[:-1], F.explode("others").alias("other"))
+
 
-    return source.mapInArrow(run, f"`{id_col}` {id_type}, vector array<double>, block bigint, other bigint")
+def _best_hits(scores: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of at most the k largest scores of each row at or above its floor, ties in column order."""
+    row, column = np.nonzero(scores >= floor[:, None] - 1e-11)
+    sims = np.round(scores[row, column], 12)
+    keep = sims >= floor[row]
+    row, column, sims = row[keep], column[keep], sims[keep]
+    order = np.lexsort((column, -sims, row))
+    row, column, sims = row[order], column[order], sims[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], column[rank < k], sims[rank < k]
 
 
 def nearest_at_least(vectors: DataFrame, k: int, min_similarity: float, id_col: str, block_rows: int = 4096,
@@ -178,30 +226,35 @@ def nearest_at_least(vectors: DataFrame, k: int, min_similarity: float, id_col:
     own = cut_lineage(match_own_block(rows, id_col, k, min_similarity))
     found = own.select(F.col(id_col).alias("lid"), F.explode("matches").alias("m")).select(
         "lid", F.col("m.id").alias("rid"), F.col("m.similarity").alias("similarity"))
-    rings = rings_of(rows, pivots)
+    width = 8 * max(1, pivots.shape[1])
+    rings = rings_of(rows, pivots, max(block_rows, min(TILE_ROWS, TILE_BYTES // width)))
     if len(rings.block) > 1:
-        lefts = cut_lineage(reach(own, id_col, rings, k, min_similarity))
-        pairs = lefts.select(F.col("block").alias("asks"), F.col("other").alias("of")).distinct()
-        rights = rows.select(F.col(id_col).alias("rid"), F.col("vector").alias("rv"), F.col("block").alias("of")).join(pairs, "of")
+        met = cut_lineage(tiles_to_meet(own, id_col, rings, k, min_similarity))
+        lefts = met.select(id_col, "vector", "block", "floor", F.col("tile").alias("asks"), F.explode("others").alias("of"))
+        # at most the square of the tiles
+        pairs = met.select(F.col("tile").alias("asks"), F.explode("others").alias("of")).distinct()
+        rights = met.select(F.col(id_col).alias("rid"), F.col("vector").alias("rv"), F.col("block").alias("rb"),
+                            F.col("tile").alias("of")).join(broadcast_if_small(pairs), "of")
 
         def score(ls, rs):
             if not len(ls) or not len(rs):
-                return pa.table({"lid": ls.column(id_col), "rid": rs.column("rid"), "similarity": pa.array([], pa.float64())})
-            rs = rs.sort_by("rid")
+                return pa.table({"lid": ls.column(id_col).slice(0, 0), "rid": rs.column("rid").slice(0, 0), "similarity": pa.array([], pa.float64())})
+            rs = rs.sort_by("rid")   # ties: smaller id first
             rid, right = rs.column("rid").combine_chunks(), matrix_of(rs.column("rv").combine_chunks())
             lid, left = ls.column(id_col).combine_chunks(), matrix_of(ls.column("vector").combine_chunks())
+            same_tile = ls.column("asks")[0].as_py() == rs.column("of")[0].as_py()
+            floor, lb, rb = ls.column("floor").to_numpy(), ls.column("block").to_numpy(), rs.column("rb").to_numpy()
             step = max(1, MAX_SCORES // len(rid))
             out = []
             for a in range(0, len(lid), step):
-                scores = cosines(left[a:a + step], right)
-                best = best_columns(scores, min(k, len(rid)))
-                sims = np.take_along_axis(scores, best, 1)
-                row, col = np.nonzero(sims >= min_similarity)
-                out.append(pa.table({"lid": lid.take(pa.array(row + a)), "rid": rid.take(pa.array(best[row, col])),
-                                     "similarity": pa.array(sims[row, col])}))
+                scores = left[a:a + step] @ right.T
+                if same_tile:   # a vector's own block is done
+                    scores[lb[a:a + step, None] == rb] = -np.inf
+                row, col, sims = _best_hits(scores, floor[a:a + step], k)
+                out.append(pa.table({"lid": lid.take(pa.array(row + a)), "rid": rid.take(pa.array(col)), "similarity": pa.array(sims)}))
             return pa.concat_tables(out)
 
-        far = lefts.groupBy("block", "other").cogroup(rights.groupBy("asks", "of")).applyInArrow(
+        far = lefts.groupBy("asks", "of").cogroup(rights.groupBy("asks", "of")).applyInArrow(
             score, f"lid {id_type}, rid {id_type}, similarity double")
         found = found.unionByName(far)
     rank = F.row_number().over(W.partitionBy("lid").orderBy(F.desc("similarity"), "rid"))

@@ -78,3 +78,19 @@ def test_empty_and_refused(spark):
     assert rt.nearest_notes(none, 1, 0.5).collect() == []
     with pytest.raises(ValueError):
         nb.nearest_at_least(none, 1, 0.0, "note_id")
+
+
+def test_a_vector_goes_to_a_tile_once(spark, monkeypatch):
+    """Where no angle leaves anything out, a vector is sent to each tile, not to each of its small blocks."""
+    vectors = np.random.default_rng(3).normal(size=(400, 6))
+    monkeypatch.setattr(nb, "TILE_ROWS", 100)
+    got = nb.nearest_at_least(_frame(spark, vectors), 2, 0.01, "note_id", block_rows=10)
+    assert {(r["note_id"], r["match_note_id"], r["rank"]) for r in got.collect()} == _wanted(vectors, 2, 0.01)
+    frame = _frame(spark, vectors).withColumnRenamed("note_id", "id")
+    pivots = nb.choose_pivots(frame, "id", 40)
+    rows = nb.cut_into_rings(frame.withColumn("vector", rt.vx.unit(F.col("vector"))), "id", pivots, 10)
+    rings = nb.rings_of(rows, pivots, tile_rows=100)
+    own = nb.match_own_block(rows, "id", 2, 0.01)
+    tiles = rings.tile.max() + 1
+    assert len(rings.block) > 10 * tiles / 2 and tiles <= 8
+    assert nb.reach(own, "id", rings, 2, 0.01).count() <= 400 * tiles
