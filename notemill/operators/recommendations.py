@@ -116,11 +116,10 @@ def validation_recommendations(summary: DataFrame, error_types: DataFrame) -> Da
 def integration_recommendations(capture: DataFrame, routing: DataFrame, correlations: DataFrame) -> DataFrame:
     """From the capture stats row, the routing stats row and the tag correlations.
 
-    Of the tags that users give and routing ignores, the three most frequent are named.
+    All tags that users give and routing ignores are named, the most frequent first.
     """
     low = correlations.filter((F.col("correlation_rate") < 0.5) & (F.col("count") > 2))
-    first = low.orderBy(F.desc("count"), "tag").limit(3)
-    named = first.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "tag"))))
+    named = low.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "tag"))))
     row = (capture.withColumn("_r", routing.select(F.struct(*routing.columns)).scalar())
            .withColumn("_low", low.agg(F.count(F.lit(1))).scalar()).withColumn("_named", named.scalar()))
     return _rows(row, [

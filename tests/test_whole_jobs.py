@@ -1,6 +1,7 @@
 """Queries whose rows must come from the whole of their input."""
 
 import __spark_entry__ as entry
+from notemill.operators import recommendations as rec
 
 
 def test_tags_of_all_captured_notes_are_counted(spark, tmp_path):
@@ -11,3 +12,12 @@ def test_tags_of_all_captured_notes_are_counted(spark, tmp_path):
     # every fifth line has no tags; some stand a second time without a body
     tagged = [d for i in range(40) if i % 5 != 4 for d in [docs[i]] * (1 + (i % 13 == 5))]
     assert rows == {t: sum(t in d[2:4] for d in tagged) for t in ("en", "de", "src0", "src1", "src2")}
+
+
+def test_all_ignored_tags_are_named(spark):
+    capture = spark.createDataFrame([(0, 2.0)], "invalid_notes long, avg_tags_per_note double")
+    routing = spark.createDataFrame([(1.0, 0.9)], "success_rate double, avg_confidence double")
+    rates = [("a", 4, 0.0), ("b", 9, 0.1), ("c", 5, 0.2), ("d", 5, 0.0), ("e", 3, 0.4), ("few", 2, 0.0), ("kept", 9, 0.5)]
+    correlations = spark.createDataFrame(rates, "tag string, count long, correlation_rate double")
+    told = rec.integration_recommendations(capture, routing, correlations).collect()
+    assert [(r["code"], r["value"], r["about"]) for r in told] == [("ignored_tags", 5.0, "b, c, d, a, e")]
