@@ -87,9 +87,10 @@ def json_array_notes(spark, sf):
 
 @_query("csv_one_file", ORACLE["csv_notes"])
 def csv_one_file(spark, sf):
-    """One large quoted CSV file with line feeds in its values, cut at byte ranges."""
+    """Large quoted CSV files with line feeds in their values, cut at byte ranges: one, or one for each part of bounded bytes."""
     path = scratch_path(spark, "csv_one")
-    inp.table(spark, sf, "documents").select("doc_id", "text", "lang").coalesce(1).write.csv(path, header=True, escape='"')
+    docs = inp.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    wr.write_large_csv(docs, path)
     return rd.read_csv_notes(spark, path, "text", "doc_id", "lang").select(
         "note_id", "timestamp", F.md5("original_text").alias("original"), F.md5("text").alias("digest"))
 

@@ -20,6 +20,19 @@ CALIBRATOR_SCHEMA = (
     "method string, is_fitted boolean, parameters struct<intercept:double,coefficient:double>"
 )
 
+CSV_FILE_BYTES = 128 << 20   # of a large CSV file, about
+
+
+def write_large_csv(df: DataFrame, path: str, file_bytes: int | None = None) -> None:
+    """Quoted CSV with a header line in every file: one file, or as many as keep each at about ``file_bytes``.
+
+    Every file is written by one task, so that its bytes bound what a task reads.
+    """
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    n = -(-(df.agg(F.sum(size)).first()[0] or 0) // (file_bytes or CSV_FILE_BYTES))
+    parts = df.repartition(n, F.xxhash64(*df.columns)) if n > 1 else df.coalesce(1)
+    parts.write.csv(path, header=True, escape='"')
+
 
 def write_by_tag(parsed: DataFrame, path: str, max_records_per_file: int = 1_000_000) -> None:
     """Append one JSON row per (note, tag) under ``tag_dir=<tag>``; the row keeps its tag.
