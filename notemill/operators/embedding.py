@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -17,17 +18,30 @@ from notemill.functions import text as tx
 from notemill.functions import vectors as vx
 
 Encoder = Callable[[list[str]], np.ndarray]
+MAX_CELLS = 1 << 18      # bucket numbers counted at once
+MAX_TEXT = 4 << 20       # bytes of texts that a model gets at once, unless one text alone has more
+
+
+def _slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges whose sizes add up to at most ``limit``, of one entry at least."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, b
+        a = b
 
 
 def bucket_histogram(dim: int):
-    """Arrow function: arrays of bucket numbers to L2-normalised bucket counts, one bincount per batch."""
+    """Arrow function: arrays of bucket numbers to L2-normalised bucket counts, one bincount per slice of a batch."""
 
     @F.arrow_udf("array<double>")
     def histogram(batch: pa.Array) -> pa.Array:
         sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        cells = batch.flatten().to_numpy(zero_copy_only=False).astype("int64")
-        cells += np.repeat(np.arange(len(sizes)), sizes) * dim
-        counts = np.bincount(cells, minlength=dim * len(sizes)).astype("float64").reshape(-1, dim)
+        counts = np.zeros((len(sizes), dim))
+        for a, b in _slices(sizes, MAX_CELLS):
+            cells = batch.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype("int64")
+            cells += np.repeat(np.arange(b - a), sizes[a:b]) * dim
+            counts[a:b] = np.bincount(cells, minlength=dim * (b - a)).reshape(-1, dim)
         norms = np.linalg.norm(counts, axis=1, keepdims=True)
         units = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
         offsets = pa.array(np.arange(len(sizes) + 1, dtype="int32") * dim)
@@ -52,8 +66,8 @@ def embed_with_model(df: DataFrame, load: Callable[[], Encoder], text: str = "te
     """Embed with a user model, loaded once per task.
 
     Only the text column travels to Python, in Arrow batches; each distinct
-    text of a batch is encoded once. ``load`` returns a function from a list of
-    texts to a matrix.
+    text of a batch is encoded once, a few megabytes of texts at a time. ``load`` returns
+    a function from a list of texts to a matrix.
     """
 
     @F.arrow_udf("array<double>")
@@ -64,7 +78,10 @@ def embed_with_model(df: DataFrame, load: Callable[[], Encoder], text: str = "te
             if not len(codes.dictionary):
                 yield pa.nulls(len(batch), pa.list_(pa.float64()))
                 continue
-            matrix = np.asarray(model(codes.dictionary.to_pylist()), dtype="float64")
+            texts = codes.dictionary
+            size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            matrix = np.concatenate([np.asarray(model(texts.slice(a, b - a).to_pylist()), dtype="float64")
+                                     for a, b in _slices(size, MAX_TEXT)])
             sizes = np.arange(len(matrix) + 1, dtype="int32") * matrix.shape[1]
             distinct = pa.ListArray.from_arrays(pa.array(sizes), pa.array(matrix.ravel()))
             yield distinct.take(codes.indices)
