@@ -4,8 +4,9 @@ Texts are split into words by the vocabulary's pattern. Words that are tokens th
 other word is folded: as an array of byte ids, one ranked merge a step, by a Spark ``aggregate`` against a
 literal rank map of token pairs. Of the words of the whole table those that several packs of
 documents have are folded once, into a dictionary of bounded size (the most frequent first), which
-every task gets; what else a pack has is folded in the pack's own row, by the same expression. Then each pack
-puts its documents together from its words. Documents are never shuffled, words only to be counted.
+every task gets; what else a pack has is folded in the pack's own row, by the same expression, after the packs
+are written. Then each pack puts its documents together from its words. Documents are never shuffled, words only
+to be counted.
 
 ``fold`` chooses: "table" (default) as above, "functions" without the dictionary, "arrays" the same steps in numpy
 for all words of a pack at once. Words over FOLD_BYTES are merged with a heap.
@@ -412,6 +413,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
     packed = map_batches(source, pack, T.StructType.fromDDL(
         f"rest binary, {', '.join(f'{c} binary' for c in _NUMBERS)}, long array<binary>, words array<array<bigint>>"))
+    # written before the fold, so that a task has one Python worker beside it, not one on either side
+    packed = stored(packed, "packs", compression="zstd")
     return map_batches(packed.withColumn("words", fold_merges(F.col("words"), pieces)), unpack, schema)
 
 

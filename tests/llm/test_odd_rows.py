@@ -262,3 +262,17 @@ def test_an_empty_table_goes_through(spark, odd, tmp_path):
     for _, stage in cp.STAGES:
         none = cp.stored(stage(spark, none, odd), "none")
     assert none.collect() == []
+
+
+def test_pipeline_folds_words_by_functions(spark, sf_dir, monkeypatch):
+    """The pipeline encodes through the ranked fold, with the ids that the arrays give."""
+    import public_tokenizers as P
+
+    folds, fold = [], bpe.fold_merges
+    monkeypatch.setattr(bpe, "fold_merges", lambda *a: folds.append(1) or fold(*a))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(["zyxwvut qqqq zyxwvut", "", "no fold qjqjq"])],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.encode(spark, docs, sf_dir)
+    assert folds
+    wanted = bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, fold="arrays").select("doc_id", "ids")
+    assert {r["doc_id"]: r["ids"] for r in got.collect()} == {r["doc_id"]: r["ids"] for r in wanted.collect()}
