@@ -28,6 +28,7 @@ import struct
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notemill.llm.common import fits, map_batches, stored, table
-from notemill.llm.pretokenize import PATTERN, offsets_of, packs
+from notemill.llm.pretokenize import PATTERN, bytes_of, offsets_of, packs
 
 FILE_TOKENS = 1 << 20    # ids of a file, about
 STRIDE = 512             # bits between two counts of a directory
@@ -168,13 +169,13 @@ class WordCache:
                 slot[k] = -1
         return slot
 
-    def add(self, words: list[bytes], hashes: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
-        """Puts words in; gives their slots."""
+    def add(self, words: list[bytes], hashes: np.ndarray, ids: np.ndarray, sizes: list[int]) -> np.ndarray:
+        """Puts words in, with their ids one after another and the number of each; gives their slots."""
         slots = np.arange(len(words), dtype=np.int32) + len(self.ends) - 1
         self.data += b"".join(words)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(w) for w in words], dtype=np.int32)])
-        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int32)])
-        self.ids = np.concatenate([self.ids, *ids])
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(sizes, dtype=np.int32)])
+        self.ids = np.concatenate([self.ids, ids])
         order = np.argsort(hashes, kind="stable")
         place = np.searchsorted(self.hashes, hashes[order])
         self.hashes, self.slots = np.insert(self.hashes, place, hashes[order]), np.insert(self.slots, place, slots[order])
@@ -188,18 +189,19 @@ def _encode_pack(tokenizer_path: str, words: pa.Array, cache: WordCache) -> tupl
     """Ids by the library, and of each word of a pack the first place and the number of its ids in them."""
     tokenizer, _ = _tokenizer(tokenizer_path)
     coded = words.dictionary_encode()
-    values = coded.dictionary.to_pylist()
+    values = bytes_of(coded.dictionary)
     if len(cache) + len(values) > CACHE_WORDS:
         cache.clear()
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in values], np.uint64)
     slots = cache.find(values, hashes)
     new = np.flatnonzero(slots < 0)
-    ids = []
-    for a in range(0, len(new), 2048):   # the library's results are large; few are held at once
-        part = [values[k].decode() for k in new[a:a + 2048]]
-        ids += [np.array(done.ids, "<u2") for done in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
     if len(new):
-        slots[new] = cache.add([values[k] for k in new], hashes[new], ids)
+        fresh, flat, sizes = [values[k] for k in new.tolist()], [], []
+        for a in range(0, len(fresh), 2048):   # the library's results are large; few are held at once
+            ids = [done.ids for done in tokenizer.encode_batch_fast([w.decode() for w in fresh[a:a + 2048]], add_special_tokens=False)]
+            flat.append(np.fromiter(chain.from_iterable(ids), "<u2"))
+            sizes += map(len, ids)
+        slots[new] = cache.add(fresh, hashes[new], np.concatenate(flat), sizes)
     slots = slots[coded.indices.to_numpy()]
     return cache.ids, cache.id_ends[slots], cache.id_ends[slots + 1] - cache.id_ends[slots]
 

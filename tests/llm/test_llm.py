@@ -195,3 +195,18 @@ def test_pipeline_decisions(spark, sf_dir):
     coded = cp.encode(spark, docs, sf_dir).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest() for r in coded)
+
+
+def test_values_of_sliced_words():
+    words = pa.array([b"aa", b"", b"b", "é".encode()], pa.large_binary())
+    assert pretokenize.bytes_of(words) == words.to_pylist() and pretokenize.bytes_of(words.slice(1, 2)) == [b"", b"b"]
+    assert pretokenize.bytes_of(words.slice(0, 0)) == [] and pretokenize.bytes_of(pa.array([b""], pa.large_binary())) == [b""]
+
+
+def test_cache_finds_words_of_several_packs():
+    cache = token_files.WordCache()
+    for part in ([b"a", b" wubbledub", b"a"], [b" wubbledub", b"zq", b""], []):
+        flat, first, sizes = token_files._encode_pack(JSON, pa.array(part, pa.large_binary()), cache)
+        wanted = [token_files._tokenizer(JSON)[0].encode(w.decode(), add_special_tokens=False).ids for w in part]
+        assert [flat[a:a + n].tolist() for a, n in zip(first, sizes)] == wanted
+    assert len(cache) == 4
