@@ -23,7 +23,8 @@ import base64
 import hashlib
 import heapq
 import json
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,11 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notemill.llm.common import map_batches, spare, stored, table
-from notemill.llm.pretokenize import cuts, offsets_of, packs
+from notemill.llm.pretokenize import bytes_of, cuts, offsets_of, packs
 
 PACK = 3 << 20           # text bytes of a pack, unless one text alone has more
 DICTIONARY_WORDS = 1_500_000   # words that every task gets folded, at most
+TASK_WORDS = 200_000     # words that a task counts before it hands them on
 FOLD_BYTES = 256         # longer words are merged with a heap: a fold step copies the whole word
+SLICE = 1 << 15          # words that the driver handles at once
 MAP_SIZE = 131_071       # slots of the rank map
 EDGE = 65_535            # stands before and after each word; is in no pair
 NEGATIVE = 1 << 31       # ranks are stored below zero, so that they never equal a pair's key
@@ -250,6 +253,16 @@ def take_lists(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tupl
     return flat[at], ends
 
 
+def _in_order(flat: np.ndarray, offsets: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``take_lists`` with places for SLICE lists at once only."""
+    ends = offsets_of(np.diff(offsets)[order])
+    out = np.empty(int(ends[-1]), flat.dtype)
+    for a in range(0, len(order), SLICE):
+        part, _ = take_lists(flat, offsets, order[a:a + SLICE])
+        out[ends[a]:ends[a] + len(part)] = part
+    return out, ends.astype(np.int32)
+
+
 class Dictionary:
     """Folded words in the order of a hash, with the ids of each."""
 
@@ -259,12 +272,15 @@ class Dictionary:
     @classmethod
     def of(cls, data: bytes = b"", word_ends=(0,), flat=(), id_ends=(0,)) -> Dictionary:
         """From words and ids one after another, in any order."""
-        word_ends, id_ends = np.array(word_ends, np.int64), np.array(id_ends, np.int64)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(word_ends, word_ends[1:])), np.uint64, len(word_ends) - 1)
+        word_ends, id_ends, flat = np.asarray(word_ends), np.asarray(id_ends), np.asarray(flat, np.uint16)
+        hashes = np.empty(len(word_ends) - 1, np.uint64)
+        for a in range(0, len(hashes), SLICE):
+            ends = word_ends[a:a + SLICE + 1].tolist()
+            hashes[a:a + SLICE] = [xxhash.xxh3_64_intdigest(data[x:y]) for x, y in zip(ends, ends[1:])]
         order = np.argsort(hashes, kind="stable")
-        words, word_ends = take_lists(np.frombuffer(data, np.uint8), word_ends, order)
-        ids, id_ends = take_lists(np.array(flat, np.uint16), id_ends, order)
-        return cls(hashes[order], words.tobytes(), word_ends.astype(np.int32), ids, id_ends.astype(np.int32))
+        words, word_ends = _in_order(np.frombuffer(data, np.uint8), word_ends, order)
+        ids, id_ends = _in_order(flat, id_ends, order)
+        return cls(hashes[order], words.tobytes(), word_ends, ids, id_ends)
 
     def __len__(self) -> int:
         return len(self.hashes)
@@ -293,17 +309,32 @@ def fold_dictionary(docs: DataFrame, pieces: tuple[bytes, ...], pattern: str, te
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(pieces)
 
-    def distinct(batch: pa.RecordBatch):
-        ranks = _ranks_of(vocabulary.value)
-        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        for _, _, flat, _ in packs(batch.column(0), pattern, pack_bytes):
-            words = [w for w in flat.dictionary_encode().dictionary.to_pylist() if w not in ranks and len(w) <= FOLD_BYTES]
-            ends = offsets_of(np.array([len(w) for w in words], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(
-                pa.array(ends.astype(np.int32)), pa.array(byte_ids[np.frombuffer(b"".join(words), np.uint8)]))], ["raw"])
-
-    raw = map_batches(docs.select(F.col(f"`{text}`").alias("_text")), distinct, T.StructType.fromDDL("raw array<bigint>"))
-    several = stored(raw.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "words")
+    def counted(batches: Iterator[pa.RecordBatch]):
+        """Words to fold and the number of packs that have them, of TASK_WORDS words or a few more at once."""
+        ranks, found = _ranks_of(vocabulary.value), Counter()
+
+        def flush():
+            words = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            found.clear()
+            return words
+
+        for batch in batches:
+            for _, _, flat, _ in packs(batch.column(0), pattern, pack_bytes):
+                found.update([w for w in bytes_of(flat.dictionary_encode().dictionary) if w not in ranks and len(w) <= FOLD_BYTES])
+                if len(found) >= TASK_WORDS:
+                    yield flush()
+        yield flush()
+
+    def to_bytes(batch: pa.RecordBatch):
+        byte_ids = np.array([_ranks_of(vocabulary.value)[bytes([b])] for b in range(256)], np.int64)
+        words = batch.column("word").to_pylist()
+        ends = offsets_of(np.array([len(w) for w in words], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(
+            pa.array(ends.astype(np.int32)), pa.array(byte_ids[np.frombuffer(b"".join(words), np.uint8)])), batch.column("n")], ["raw", "n"])
+
+    words = docs.select(F.col(f"`{text}`").alias("_text")).mapInArrow(counted, T.StructType.fromDDL("word binary, n bigint"))
+    several = stored(map_batches(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), to_bytes,
+                                 T.StructType.fromDDL("raw array<bigint>, n bigint")), "words")
     # rows by powers of two of their packs; the least power with which the words still fit
     steps = sorted(((r["b"], r["c"]) for r in several.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
     least, total = 64, 0
@@ -318,22 +349,26 @@ def fold_dictionary(docs: DataFrame, pieces: tuple[bytes, ...], pattern: str, te
             back[i] = piece[0]
 
     def compact(batch: pa.RecordBatch):
-        sizes = [pc.list_value_length(batch.column(c)).to_numpy().astype(np.int32).tobytes() for c in ("raw", "ids")]
-        values = [batch.column("raw").flatten().to_numpy(), batch.column("ids").flatten().to_numpy().astype(np.int32)]
+        sizes = [pc.list_value_length(batch.column(c)).to_numpy().astype(np.uint16).tobytes() for c in ("raw", "ids")]
+        values = [batch.column("raw").flatten().to_numpy(), batch.column("ids").flatten().to_numpy().astype(np.uint16)]
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (*sizes, back[values[0]].tobytes(), values[1].tobytes())],
                                          ["word_sizes", "id_sizes", "words", "ids"])
 
     rows = map_batches(folded, compact, T.StructType.fromDDL("word_sizes binary, id_sizes binary, words binary, ids binary")).collect()
-    join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
-    ends = lambda name: offsets_of(join(name, np.int32).astype(np.int64))
-    return Dictionary.of(b"".join(r["words"] for r in rows), ends("word_sizes"), join("ids", np.int32), ends("id_sizes"))
+    word_sizes, id_sizes, data, flat = (b"".join(r[c] for r in rows) for c in rows[0].__fields__) if rows else [b""] * 4
+    rows.clear()
+    ends = lambda sizes: offsets_of(np.frombuffer(sizes, np.uint16).astype(np.int64))
+    return Dictionary.of(data, ends(word_sizes), np.frombuffer(flat, np.uint16), ends(id_sizes))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids",
-           drop_text: bool = False, pack_bytes: int = PACK, fold: str = "table", max_words: int = DICTIONARY_WORDS) -> DataFrame:
+           drop_text: bool = False, pack_bytes: int = PACK, fold: str = "table", max_words: int = DICTIONARY_WORDS,
+           then: Callable[[T.StructType], tuple[Callable, T.StructType]] | None = None) -> DataFrame:
     """Adds the column ``ids`` (array of int): each match of ``pattern`` encoded by itself.
 
     ``drop_text`` leaves the text out of the result. ``fold``: see the module; "table" counts words at once.
+    ``then`` gives, for the schema of the result, a function of its batches and the schema of what that makes of
+    them: it runs in the tasks that put documents together, so that ids need not be written for it.
     """
     if fold not in ("table", "arrays", "functions"):
         raise ValueError("fold is 'table', 'arrays' or 'functions'")
@@ -348,6 +383,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     copy = spare(docs, "_text")
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(copy))
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    step, made = then(schema) if then else (lambda batch: [batch], schema)
 
     def cut(batch: pa.RecordBatch):
         """Of each pack: its rows, ends of the rows, word index, tokens of the words, places in the dictionary, and the words to fold."""
@@ -357,7 +393,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         for a, b, flat, offsets in packs(batch.column(copy), pattern, pack_bytes):
             coded = flat.dictionary_encode()
             words = coded.dictionary
-            values, length = words.to_pylist(), pc.binary_length(words).to_numpy()
+            values, length = bytes_of(words), pc.binary_length(words).to_numpy()
             # of a word: its token, or -1 if it is to be folded, -2 if it is too long for that, -3 if it is in the dictionary
             token = np.array([ranks.get(w, -1) for w in values], np.int32)
             token[(token < 0) & (length > FOLD_BYTES)] = -2
@@ -386,9 +422,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         def run(batch: pa.RecordBatch):
             keys, values = _pair_arrays(vocabulary.value)
             for rest, ends, index, token, places, raw, offsets, long_words in cut(batch):
-                yield joined(rest, ends, index, token, places, *fold_arrays(raw, offsets, keys, values), long_words)
+                yield from step(joined(rest, ends, index, token, places, *fold_arrays(raw, offsets, keys, values), long_words))
 
-        return map_batches(source, run, schema)
+        return map_batches(source, run, made)
 
     def pack(batch: pa.RecordBatch):
         for rest, ends, index, token, places, raw, offsets, long_words in cut(batch):
@@ -409,20 +445,34 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
             ends, index, token, places = (np.frombuffer(batch.column(c)[k].as_py(), np.int32) for c in _NUMBERS)
             words = batch.column("words")[k].values
             sizes = pc.list_value_length(words).to_numpy().astype(np.int64)
-            yield joined(rest, ends, index, token, places, words.flatten().to_numpy(), offsets_of(sizes), batch.column("long")[k].as_py())
+            yield from step(joined(rest, ends, index, token, places, words.flatten().to_numpy(), offsets_of(sizes), batch.column("long")[k].as_py()))
 
     packed = map_batches(source, pack, T.StructType.fromDDL(
         f"rest binary, {', '.join(f'{c} binary' for c in _NUMBERS)}, long array<binary>, words array<array<bigint>>"))
     # written before the fold, so that a task has one Python worker beside it, not one on either side
     packed = stored(packed, "packs", compression="zstd")
-    return map_batches(packed.withColumn("words", fold_merges(F.col("words"), pieces)), unpack, schema)
+    return map_batches(packed.withColumn("words", fold_merges(F.col("words"), pieces)), unpack, made)
 
 
 _NUMBERS = ("ends", "position", "token", "places")
+
+
 def _byte_pool(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), np.uint8), offsets_of(np.array([len(v) for v in values], np.int64))
 
 
+_POOLS: dict[int, tuple] = {}
+
+
+def _pools(pieces: tuple[bytes, ...]) -> tuple:
+    """The pools of pieces and of decimal numbers, made once in a Python worker for a vocabulary."""
+    key = hash(pieces)
+    if key not in _POOLS:
+        _POOLS.clear()
+        _POOLS[key] = (_byte_pool(pieces), _byte_pool([b"%d " % i for i in range(EDGE)]))
+    return _POOLS[key]
+
+
 def row_bytes(lists: pa.ListArray, pool: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> list[bytes]:
     """Of each row the pool's entries at its ids, joined; in steps of about ``step`` ids."""
     flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
@@ -458,19 +508,25 @@ def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return round_trip(stored(encode(docs, path, public_tokenizers.PATTERN, drop_text=True), "ids"), path)
+    return encode(docs, path, public_tokenizers.PATTERN, drop_text=True, then=digests(spark, path))
 
 
 def round_trip(coded: DataFrame, ranks_path: str, keep: tuple[str, ...] = (), ids: str = "ids") -> DataFrame:
-    """doc_id, the columns ``keep``, number of ids, sha256 of the ids as decimal text and of the bytes they decode to.
+    """doc_id, the columns ``keep``, number of ids, sha256 of the ids as decimal text and of the bytes they decode to."""
+    source = coded if ids in keep else coded.select("doc_id", *keep, ids)
+    return map_batches(source, *digests(coded.sparkSession, ranks_path, keep, ids)(coded.schema))
+
+
+def digests(spark, ranks_path: str, keep: tuple[str, ...] = (), ids: str = "ids") -> Callable[[T.StructType], tuple[Callable, T.StructType]]:
+    """``round_trip`` as a step on batches, for ``encode``: from a schema the function and the schema of its results.
 
     Decoding and digests in one pass, of about a megabyte of ids at a time.
     """
-    vocabulary = coded.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    vocabulary = spark.sparkContext.broadcast(load_ranks(ranks_path))
     first = ["doc_id", *keep]
 
     def run(batch: pa.RecordBatch):
-        pieces, numbers = _byte_pool(vocabulary.value), _byte_pool([b"%d " % i for i in range(EDGE)])
+        pieces, numbers = _pools(vocabulary.value)
         lists = batch.column(ids)
         ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
         for a, b in cuts(np.diff(ends), 1 << 18):
@@ -482,6 +538,4 @@ def round_trip(coded: DataFrame, ranks_path: str, keep: tuple[str, ...] = (), id
                 [*first, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     made = T.StructType.fromDDL("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    schema = T.StructType([*[coded.schema[c] for c in first], *made.fields])
-    source = coded if ids in first else coded.select(*first, ids)
-    return map_batches(source, run, schema)
+    return lambda schema: (run, T.StructType([*[schema[c] for c in first], *made.fields]))

@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,26 @@ def test_cache_finds_words_of_several_packs():
         wanted = [token_files._tokenizer(JSON)[0].encode(w.decode(), add_special_tokens=False).ids for w in part]
         assert [flat[a:a + n].tolist() for a, n in zip(first, sizes)] == wanted
     assert len(cache) == 4
+
+
+def test_digests_without_written_ids(spark, documents, monkeypatch):
+    """The query's digests are made where documents are put together: words and packs are written, ids are not."""
+    wanted = bpe.round_trip(bpe.encode(documents, RANKS, P.PATTERN, fold="arrays"), RANKS, keep=("source",))
+    written, stored = [], bpe.stored
+    monkeypatch.setattr(bpe, "stored", lambda df, name, **options: written.append(name) or stored(df, name, **options))
+    got = bpe.encode(documents, RANKS, P.PATTERN, drop_text=True, pack_bytes=40, then=bpe.digests(spark, RANKS, keep=("source",)))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+    monkeypatch.setattr(bpe, "table", lambda *a: documents)
+    assert bpe.op1_byte_bpe(spark, "").count() == documents.count()
+    assert set(written) == {"words", "packs"}
+
+
+def test_words_are_counted_over_tasks_and_hand_overs(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"zzqxzq wubbledub {'oncely' * (i + 2)}",) for i in range(6)], "text string").repartition(3)
+    pieces = bpe.load_ranks(RANKS)
+    whole = bpe.fold_dictionary(docs, pieces, P.PATTERN, "text", pack_bytes=20)
+    monkeypatch.setattr(bpe, "TASK_WORDS", 1)
+    monkeypatch.setattr(bpe, "SLICE", 2)   # the dictionary is put in order in steps of two words
+    again = bpe.fold_dictionary(docs, pieces, P.PATTERN, "text", pack_bytes=20)
+    assert len(whole) and [whole.word(k) for k in range(len(whole))] == [again.word(k) for k in range(len(again))]
+    assert whole.flat.tolist() == again.flat.tolist() and whole.id_ends.tolist() == again.id_ends.tolist()
