@@ -80,8 +80,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, drop_text=True)
-    return bpe.round_trip(stored(coded, "ids"), path, keep=("lang", "source", "ids"))
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, drop_text=True,
+                      then=bpe.digests(spark, path, keep=("lang", "source", "ids")))
 
 
 STAGES = [
