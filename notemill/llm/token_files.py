@@ -43,6 +43,7 @@ from notemill.llm.pretokenize import PATTERN, bytes_of, offsets_of, packs
 
 FILE_TOKENS = 1 << 20    # ids of a file, about
 STRIDE = 512             # bits between two counts of a directory
+LINES = 2_048            # words that the library encodes at once
 CACHE_WORDS = 2_000_000  # encoded words that a Python worker keeps, in some thirty bytes each
 PACK = 4 << 20           # text bytes that are encoded at once
 PART_BYTES = 32 << 20    # text bytes of a part, about: the files that one task writes
@@ -169,7 +170,7 @@ class WordCache:
                 slot[k] = -1
         return slot
 
-    def add(self, words: list[bytes], hashes: np.ndarray, ids: np.ndarray, sizes: list[int]) -> np.ndarray:
+    def add(self, words: list[bytes], hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Puts words in, with their ids one after another and the number of each; gives their slots."""
         slots = np.arange(len(words), dtype=np.int32) + len(self.ends) - 1
         self.data += b"".join(words)
@@ -185,6 +186,25 @@ class WordCache:
 _CACHE: dict[str, WordCache] = {}
 
 
+def _encode_each(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words by the library, one after another, and the number of each."""
+    ids = [done.ids for done in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    return np.fromiter(chain.from_iterable(ids), "<u2"), np.array([len(x) for x in ids])
+
+
+def _encode_lines(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``_encode_each`` for words that are not white space, as the lines of one text.
+
+    The library cuts at a line end, so that what it does once for a text is not done for every word.
+    Where it does not give as many lines back (one may be part of a special token), words go one by one.
+    """
+    ids, end = (np.array(done.ids, "<u2") for done in tokenizer.encode_batch_fast(["\n".join(words), "\n"], add_special_tokens=False))
+    at = np.flatnonzero(ids == end[0])
+    if len(end) != 1 or len(at) != len(words) - 1:
+        return _encode_each(tokenizer, words)
+    return np.delete(ids, at), np.diff(at, prepend=-1, append=len(ids)) - 1
+
+
 def _encode_pack(tokenizer_path: str, words: pa.Array, cache: WordCache) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids by the library, and of each word of a pack the first place and the number of its ids in them."""
     tokenizer, _ = _tokenizer(tokenizer_path)
@@ -196,12 +216,15 @@ def _encode_pack(tokenizer_path: str, words: pa.Array, cache: WordCache) -> tupl
     slots = cache.find(values, hashes)
     new = np.flatnonzero(slots < 0)
     if len(new):
-        fresh, flat, sizes = [values[k] for k in new.tolist()], [], []
-        for a in range(0, len(fresh), 2048):   # the library's results are large; few are held at once
-            ids = [done.ids for done in tokenizer.encode_batch_fast([w.decode() for w in fresh[a:a + 2048]], add_special_tokens=False)]
-            flat.append(np.fromiter(chain.from_iterable(ids), "<u2"))
-            sizes += map(len, ids)
-        slots[new] = cache.add(fresh, hashes[new], np.concatenate(flat), sizes)
+        texts = [values[k].decode() for k in new.tolist()]
+        blank = np.fromiter(map(str.isspace, texts), bool, len(texts))
+        parts = []
+        for group, encoded in ((np.flatnonzero(~blank), _encode_lines), (np.flatnonzero(blank), _encode_each)):
+            for a in range(0, len(group), LINES):   # the library's results are large; few are held at once
+                some = group[a:a + LINES]
+                parts.append((new[some], *encoded(tokenizer, [texts[k] for k in some.tolist()])))
+        new, flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        slots[new] = cache.add([values[k] for k in new.tolist()], hashes[new], flat, sizes)
     slots = slots[coded.indices.to_numpy()]
     return cache.ids, cache.id_ends[slots], cache.id_ends[slots + 1] - cache.id_ends[slots]
 

@@ -204,6 +204,30 @@ def test_values_of_sliced_words():
     assert pretokenize.bytes_of(words.slice(0, 0)) == [] and pretokenize.bytes_of(pa.array([b""], pa.large_binary())) == [b""]
 
 
+def test_words_go_to_the_library_as_lines(monkeypatch):
+    plain, _ = token_files._tokenizer(JSON)
+    words = ["'s", " '", "'", " l'", "é", " 12", "\u2028", "\n", " ", "\n\n ", "\x1c", "don", "ß\u200d", "<|", "z" * 300, *(f" w{k:x}q" for k in range(1000))]
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(token_files, "_tokenizer", lambda path: (Counted(), ()))
+    monkeypatch.setattr(token_files, "LINES", 100, raising=False)
+    flat, first, sizes = token_files._encode_pack(JSON, pa.array([w.encode() for w in words], pa.large_binary()), token_files.WordCache())
+    assert [flat[a:a + n].tolist() for a, n in zip(first, sizes)] == [plain.encode(w, add_special_tokens=False).ids for w in words]
+    assert len(given) < 100   # of 1015 words
+
+    class Joining:   # gives too few lines back
+        def encode_batch_fast(self, texts, **options):
+            return plain.encode_batch_fast([t.replace("a\nb", "ab") for t in texts], **options)
+
+    ids, sizes = token_files._encode_lines(Joining(), ["a", "b", "cd"])
+    assert (ids.tolist(), sizes.sum()) == (sum((plain.encode(w, add_special_tokens=False).ids for w in ("a", "b", "cd")), []), len(ids))
+
+
 def test_cache_finds_words_of_several_packs():
     cache = token_files.WordCache()
     for part in ([b"a", b" wubbledub", b"a"], [b" wubbledub", b"zq", b""], []):
