@@ -24,13 +24,14 @@ import hashlib
 import heapq
 import json
 from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,7 @@ PACK = 3 << 20           # text bytes of a pack, unless one text alone has more
 DICTIONARY_WORDS = 1_500_000   # words that every task gets folded, at most
 TASK_WORDS = 200_000     # words that a task counts before it hands them on
 FOLD_BYTES = 256         # longer words are merged with a heap: a fold step copies the whole word
-SLICE = 1 << 15          # words that the driver handles at once
+SLICE = 1 << 15          # words that are hashed at once
 MAP_SIZE = 131_071       # slots of the rank map
 EDGE = 65_535            # stands before and after each word; is in no pair
 NEGATIVE = 1 << 31       # ranks are stored below zero, so that they never equal a pair's key
@@ -253,52 +254,62 @@ def take_lists(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tupl
     return flat[at], ends
 
 
-def _in_order(flat: np.ndarray, offsets: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``take_lists`` with places for SLICE lists at once only."""
-    ends = offsets_of(np.diff(offsets)[order])
-    out = np.empty(int(ends[-1]), flat.dtype)
-    for a in range(0, len(order), SLICE):
-        part, _ = take_lists(flat, offsets, order[a:a + SLICE])
-        out[ends[a]:ends[a] + len(part)] = part
-    return out, ends.astype(np.int32)
-
-
 class Dictionary:
-    """Folded words in the order of a hash, with the ids of each."""
+    """Folded words, with the ids of each, in any order. What finds a word is made where one is looked up first."""
 
-    def __init__(self, hashes: np.ndarray, data: bytes, word_ends: np.ndarray, flat: np.ndarray, id_ends: np.ndarray):
-        self.hashes, self.data, self.word_ends, self.flat, self.id_ends = hashes, data, word_ends, flat, id_ends
+    def __init__(self, data: bytes = b"", word_sizes=(), flat=(), id_sizes=()):
+        """From words and ids one after another."""
+        self.data, self.word_sizes = data, np.asarray(word_sizes, np.uint16)
+        self.flat, self.id_sizes = np.asarray(flat, np.uint16), np.asarray(id_sizes, np.uint16)
 
     @classmethod
-    def of(cls, data: bytes = b"", word_ends=(0,), flat=(), id_ends=(0,)) -> Dictionary:
-        """From words and ids one after another, in any order."""
-        word_ends, id_ends, flat = np.asarray(word_ends), np.asarray(id_ends), np.asarray(flat, np.uint16)
-        hashes = np.empty(len(word_ends) - 1, np.uint64)
-        for a in range(0, len(hashes), SLICE):
-            ends = word_ends[a:a + SLICE + 1].tolist()
-            hashes[a:a + SLICE] = [xxhash.xxh3_64_intdigest(data[x:y]) for x, y in zip(ends, ends[1:])]
-        order = np.argsort(hashes, kind="stable")
-        words, word_ends = _in_order(np.frombuffer(data, np.uint8), word_ends, order)
-        ids, id_ends = _in_order(flat, id_ends, order)
-        return cls(hashes[order], words.tobytes(), word_ends, ids, id_ends)
+    def of(cls, rows: Iterable) -> Dictionary:
+        """From rows of (word_sizes, id_sizes, words, ids), one row held beside the result."""
+        parts = [bytearray() for _ in range(4)]
+        for row in rows:
+            for part, piece in zip(parts, row, strict=True):
+                part += piece
+        word_sizes, id_sizes, data, flat = parts
+        return cls(data, *(np.frombuffer(x, np.uint16) for x in (word_sizes, flat, id_sizes)))
 
     def __len__(self) -> int:
-        return len(self.hashes)
+        return len(self.word_sizes)
 
     def word(self, k: int) -> bytes:
-        return self.data[self.word_ends[k]:self.word_ends[k + 1]]
+        return bytes(self.data[self.word_ends[k]:self.word_ends[k + 1]])
+
+    @cached_property
+    def word_ends(self) -> np.ndarray:
+        return offsets_of(self.word_sizes).astype(np.int32)
+
+    @cached_property
+    def id_ends(self) -> np.ndarray:
+        return offsets_of(self.id_sizes).astype(np.int32)
+
+    @cached_property
+    def by_hash(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words, ascending, and the place of each."""
+        hashes = np.empty(len(self), np.uint64)
+        for a in range(0, len(hashes), SLICE):
+            ends = self.word_ends[a:a + SLICE + 1].tolist()
+            hashes[a:a + SLICE] = [xxhash.xxh3_64_intdigest(self.data[x:y]) for x, y in zip(ends, ends[1:])]
+        order = np.argsort(hashes, kind="stable").astype(np.int32)
+        return hashes[order], order
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """The place of each word, or -1; words with one hash are told apart by their bytes."""
-        if not len(self.hashes):
+        if not len(self):
             return np.full(len(words), -1)
+        ordered, places = self.by_hash
         hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        at[self.hashes[at] != hashes] = -1
-        for k in np.flatnonzero(at >= 0):
-            if self.word(at[k]) != words[k]:
-                at[k] = -1
-        return at
+        at = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
+        place = np.where(ordered[at] == hashes, places[at], -1)
+        known = np.flatnonzero(place >= 0)
+        starts, ends = self.word_ends[place[known]].tolist(), self.word_ends[place[known] + 1].tolist()
+        for k, a, b in zip(known.tolist(), starts, ends):
+            if self.data[a:b] != words[k]:
+                place[k] = -1
+        return place
 
 
 def fold_dictionary(docs: DataFrame, pieces: tuple[bytes, ...], pattern: str, text: str, pack_bytes: int = PACK,
@@ -333,7 +344,7 @@ def fold_dictionary(docs: DataFrame, pieces: tuple[bytes, ...], pattern: str, te
             pa.array(ends.astype(np.int32)), pa.array(byte_ids[np.frombuffer(b"".join(words), np.uint8)])), batch.column("n")], ["raw", "n"])
 
     words = docs.select(F.col(f"`{text}`").alias("_text")).mapInArrow(counted, T.StructType.fromDDL("word binary, n bigint"))
-    several = stored(map_batches(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), to_bytes,
+    several = stored(map_batches(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").sortWithinPartitions("word"), to_bytes,
                                  T.StructType.fromDDL("raw array<bigint>, n bigint")), "words")
     # rows by powers of two of their packs; the least power with which the words still fit
     steps = sorted(((r["b"], r["c"]) for r in several.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
@@ -354,11 +365,12 @@ def fold_dictionary(docs: DataFrame, pieces: tuple[bytes, ...], pattern: str, te
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (*sizes, back[values[0]].tobytes(), values[1].tobytes())],
                                          ["word_sizes", "id_sizes", "words", "ids"])
 
-    rows = map_batches(folded, compact, T.StructType.fromDDL("word_sizes binary, id_sizes binary, words binary, ids binary")).collect()
-    word_sizes, id_sizes, data, flat = (b"".join(r[c] for r in rows) for c in rows[0].__fields__) if rows else [b""] * 4
-    rows.clear()
-    ends = lambda sizes: offsets_of(np.frombuffer(sizes, np.uint16).astype(np.int64))
-    return Dictionary.of(data, ends(word_sizes), np.frombuffer(flat, np.uint16), ends(id_sizes))
+    # folded by all tasks first; then the driver takes the few rows of one partition after another
+    rows = map_batches(folded, compact, T.StructType.fromDDL("word_sizes binary, id_sizes binary, words binary, ids binary")).rdd.persist(StorageLevel.DISK_ONLY)
+    rows.count()
+    found = Dictionary.of(rows.toLocalIterator())
+    rows.unpersist()
+    return found
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids",
@@ -375,10 +387,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     pieces = load_ranks(ranks_path)
     context = docs.sparkSession.sparkContext
     vocabulary = context.broadcast(pieces)  # bounded by the 16-bit ids
-    folded = fold_dictionary(docs, pieces, pattern, text, pack_bytes, max_words) if fold == "table" else Dictionary.of()
+    folded = fold_dictionary(docs, pieces, pattern, text, pack_bytes, max_words) if fold == "table" else Dictionary()
     # bounded by max_words; those who look words up need no ids, those who put documents together no words
-    dictionary = context.broadcast(Dictionary(folded.hashes, folded.data, folded.word_ends, None, None))
-    word_ids = context.broadcast((folded.flat, folded.id_ends))
+    dictionary = context.broadcast(Dictionary(folded.data, folded.word_sizes))
+    word_ids = context.broadcast(Dictionary(flat=folded.flat, id_sizes=folded.id_sizes))
+    del folded
     keep = [c for c in docs.columns if not (drop_text and c == text) and c.lower() != ids.lower()]
     copy = spare(docs, "_text")
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(copy))
@@ -408,7 +421,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     def joined(rest, ends, index, token, places, flat, offsets, long_words):
         """The rows of a pack with their ids, from the ids of its words."""
         long_ids = [np.array(heap_merges(w, _ranks_of(vocabulary.value)), np.int32) for w in long_words]
-        looked, at = take_lists(*word_ids.value, places)
+        looked, at = take_lists(word_ids.value.flat, word_ids.value.id_ends, places)
         pool = np.concatenate([token[token >= 0], flat, *long_ids, looked]).astype(np.int32)
         sizes = np.concatenate([np.ones(int((token >= 0).sum()), np.int64), np.diff(offsets),
                                 np.array([len(x) for x in long_ids], np.int64), np.diff(at)])

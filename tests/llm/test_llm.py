@@ -258,3 +258,16 @@ def test_words_are_counted_over_tasks_and_hand_overs(spark, monkeypatch):
     again = bpe.fold_dictionary(docs, pieces, P.PATTERN, "text", pack_bytes=20)
     assert len(whole) and [whole.word(k) for k in range(len(whole))] == [again.word(k) for k in range(len(again))]
     assert whole.flat.tolist() == again.flat.tolist() and whole.id_ends.tolist() == again.id_ends.tolist()
+
+
+def test_the_driver_sends_words_and_ids_and_no_index(spark, monkeypatch):
+    """The dictionary reaches the driver a partition at a time; what finds a word is made in the tasks."""
+    docs = spark.createDataFrame([(i, f"zzqxzq wubbledub {'oncely' * (i + 2)}") for i in range(6)], "doc_id int, text string").repartition(3)
+    sent, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or broadcast(value))
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.collect", lambda df, collect=type(docs).collect: [r for r in collect(df) if "words" not in r])
+    bpe.encode(docs, RANKS, P.PATTERN, pack_bytes=20)
+    words, ids = [x for x in sent if isinstance(x, bpe.Dictionary)]
+    assert len(words) > 1 and len(ids.flat) > len(words) and not len(ids.data) and not len(words.flat)
+    assert all(x.itemsize <= 2 for d in (words, ids) for x in vars(d).values() if hasattr(x, "itemsize"))
+    assert words.places([words.word(1), b"nowhere"]).tolist() == [1, -1]
