@@ -46,7 +46,7 @@ FOLD_BYTES = 256         # longer words are merged with a heap: a fold step copi
 SLICE = 1 << 15          # words that are hashed at once
 MAP_SIZE = 131_071       # slots of the rank map
 EDGE = 65_535            # stands before and after each word; is in no pair
-NEGATIVE = 1 << 31       # ranks are stored below zero, so that they never equal a pair's key
+NEGATIVE = 1 << 16       # ranks are stored below zero, so that they never equal a pair's key; few digits keep the literal short
 
 
 @lru_cache(maxsize=4)
@@ -464,6 +464,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         f"rest binary, {', '.join(f'{c} binary' for c in _NUMBERS)}, long array<binary>, words array<array<bigint>>"))
     # written before the fold, so that a task has one Python worker beside it, not one on either side
     packed = stored(packed, "packs", compression="zstd")
+    dictionary.destroy()   # nothing looks words up any more
     return map_batches(packed.withColumn("words", fold_merges(F.col("words"), pieces)), unpack, made)
 
 
