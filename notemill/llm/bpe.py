@@ -44,9 +44,7 @@ DICTIONARY_WORDS = 1_500_000   # words that every task gets folded, at most
 TASK_WORDS = 200_000     # words that a task counts before it hands them on
 FOLD_BYTES = 256         # longer words are merged with a heap: a fold step copies the whole word
 SLICE = 1 << 15          # words that are hashed at once
-MAP_SIZE = 131_071       # slots of the rank map
-EDGE = 65_535            # stands before and after each word; is in no pair
-NEGATIVE = 1 << 16       # ranks are stored below zero, so that they never equal a pair's key; few digits keep the literal short
+EDGE = 65_535            # stands before and after each word; is in no pair; ranks are below it
 
 
 @lru_cache(maxsize=4)
@@ -62,21 +60,36 @@ def load_ranks(path: str) -> tuple[bytes, ...]:
     return tuple(pieces)
 
 
-def _slot(left, right):
-    return (left * 40_503 + right * 30_011) % MAP_SIZE
-
-
 @lru_cache(maxsize=4)
-def _rank_map(pieces: tuple[bytes, ...]) -> str:
-    """Slots of (pair key, stored rank, ...) as JSON: each way to cut a piece in two pieces."""
+def _rank_map(pieces: tuple[bytes, ...]) -> tuple[str, str]:
+    """Shifts of the left ids and table of the rows of pairs, as JSON: each way to cut a piece in two pieces.
+
+    The pairs of a left id are a row, with each right id at a place of its own. Rows lie over each other in one table, shifted
+    so that no two pairs meet: the pair (left, right) is at shift[left] + right, as left * 65,536 + rank.
+    """
     ranks = {p: i for i, p in enumerate(pieces)}
-    slots: list[list[int]] = [[] for _ in range(MAP_SIZE)]
-    for piece, rank in ranks.items():
-        for cut in range(1, len(piece)):
-            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-            if left is not None and right is not None:
-                slots[_slot(left, right)] += [(left << 16) + right, rank - NEGATIVE]
-    return json.dumps(slots, separators=(",", ":"))
+    found = np.array([(ranks[p[:c]], ranks[p[c:]], r) for p, r in ranks.items()
+                      for c in range(1, len(p)) if p[:c] in ranks and p[c:] in ranks], np.int64).reshape(-1, 3)
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    first = np.flatnonzero(np.diff(found[:, 0], prepend=-1))
+    sizes = np.diff(np.append(first, len(found)))
+    place, used = np.zeros(len(found), np.int64), 0   # used: the places taken, as bits of one number
+    for k in np.argsort(-sizes, kind="stable")[:int((sizes > 1).sum())].tolist():   # long rows first, each where it fits first
+        rights = (found[first[k]:first[k] + sizes[k], 1] - found[first[k], 1]).tolist()
+        taken = 0
+        for r in rights:
+            taken |= used >> r
+        at = (~taken & (taken + 1)).bit_length() - 1
+        used |= sum(1 << r for r in rights) << at
+        place[first[k]:first[k] + sizes[k]] = at + np.array(rights)
+    single = first[sizes == 1]   # these fill what is free
+    bits = np.frombuffer(used.to_bytes(used.bit_length() // 8 + len(single) // 8 + 1, "little"), np.uint8)
+    place[single] = np.flatnonzero(np.unpackbits(bits, bitorder="little") == 0)[:len(single)]
+    shift, table = np.zeros(len(pieces), np.int64), np.zeros(int(place.max(initial=-1)) + 1, np.int64)
+    shift[found[:, 0]] = place - found[:, 1]
+    table[place] = found[:, 0] * (EDGE + 1) + found[:, 2]
+    # no entry is 0: a piece is no pair of itself and another one
+    return tuple(json.dumps(x, separators=(",", ":")) for x in (shift.tolist(), [x or None for x in table.tolist()]))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -87,22 +100,24 @@ def fold_merges(words: Column, pieces: tuple[bytes, ...]) -> Column:
     """Array of words (arrays of byte ids) to array of words as token ids.
 
     A step merges the leftmost pair of the lowest rank. ``ranks[i]`` belongs to
-    the pair (ids[i], ids[i + 1]): below zero it can merge, else not; a merge
+    the pair (ids[i], ids[i + 1]): up to EDGE it can merge, else not; a merge
     changes two of them, so that a step looks up two pairs only.
     """
-    # from_json of a literal is folded into one literal; bound once, it stands once in the plan
-    literal = F.from_json(F.lit(_rank_map(pieces)), "array<array<bigint>>")
+    # from_json of a literal is folded into one literal; bound once, it stands once in the plan. Two flat arrays: nested ones
+    # are several objects a slot, which the driver writes and each task reads again
+    shifts, pairs = (F.from_json(F.lit(x), "array<bigint>") for x in _rank_map(pieces))
 
-    def one(rank_map: Column, word: Column) -> Column:
+    def one(shift: Column, table: Column, word: Column) -> Column:
         def rank(left: Column, right: Column) -> Column:
-            slot = F.get(rank_map, _slot(left, right).cast("int"))
-            return F.get(slot, F.array_position(slot, left * 65_536 + right).cast("int"))
+            # the entry of another left id differs from this one's in the upper bits
+            entry = F.get(table, (F.get(shift, left.cast("int")) + right).cast("int"))
+            return entry.bitwiseXOR(left * (EDGE + 1))
 
         def merge(state: Column) -> Column:
             ids, ranks = state["ids"], state["ranks"]
 
             def at(p: Column) -> Column:
-                new = state["lowest"] + NEGATIVE
+                new = state["lowest"]
                 kept = F.struct(
                     F.concat(F.slice(ids, F.lit(1), p - 1), F.array(new),
                              F.slice(ids, p + 2, F.lit(FOLD_BYTES + 2))).alias("ids"),
@@ -112,7 +127,7 @@ def fold_merges(words: Column, pieces: tuple[bytes, ...]) -> Column:
                 return _let(kept, lambda s: F.struct(s["ids"].alias("ids"), s["ranks"].alias("ranks"),
                                                      F.array_min(s["ranks"]).alias("lowest")))
 
-            return F.when(state["lowest"] < 0, _let(F.array_position(ranks, state["lowest"]).cast("int"), at)
+            return F.when(state["lowest"] < EDGE, _let(F.array_position(ranks, state["lowest"]).cast("int"), at)
                           ).otherwise(state)
 
         edge = F.array(F.lit(EDGE).cast("bigint"))
@@ -123,7 +138,7 @@ def fold_merges(words: Column, pieces: tuple[bytes, ...]) -> Column:
                              lambda state: state["ids"])
         return _let(folded, lambda ids: F.slice(ids, F.lit(2), F.size(ids) - 2).cast("array<int>"))
 
-    return _let(literal, lambda rank_map: F.transform(words, lambda w: one(rank_map, w)))
+    return _let(shifts, lambda shift: _let(pairs, lambda table: F.transform(words, lambda w: one(shift, table, w))))
 
 
 _RANKS: dict[int, dict[bytes, int]] = {}

@@ -1,6 +1,7 @@
 """Kernels, fits, dictionaries and stages on odd rows, against plain versions."""
 
 import itertools
+import json
 
 import numpy as np
 import pytest
@@ -33,6 +34,28 @@ def test_words_of_several_packs_are_folded_once(spark):
     assert sorted(map(tuple, some)) == sorted(map(tuple, bpe.encode(docs, path, P.PATTERN, fold="arrays").select("doc_id", "ids").collect()))
 
 
+def test_rank_map_is_two_flat_arrays():
+    """What the driver sends and tasks read is one number a pair, not arrays in arrays; left id 0 meets no empty place."""
+    pieces = tuple([bytes([b]) for b in range(6)] + [b"\x00\x01", b"\x01\x02", b"\x00\x01\x02", b"\x05\x05", b"\x02\x00", b"\x00\x05\x05"])
+    shift, table = (json.loads(x) for x in bpe._rank_map(pieces))
+    assert not any(isinstance(x, list) for x in (*shift, *table))
+    ranks = {p: i for i, p in enumerate(pieces)}
+    for left, right in itertools.product(range(len(pieces)), repeat=2):
+        at = shift[left] + right
+        entry = table[at] if 0 <= at < len(table) else None
+        found = None if entry is None or entry ^ left * (bpe.EDGE + 1) >= bpe.EDGE else entry ^ left * (bpe.EDGE + 1)
+        assert found == ranks.get(pieces[left] + pieces[right])
+
+
+def test_fold_of_random_words_is_the_heap(spark):
+    pieces = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    ranks, rng = {p: i for i, p in enumerate(pieces)}, np.random.default_rng(5)
+    words = [b"!", b"!!!!!", b"!a!!b", *[bytes(rng.choice(list(b"!!aei therzq\xc3\xa9"), rng.integers(1, 20)).tolist()) for _ in range(300)]]
+    rows = spark.createDataFrame([(k, [ranks[bytes([b])] for b in w]) for k, w in enumerate(words)], "k int, raw array<bigint>")
+    got = dict(map(tuple, rows.select("k", F.get(bpe.fold_merges(F.array("raw"), pieces), F.lit(0))).collect()))
+    assert [got[k] for k in range(len(words))] == [bpe.heap_merges(w, ranks) for w in words]
+
+
 # --- the string kernel ---------------------------------------------------------
 
 def plain_kernel(x, y):
@@ -172,6 +195,16 @@ def test_components_of_copies_nulls_and_chains(spark):
     assert all(r["component_id"] == least[r["doc_id"], r["fp"] & (1 << 64) - 1] and r["h"] == 1 for r in got)
 
 
+def test_stars_do_not_nest_in_a_plan(spark, monkeypatch):
+    """The driver holds the plans of its jobs; one star over another one stood six times in a plan."""
+    plans, write = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name, **o: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name, **o))
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "a bigint, b bigint")
+    got = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    assert got == dict.fromkeys(range(1, 21), 0) | {51: 50}
+    assert max(p.count("Join ") for p in plans) <= 3
+
+
 def test_hubs_and_long_chains(spark):
     links = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (5, 0)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
