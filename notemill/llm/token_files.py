@@ -33,7 +33,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,8 +143,32 @@ def _tokenizer(path: str):
     return made, specials
 
 
+@lru_cache(maxsize=1)
+def _factors(size: int) -> np.ndarray:
+    """Odd 64-bit numbers, one for each place in a word."""
+    return np.random.default_rng(9).integers(0, 1 << 64, size, np.uint64) | np.uint64(1)
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the bytes of words that start at ``starts``, one word after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word ends[i]:ends[i + 1] of ``data``: the sum of its bytes, each times its place's factor."""
+    sizes = np.diff(ends)
+    longest = int(sizes.max(initial=1))
+    inside = np.arange(int(ends[0]), int(ends[-1])) - np.repeat(ends[:-1], sizes)
+    sums = np.zeros(len(inside) + 1, np.uint64)
+    np.cumsum((data[int(ends[0]):int(ends[-1])].astype(np.uint64) + np.uint64(1)) * _factors(1 << longest.bit_length())[inside], out=sums[1:])
+    return sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]]
+
+
 class WordCache:
-    """Ids of words by a 64-bit hash and their bytes, in arrays: some thirty bytes a word."""
+    """Ids of words by a 64-bit hash and their bytes, in arrays: some thirty bytes a word.
+
+    Words are given as bytes one after another and the ends of each, and handled all at once.
+    """
 
     def __init__(self):
         self.clear()
@@ -157,24 +180,31 @@ class WordCache:
     def __len__(self) -> int:
         return len(self.hashes)
 
-    def find(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+    def find(self, words: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The slot of each word, or -1; words with one hash are told apart by their bytes."""
+        slot = np.full(len(hashes), -1)
         if not len(self.hashes):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        slot = np.where(self.hashes[at] == hashes, self.slots[at], -1)
+            return slot
+        order = np.argsort(hashes)
+        at = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
+        met = self.hashes[at] == hashes[order]
+        slot[order[met]] = self.slots[at[met]]
         known = np.flatnonzero(slot >= 0)
-        data, starts, ends = self.data, self.ends[slot[known]].tolist(), self.ends[slot[known] + 1].tolist()
-        for k, a, b in zip(known.tolist(), starts, ends):
-            if data[a:b] != words[k]:
-                slot[k] = -1
+        sizes, own = np.diff(ends)[known], slot[known]
+        same = sizes == self.ends[own + 1] - self.ends[own]
+        slot[known[~same]] = -1
+        known, sizes, own = known[same], sizes[same], own[same]
+        data = np.frombuffer(self.data, np.uint8)
+        wrong = np.flatnonzero(data[_places(self.ends[own], sizes)] != words[_places(ends[known], sizes)])
+        if len(wrong):
+            slot[known[np.searchsorted(np.cumsum(sizes), wrong, "right")]] = -1
         return slot
 
     def add(self, words: list[bytes], hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Puts words in, with their ids one after another and the number of each; gives their slots."""
         slots = np.arange(len(words), dtype=np.int32) + len(self.ends) - 1
         self.data += b"".join(words)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(w) for w in words], dtype=np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, words), np.int32, len(words)), dtype=np.int32)])
         self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(sizes, dtype=np.int32)])
         self.ids = np.concatenate([self.ids, ids])
         order = np.argsort(hashes, kind="stable")
@@ -183,7 +213,10 @@ class WordCache:
         return slots
 
 
-_CACHE: dict[str, WordCache] = {}
+@lru_cache(maxsize=2)
+def _cache(tokenizer_path: str) -> WordCache:
+    """The cache of a Python worker, for all of its tasks: a task's function brings copies of the module's values, not of its functions."""
+    return WordCache()
 
 
 def _encode_each(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -209,22 +242,28 @@ def _encode_pack(tokenizer_path: str, words: pa.Array, cache: WordCache) -> tupl
     """Ids by the library, and of each word of a pack the first place and the number of its ids in them."""
     tokenizer, _ = _tokenizer(tokenizer_path)
     coded = words.dictionary_encode()
-    values = bytes_of(coded.dictionary)
-    if len(cache) + len(values) > CACHE_WORDS:
+    found = coded.dictionary
+    if len(cache) + len(found) > CACHE_WORDS:
         cache.clear()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in values], np.uint64)
-    slots = cache.find(values, hashes)
+    ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset:found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+    data = np.frombuffer(found.buffers()[2] or b"", np.uint8) if len(found) else np.zeros(0, np.uint8)
+    hashes = word_hashes(data, ends)
+    slots = cache.find(data, ends, hashes)
     new = np.flatnonzero(slots < 0)
     if len(new):
-        texts = [values[k].decode() for k in new.tolist()]
-        blank = np.fromiter(map(str.isspace, texts), bool, len(texts))
+        values = bytes_of(found.take(pa.array(new)))
+        # a word that is white space ends with it: a character up to the space or, beyond ASCII, a byte from 128
+        last = data[np.maximum(ends[new + 1] - 1, 0)] if len(data) else np.zeros(len(new), np.uint8)
+        blank = np.zeros(len(new), bool)
+        maybe = np.flatnonzero((last <= 32) | (last >= 128))
+        blank[maybe] = [values[k].decode().isspace() for k in maybe.tolist()]
         parts = []
         for group, encoded in ((np.flatnonzero(~blank), _encode_lines), (np.flatnonzero(blank), _encode_each)):
             for a in range(0, len(group), LINES):   # the library's results are large; few are held at once
                 some = group[a:a + LINES]
-                parts.append((new[some], *encoded(tokenizer, [texts[k] for k in some.tolist()])))
-        new, flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        slots[new] = cache.add([values[k] for k in new.tolist()], hashes[new], flat, sizes)
+                parts.append((some, *encoded(tokenizer, [values[k].decode() for k in some.tolist()])))
+        some, flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        slots[new[some]] = cache.add([values[k] for k in some.tolist()], hashes[new[some]], flat, sizes)
     slots = slots[coded.indices.to_numpy()]
     return cache.ids, cache.id_ends[slots], cache.id_ends[slots + 1] - cache.id_ends[slots]
 
@@ -260,7 +299,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id:
     """
     def run(batch: pa.RecordBatch):
         tokenizer, specials = _tokenizer(tokenizer_path)
-        cache = _CACHE.setdefault(tokenizer_path, WordCache())
+        cache = _cache(tokenizer_path)
         texts = batch.column("_text")
         special = np.zeros(len(texts), bool)
         for s in specials:

@@ -237,6 +237,39 @@ def test_cache_finds_words_of_several_packs():
     assert len(cache) == 4
 
 
+def test_words_of_one_hash_are_told_apart_all_at_once(monkeypatch):
+    monkeypatch.setattr(token_files, "word_hashes", lambda data, ends: np.full(len(ends) - 1, 7, np.uint64))
+    cache = token_files.WordCache()
+    for part in ([b"ab"], [b"ab", b"ba", b"abc", b"a", b""], [b"ab"]):
+        flat, first, sizes = token_files._encode_pack(JSON, pa.array(part, pa.large_binary()), cache)
+        wanted = [token_files._tokenizer(JSON)[0].encode(w.decode(), add_special_tokens=False).ids for w in part]
+        assert [flat[a:a + n].tolist() for a, n in zip(first, sizes)] == wanted
+
+
+def test_word_hashes_are_those_of_any_pack():
+    words = [b"a", b"", b"ba", b"ab", "é\u2028".encode(), b"z" * 5000, b"\x00", b"\x00\x00"]
+    hashed = lambda some: token_files.word_hashes(np.frombuffer(b"?" + b"".join(some), np.uint8), 1 + pretokenize.offsets_of(np.array([len(w) for w in some], np.int64)))
+    together = hashed(words)
+    assert len(set(together.tolist())) == len(words)
+    assert [hashed([w])[0] for w in words] == together.tolist()
+
+
+def test_cache_stays_for_all_tasks_of_a_worker(spark, monkeypatch):
+    """The function of a task is pickled by value; what it keeps must not be."""
+    from pyspark import cloudpickle
+
+    token_files._cache.cache_clear()
+    docs, made = spark.createDataFrame([(1, "wubbledub zqzq")], "doc_id bigint, text string"), []
+    monkeypatch.setattr(token_files, "map_batches", lambda df, fn, schema: made.append(fn))
+    token_files.tokenized(docs, JSON)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "tie": [0], "_text": ["wubbledub zqzq"]})
+    sizes = []
+    for _ in range(2):
+        list(cloudpickle.loads(cloudpickle.dumps(made[0]))(batch))
+        sizes.append(len(token_files._cache(JSON)))
+    assert sizes == [2, 2]
+
+
 def test_digests_without_written_ids(spark, documents, monkeypatch):
     """The query's digests are made where documents are put together: words and packs are written, ids are not."""
     wanted = bpe.round_trip(bpe.encode(documents, RANKS, P.PATTERN, fold="arrays"), RANKS, keep=("source",))
